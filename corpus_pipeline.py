@@ -1,12 +1,74 @@
-"""A corpus preparation pipeline: each stage reads what its predecessor kept."""
+"""A corpus preparation pipeline: toxic documents go, one document of each group of near copies stays, repeated
+passages and benchmark questions go, and what is left is mixed to target weights.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandgraph.llm import decontaminate, jaccard_join, mixing, registry, sentence_spans, toxicity
+from strandgraph.llm.common import cut, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model doesn't reject."""
+    return toxicity.drop_toxic(docs, registry.toxicity_model(spark, sf_dir)).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id. Documents without words are in no group and stay.
+
+    Rows with a null id are in no group that has an id, unless all of it are null; they stay if nothing links them."""
+    groups = jaccard_join.similar_groups(docs)
+    gone = cut(groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the sentences of repeated passages; a document of which nothing is left goes."""
+    kept = sentence_spans.remove_repeated_spans(docs, carry=("lang", "source", "n_chars"))
+    kept = kept.where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    n_chars = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length("kept"))
+    return kept.select("doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", n_chars.cast("long").alias("n_chars"))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark question, also with other numbers or names."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mixing.mix_sources(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("repeated passages", drop_repeated_passages),
+    ("benchmark", drop_benchmark),
+    ("mix", mix),
+]
+#: Learned scores and runs of sentences aren't expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for the documents in ``sf_dir``; what the stages return is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        cut(spark.range(1))
+        shared = spark.sparkContext.getCheckpointDir()
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -12,6 +12,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,39 +91,50 @@ def window_hashes(buf: np.ndarray, width: int) -> np.ndarray:
 BLOCK_SCHEMA = "block long, ids array<long>, lens binary, body binary, n_bytes long"
 
 
-def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = 1 << 21) -> DataFrame:
+def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = 1 << 21, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pack whole documents into blocks of about ``block_bytes`` of UTF-8, written to the shared folder.
 
+    The columns named in ``carry`` go along as an array of structs, ``rest``.
+
     A document is never split. Null texts are empty, null ids stay null. As the blocks are a written table, a block
     holds the same documents however often it is read, so other tables can refer to (block, position in block).
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        ids, texts, rest, size = [], [], [], 0
 
         def row() -> pa.RecordBatch:
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(lens)], pa.binary()), pa.array([body], pa.binary()), pa.array([size], pa.int64())],
-                names=["block", "ids", "lens", "body", "n_bytes"],
+                [pa.array([part << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(lens)], pa.binary()), pa.array([body], pa.binary()), pa.array([size], pa.int64())]
+                + [pa.array([rest], pa.list_(kept_type)) for _ in carry[:1]],
+                names=["block", "ids", "lens", "body", "n_bytes", *["rest"] * bool(carry)],
             )
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            others = batch.column(2) if carry else [None] * batch.num_rows
+            kept_type = others.type if carry else None
+            for i, t, other in zip(batch.column(0).to_pylist(), batch.column(1), others, strict=True):
                 t = (t.as_py() or "").encode()
                 ids.append(i)
+                if carry:
+                    rest.append(other.as_py())
                 texts.append(t)
                 size += len(t)
                 if size >= block_bytes:
                     yield row()
-                    seq, ids, texts, size = seq + 1, [], [], 0
+                    seq, ids, texts, rest, size = seq + 1, [], [], [], 0
         if ids:
             yield row()
 
-    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return cut(picked.mapInArrow(build, BLOCK_SCHEMA))
+    others = [F.struct(*carry).alias("rest")] if carry else []
+    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
+    schema = T.StructType.fromDDL(BLOCK_SCHEMA)
+    if carry:
+        schema = schema.add("rest", T.ArrayType(picked.schema["rest"].dataType))
+    return cut(picked.mapInArrow(build, schema))
 
 
 def open_block(lens: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,3 +240,84 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if step.where("was <> root").isEmpty():
             break
     return labels
+
+
+# --- the first owner of a value ------------------------------------------------------------------------------------
+
+NO_OWNER = np.iinfo(np.int64).max
+
+
+def first_per_value(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, each with its least owner."""
+    order = np.lexsort((owners, values))
+    v = values[order]
+    keep = np.r_[True, v[1:] != v[:-1]] if len(v) else np.empty(0, bool)
+    return v[keep], owners[order][keep]
+
+
+def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarray, np.ndarray]], n_values: int, bucket_values: int = 1 << 20) -> DataFrame:
+    """(block, least): for each value that a block offers, its least owner anywhere and whether this block has it.
+
+    ``candidates(row)`` gives distinct sorted 64-bit values and an owner for each; ties between blocks go to the
+    lower block. ``least`` is an array of (bucket, owners, here), to be read by ``read_least``. A block offers a value
+    once, so hot values cost one item a block.
+    """
+    n_buckets = max(16, -(-n_values // bucket_values))
+    names = [f.name for f in blocks.schema.fields]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(j)[i].as_py() for j, k in enumerate(names)}
+                values, owners = candidates(row)
+                out = [(b, row["block"], planes(values[s:e]), pack(owners[s:e].view(np.uint8).reshape(-1, 8).T)) for b, s, e in bucket_slices(values, n_buckets)]
+                if out:
+                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "block", "body", "owners"])
+
+    def meet(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values("block")
+        parts = [unplanes(b) for b in got["body"]]
+        sizes = np.array([len(p) for p in parts])
+        every = np.concatenate(parts)
+        owners = np.concatenate([np.ascontiguousarray(unpack(o, "uint8").reshape(8, -1).T).view(np.int64).ravel() for o in got["owners"]])
+        part = np.repeat(np.arange(len(parts)), sizes)
+        order = np.lexsort((part, owners, every))
+        start = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+        count = np.diff(np.r_[start, len(every)])
+        least, here = np.empty(len(every), np.int64), np.empty(len(every), bool)
+        least[order] = np.repeat(owners[order][start], count)
+        here[order] = part[order] == np.repeat(part[order][start], count)
+        cuts = np.cumsum(sizes)[:-1]
+        rows = [(int(k), int(key[0]), pack(m.view(np.uint8).reshape(-1, 8).T), pack(np.packbits(h))) for k, m, h in zip(got["block"], np.split(least, cuts), np.split(here, cuts), strict=True)]
+        return pd.DataFrame(rows, columns=["block", "bucket", "owners", "here"])
+
+    sent = blocks.mapInArrow(send, "bucket int, block long, body binary, owners binary")
+    met = sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, owners binary, here binary")
+    return met.groupBy("block").agg(F.collect_list(F.struct("bucket", "owners", "here")).alias("least"))
+
+
+def read_least(values: np.ndarray, least: list[dict] | None, n_values: int, bucket_values: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, here) for each of the values that the block offered to ``least_owners``."""
+    n_buckets = max(16, -(-n_values // bucket_values))
+    got = {m["bucket"]: m for m in least or []}
+    owners, here = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    for b, s, e in bucket_slices(values, n_buckets):
+        owners[s:e] = np.ascontiguousarray(unpack(got[b]["owners"], "uint8").reshape(8, -1).T).view(np.int64).ravel()
+        here[s:e] = np.unpackbits(unpack(got[b]["here"], "uint8"), count=e - s)
+    return owners, here
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {k: batch.column(j)[i].as_py() for j, k in enumerate(names)}
+
+
+def total_bytes(blocks: DataFrame) -> int:
+    return blocks.agg(F.sum("n_bytes")).first()[0] or 0
+
+
+def owner_ids(ids: list) -> np.ndarray:
+    """Document ids as owners; null ids come after all others."""
+    return np.array([NO_OWNER if i is None else i for i in ids], np.int64)
