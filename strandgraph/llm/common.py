@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +20,29 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of plans that are done with.
+
+    Spark deletes them when the driver's JVM collects the plan; a short driver may never do so by itself while its
+    executors' disks fill.
+    """
+    global _released
+    if time.monotonic() - _released > 2:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
     The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own is set.
     """
     spark = df.sparkSession
+    release(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandgraph-"))

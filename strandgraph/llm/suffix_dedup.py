@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import block_rows, cut, first_per_value, least_owners, mix, open_block, owner_ids, read_least, read_marks, shared_values, text_blocks, total_bytes, window_hashes
+from .common import block_rows, cut, first_per_value, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes, window_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members. Fixed values.
 COVER, MODULUS = (1, 5, 11, 24, 25, 27), 31
@@ -77,19 +78,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if depth < MODULUS + 8:
         raise ValueError(f"depth must be at least {MODULUS + 8}")
-    blocks = text_blocks(df, id_col, text_col, block_bytes)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit(1), "text"))
+    # A text that several documents are is looked at once, for the smallest id: the others lose all they have.
+    first = docs.groupBy("key", "key2").agg(F.min("doc_id").alias("least_id"), F.first("text").alias("text"))
+    blocks = text_blocks(first, "least_id", "text", block_bytes, ("key", "key2"))
     n_bytes = total_bytes(blocks)
     n_samples, n_open = n_bytes * len(COVER) // MODULUS, n_bytes // 4
-    marks = cut(shared_values(blocks, lambda row: np.unique(Block(row, depth).samples()[1]), n_samples))
-    marked = blocks.join(marks, "block", "left")
+    bodies = blocks.select("block", "ids", "lens", "body")
+    marks = cut(shared_values(bodies, lambda row: np.unique(Block(row, depth).samples()[1]), n_samples))
 
     def offered(row: dict) -> tuple[np.ndarray, np.ndarray]:
         b = Block(row, depth)
         at, prints = b.open_suffixes(row["marks"], n_samples)
         return first_per_value(prints, b.owner[b.doc[at]])
 
-    least = least_owners(marked, offered, n_open)
-    whole = marked.join(least, "block", "left")
+    least = cut(least_owners(bodies.join(marks, "block", "left"), offered, n_open))
+    whole = blocks.drop("n_bytes").join(marks.join(least, "block", "left"), "block", "left")
     names = whole.columns
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +116,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rest = b.buf[s : s + n][~c].tobytes()
                 digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            out = [pa.array(row["ids"], pa.int64()), pa.array(b.size, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
-
-    return whole.mapInArrow(strike, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+            keys = [pa.array([r[k] for r in row["rest"]], pa.int64()) for k in ("key", "key2")]
+            out = [*keys, pa.array(row["ids"], pa.int64()), pa.array(b.size, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary())] * with_text, names=["key", "key2", "least_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
+
+    struck = whole.mapInArrow(strike, "key long, key2 long, least_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    release(df.sparkSession)
+    out = docs.select("doc_id", "key", "key2").join(struck, ["key", "key2"])
+    copy = ~F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("n_bytes") >= depth)
+    gone = [
+        F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    ]
+    kept = [F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] * with_text
+    return out.select("doc_id", "n_bytes", *gone, *kept)
