@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_rows, components, cut, mix, open_block, pack, power, read_marks, shared_values, text_blocks, total_bytes, unpack
+from .common import block_rows, components, cut, mix, open_block, pack, power, read_marks, release, shared_values, text_blocks, total_bytes, unpack
 
 _U = np.uint64
 #: Sizes of a band are within this ratio; parts per k in a band.
@@ -159,16 +159,18 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_id, pa.int64()), pa.array(elements, pa.binary())], names=["doc_id", "n_shingles", "set_id", "elements"])
 
     docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, elements binary"))
-    some = docs.where("set_id IS NOT NULL")
-    sets = some.groupBy("set_id").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least"))
+    del blocks, marks, marked  # what they wrote isn't needed any more
+    sets = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least"))
     sets = cut(sets)
+    docs = cut(docs.drop("elements"))
     found = cut(_linked_sets(sets, percent))
     roots = components(found).select(F.col("node").alias("set_id"), "root")
     labelled = sets.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
     labelled = labelled.join(least, "root").select("set_id", "component")
     # A set has one row; documents that share a set may be many, so that side stays where it is or is split.
-    joined = docs.drop("elements").join(labelled, "set_id", "left")
+    joined = docs.join(labelled, "set_id", "left")
+    release(df.sparkSession)
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
