@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import block_rows, cut, least_owners, mix, open_block, owner_ids, read_least, read_marks, shared_values, text_blocks, total_bytes
+from .common import block_rows, cut, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
 #: A sentence of more words is cut further: after each word whose crc32 is 0 modulo CUT_EVERY.
@@ -108,8 +108,8 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = text_blocks(df, id_col, text_col, block_bytes, carry)
     n_values = max(1, total_bytes(blocks) // 32)
     make = lambda row: Block(row, min_sentences, min_words)
-    marks = cut(shared_values(blocks, lambda row: np.unique(make(row).prints), n_values))
-    marked = blocks.join(marks, "block", "left")
+    bodies = blocks.select("block", "ids", "lens", "body")
+    marks = cut(shared_values(bodies, lambda row: np.unique(make(row).prints), n_values))
 
     def offered(row: dict) -> tuple[np.ndarray, np.ndarray]:
         b = make(row)
@@ -117,7 +117,9 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
         shared = read_marks(values, row["marks"], n_values)
         return values[shared], b.owner[b.doc[lead]][shared]
 
-    whole = marked.join(least_owners(marked, offered, n_values), "block", "left")
+    least = cut(least_owners(bodies.join(marks, "block", "left"), offered, n_values))
+    whole = blocks.drop("n_bytes").join(marks.join(least, "block", "left"), "block", "left")
+    release(df.sparkSession)
     names = whole.columns
     rest_type = to_arrow_type(whole.schema["rest"].dataType.elementType) if carry else None
 
