@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -274,22 +275,23 @@ def first_per_value(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray,
     return v[keep], owners[order][keep]
 
 
-def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarray, np.ndarray]], n_values: int, bucket_values: int = 1 << 20) -> DataFrame:
+def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarray, np.ndarray]], n_values: int, bucket_values: int = 1 << 20, passes: int = 1) -> DataFrame:
     """(block, least): for each value that a block offers, its least owner anywhere and whether this block has it.
 
     ``candidates(row)`` gives distinct sorted 64-bit values and an owner for each; ties between blocks go to the
     lower block. ``least`` is an array of (bucket, owners, here), to be read by ``read_least``. A block offers a value
-    once, so hot values cost one item a block.
+    once, so hot values cost one item a block. With several ``passes`` the buckets are dealt to as many rounds, each
+    written before the next begins, so that only one round's share of the values is on the disks at a time.
     """
     n_buckets = max(16, -(-n_values // bucket_values))
     names = [f.name for f in blocks.schema.fields]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(j)[i].as_py() for j, k in enumerate(names)}
                 values, owners = candidates(row)
-                out = [(b, row["block"], planes(values[s:e]), pack(owners[s:e].view(np.uint8).reshape(-1, 8).T)) for b, s, e in bucket_slices(values, n_buckets)]
+                out = [(b, row["block"], planes(values[s:e]), pack(owners[s:e].view(np.uint8).reshape(-1, 8).T)) for b, s, e in bucket_slices(values, n_buckets) if b % passes == turn]
                 if out:
                     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "block", "body", "owners"])
@@ -311,9 +313,13 @@ def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarra
         rows = [(int(k), int(key[0]), pack(m.view(np.uint8).reshape(-1, 8).T), pack(np.packbits(h))) for k, m, h in zip(got["block"], np.split(least, cuts), np.split(here, cuts), strict=True)]
         return pd.DataFrame(rows, columns=["block", "bucket", "owners", "here"])
 
-    sent = blocks.mapInArrow(send, "bucket int, block long, body binary, owners binary")
-    met = sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, owners binary, here binary")
-    return met.groupBy("block").agg(F.collect_list(F.struct("bucket", "owners", "here")).alias("least"))
+    done = None
+    for turn in range(passes):
+        sent = blocks.mapInArrow(partial(send, turn=turn), "bucket int, block long, body binary, owners binary")
+        met = sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, owners binary, here binary")
+        met = cut(met) if passes > 1 else met
+        done = met if done is None else done.union(met)
+    return done.groupBy("block").agg(F.collect_list(F.struct("bucket", "owners", "here")).alias("least"))
 
 
 def read_least(values: np.ndarray, least: list[dict] | None, n_values: int, bucket_values: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,8 @@ from .common import block_rows, cut, first_per_value, least_owners, mix, open_bl
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members. Fixed values.
 COVER, MODULUS = (1, 5, 11, 24, 25, 27), 31
+#: Rounds that the open suffixes' buckets are dealt to, one after the other.
+PASSES = 2
 
 
 def _in_cover() -> np.ndarray:
@@ -93,7 +95,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at, prints = b.open_suffixes(row["marks"], n_samples)
         return first_per_value(prints, b.owner[b.doc[at]])
 
-    least = cut(least_owners(bodies.join(marks, "block", "left"), offered, n_open))
+    least = cut(least_owners(bodies.join(marks, "block", "left"), offered, n_open, passes=PASSES))
     whole = blocks.drop("n_bytes").join(marks.join(least, "block", "left"), "block", "left")
     names = whole.columns
 
