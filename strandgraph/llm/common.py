@@ -28,11 +28,17 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle and checkpoint files of plans that are done with.
 
     Spark deletes them when the driver's JVM collects the plan; a short driver may never do so by itself while its
-    executors' disks fill.
+    executors' disks fill. The JVM hears of plans that Python has let go of from a queue that is emptied about once a
+    second, so wait for that before its collection.
     """
     global _released
-    if time.monotonic() - _released > 2:
+    if time.monotonic() - _released > 4:
         gc.collect()
+        queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+        until = time.monotonic() + 2
+        while queue and time.monotonic() < until:
+            time.sleep(0.05)
+        time.sleep(0.05)
         spark.sparkContext._jvm.System.gc()
         _released = time.monotonic()
 
