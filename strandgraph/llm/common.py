@@ -24,15 +24,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 _released = 0.0
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, least_s: float = 4) -> None:
     """Let Spark delete the shuffle and checkpoint files of plans that are done with.
 
     Spark deletes them when the driver's JVM collects the plan; a short driver may never do so by itself while its
     executors' disks fill. The JVM hears of plans that Python has let go of from a queue that is emptied about once a
-    second, so wait for that before its collection.
+    second, so wait for that before its collection. Nothing is done within ``least_s`` seconds of the last time.
     """
     global _released
-    if time.monotonic() - _released > 4:
+    if time.monotonic() - _released > least_s:
         gc.collect()
         queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
         until = time.monotonic() + 2
@@ -90,6 +90,12 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def power(n: int) -> np.uint64:
     return _U(pow(_BASE, n, 1 << 64))
 
@@ -219,7 +225,7 @@ def shared_values(blocks: DataFrame, sorted_values: Callable[[dict], np.ndarray]
         parts = [unplanes(b) for b in got["body"]]
         sizes = np.array([len(p) for p in parts])
         every = np.concatenate(parts)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         owner = np.repeat(np.arange(len(parts)), sizes)[order]
         ordered = every[order]
         start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
@@ -275,10 +281,12 @@ NO_OWNER = np.iinfo(np.int64).max
 
 def first_per_value(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order, each with its least owner."""
-    order = np.lexsort((owners, values))
+    if not len(values):
+        return values, owners
+    order = np.argsort(values)
     v = values[order]
-    keep = np.r_[True, v[1:] != v[:-1]] if len(v) else np.empty(0, bool)
-    return v[keep], owners[order][keep]
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    return v[start], np.minimum.reduceat(owners[order], start)
 
 
 def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarray, np.ndarray]], n_values: int, bucket_values: int = 1 << 20, passes: int = 1) -> DataFrame:
@@ -309,12 +317,15 @@ def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarra
         every = np.concatenate(parts)
         owners = np.concatenate([np.ascontiguousarray(unpack(o, "uint8").reshape(8, -1).T).view(np.int64).ravel() for o in got["owners"]])
         part = np.repeat(np.arange(len(parts)), sizes)
-        order = np.lexsort((part, owners, every))
-        start = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+        order = np.argsort(every)
+        ordered, owned, origin = every[order], owners[order], part[order]
+        start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[start, len(every)])
+        smallest = np.repeat(np.minimum.reduceat(owned, start), count)
+        origin = np.where(owned == smallest, origin, len(parts))
         least, here = np.empty(len(every), np.int64), np.empty(len(every), bool)
-        least[order] = np.repeat(owners[order][start], count)
-        here[order] = part[order] == np.repeat(part[order][start], count)
+        least[order] = smallest
+        here[order] = (origin < len(parts)) & (origin == np.repeat(np.minimum.reduceat(origin, start), count))
         cuts = np.cumsum(sizes)[:-1]
         rows = [(int(k), int(key[0]), pack(m.view(np.uint8).reshape(-1, 8).T), pack(np.packbits(h))) for k, m, h in zip(got["block"], np.split(least, cuts), np.split(here, cuts), strict=True)]
         return pd.DataFrame(rows, columns=["block", "bucket", "owners", "here"])

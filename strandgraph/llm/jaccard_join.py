@@ -7,9 +7,12 @@
    are its parts' contents, for the band of its size and, where a larger partner may be in the next band, for that too.
 3. Among any agreeing parts, the rarest signature is kept by both sets if each keeps its k + 1 rarest signatures.
    Signatures that no other set has count towards these, so most sets keep none.
-4. Sets that keep a signature in common are candidates and compared exactly. In a first round each signature's sets
-   meet a few of its sets only; what these links leave in different components meets in a second round. So large
-   groups of near copies are linked without all their pairs, and no link between components is missed.
+4. Sets that keep a signature in common are candidates and compared exactly, in three rounds; each leaves out what the
+   links before it have joined. First a set meets a few sets of its two most common signatures, then a few of every
+   signature, and last all that remain. So large groups of near copies are linked without all their pairs, and no
+   link between components is missed.
+5. In the last round the sets of a signature are dealt by how many elements no other set has: two sets differ in the
+   sum of these at least, so sets with too many of their own, as those that only share a passage, never meet.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_rows, components, cut, mix, open_block, pack, power, read_marks, release, shared_values, text_blocks, total_bytes, unpack
+from .common import block_rows, components, cut, distinct, mix, open_block, pack, power, read_marks, release, shared_values, text_blocks, total_bytes, unpack
 
 _U = np.uint64
 #: Sizes of a band are within this ratio; parts per k in a band.
@@ -138,7 +141,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     blocks = text_blocks(df, id_col, text_col, block_bytes)
     n_values = max(1, total_bytes(blocks) // 6)
-    marks = cut(shared_values(blocks, lambda row: np.unique(block_shingles(row, words)[1]), n_values))
+    marks = cut(shared_values(blocks, lambda row: distinct(block_shingles(row, words)[1]), n_values))
     marked = blocks.join(marks, "block", "left")
     names = marked.columns
 
@@ -151,18 +154,18 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             common = np.bincount(docs, weights=shared[back], minlength=len(sizes)).astype(np.int64)
             may = (sizes > 0) & (100 * common >= percent * sizes)
             ends = np.cumsum(sizes)
-            set_id, elements = [None] * len(sizes), [None] * len(sizes)
+            set_id, elements, own = [None] * len(sizes), [None] * len(sizes), sizes - common
             for d in np.flatnonzero(may):
                 e = hashes[ends[d] - sizes[d] : ends[d]]
                 set_id[d] = int(mix(np.array([np.add.reduce(mix(e + _U(77))) + _U(len(e))], np.uint64)).view(np.int64)[0])
                 elements[d] = e.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_id, pa.int64()), pa.array(elements, pa.binary())], names=["doc_id", "n_shingles", "set_id", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_id, pa.int64()), pa.array(elements, pa.binary()), pa.array(own, pa.int64())], names=["doc_id", "n_shingles", "set_id", "elements", "own"])
 
-    docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, elements binary"))
+    docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, elements binary, own long"))
     del blocks, marks, marked  # what they wrote isn't needed any more
-    sets = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least"))
+    sets = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least"), F.min("own").alias("own"))
     sets = cut(sets)
-    docs = cut(docs.drop("elements"))
+    docs = cut(docs.drop("elements", "own"))
     found = cut(_linked_sets(sets, percent))
     roots = components(found).select(F.col("node").alias("set_id"), "root")
     labelled = sets.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -189,21 +192,46 @@ def _linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     mine = signed.join(often, "sig").groupBy("set_id", "band", "spare").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("sigs"))
     # spare + size of the list: how many of the signatures that others have are among the k + 1 rarest.
     quota = F.col("spare") + F.size("sigs")
-    kept = mine.where(quota > 0).select("set_id", F.explode(F.slice("sigs", F.lit(1), quota)).alias("s")).select("set_id", F.col("s.sig").alias("sig"))
-    kept = cut(kept)
-    order = Window.partitionBy("sig").orderBy(F.xxhash64("set_id"), "set_id")
-    hubs = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).select("sig", F.col("set_id").alias("hub"))
+    # The k + 1 rarest; the last two of them are the most common.
+    listed = mine.where(quota > 0).withColumn("sigs", F.slice("sigs", F.lit(1), quota))
+    kept = listed.select("set_id", "band", F.posexplode("sigs").alias("at", "s"), F.size("sigs").alias("size"))
+    sized = sets.select("set_id", "own", (F.octet_length("elements") / 8).cast("long").alias("n"))
+    kept = cut(kept.select("set_id", "band", F.col("s.sig").alias("sig"), (F.col("at") >= F.col("size") - 2).alias("common")).join(sized, "set_id"))
+    # Sets with the fewest elements of their own are likeliest to be within the threshold of others.
+    order = Window.partitionBy("sig").orderBy("own", F.xxhash64("set_id"), "set_id")
+    hubs = cut(kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).select("sig", F.col("set_id").alias("hub"), F.col("own").alias("hub_own"), F.col("n").alias("hub_n")))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = kept.join(hubs, "sig").where("set_id <> hub").select(*pair("set_id", "hub")).distinct()
-    links = cut(_verified(cut(first), sets, percent))
-    roots = cut(components(links))
-    named = cut(kept.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
+    first = kept.where("common").join(hubs, "sig").where((F.col("set_id") != F.col("hub")) & _may_link("own", "n", "hub_own", "hub_n", percent)).select(*pair("set_id", "hub")).distinct()
+    links = cut(_verified(first, sets, percent))
+    named, roots = _named(kept, links)
+    hub_roots = hubs.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    second = named.join(hub_roots, "sig").where((F.col("root") != F.col("hub_root")) & _may_link("own", "n", "hub_own", "hub_n", percent)).select(*pair("set_id", "hub")).distinct()
+    links = cut(links.union(_verified(second, sets, percent)))
+    named, _ = _named(kept, links)
     apart = named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    left = named.join(apart, "sig")
-    other = left.select("sig", F.col("set_id").alias("other"), F.col("root").alias("other_root"))
-    second = left.join(other, (left["sig"] == other["sig"]) & (F.col("root") < F.col("other_root"))).select(*pair("set_id", "other")).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    return links.union(_verified(second, sets, percent))
+    # Room for elements of one's own in a band, in up to 8 steps.
+    top = F.floor(F.pow(F.lit(BAND), F.col("band") + 1)) + 1
+    room = F.floor(2 * top * (100 - percent) / (100 + percent))
+    step = F.greatest(F.lit(1), F.ceil((room + 1) / 8))
+    left = named.join(apart, "sig").withColumn("level", F.floor(F.col("own") / step).cast("int")).withColumn("most", F.floor(room / step).cast("int") - F.col("level"))
+    left = left.where("most >= 0")
+    asks = left.select("sig", "set_id", "own", "n", "root", F.explode(F.sequence(F.lit(0), "most")).alias("level"))
+    other = left.select("sig", "level", F.col("set_id").alias("other"), F.col("root").alias("other_root"), F.col("own").alias("other_own"), F.col("n").alias("other_n"))
+    met = (asks["sig"] == other["sig"]) & (asks["level"] == other["level"]) & (F.col("root") < F.col("other_root")) & _may_link("own", "n", "other_own", "other_n", percent)
+    last = asks.join(other, met).select(*pair("set_id", "other")).distinct()
+    return links.union(_verified(last, sets, percent))
+
+
+def _may_link(own: str, n: str, other_own: str, other_n: str, percent: int) -> Column:
+    """Whether sizes and unshared elements leave it possible that two sets are within the threshold."""
+    sizes = 100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)
+    return sizes & ((100 + percent) * (F.col(own) + F.col(other_own)) <= (100 - percent) * (F.col(n) + F.col(other_n)))
+
+
+def _named(kept: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The kept signatures with their sets' components so far, and these components."""
+    roots = cut(components(links))
+    return cut(kept.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))), roots
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     good.append(False)
                     continue
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                common = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             chosen = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["a", "b"])
