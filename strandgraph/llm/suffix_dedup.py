@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_rows, cut, first_per_value, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes, window_hashes
+from .common import block_rows, cut, distinct, first_per_value, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes, window_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members. Fixed values.
 COVER, MODULUS = (1, 5, 11, 24, 25, 27), 31
@@ -88,14 +88,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_bytes = total_bytes(blocks)
     n_samples, n_open = n_bytes * len(COVER) // MODULUS, n_bytes // 4
     bodies = blocks.select("block", "ids", "lens", "body")
-    marks = cut(shared_values(bodies, lambda row: np.unique(Block(row, depth).samples()[1]), n_samples))
+    marks = cut(shared_values(bodies, lambda row: distinct(Block(row, depth).samples()[1]), n_samples))
 
     def offered(row: dict) -> tuple[np.ndarray, np.ndarray]:
         b = Block(row, depth)
         at, prints = b.open_suffixes(row["marks"], n_samples)
         return first_per_value(prints, b.owner[b.doc[at]])
 
-    least = cut(least_owners(bodies.join(marks, "block", "left"), offered, n_open, passes=PASSES))
+    least = least_owners(bodies.join(marks, "block", "left"), offered, n_open, passes=PASSES)
+    release(df.sparkSession, 0)
     whole = blocks.drop("n_bytes").join(marks.join(least, "block", "left"), "block", "left")
     names = whole.columns
 
@@ -123,7 +124,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary())] * with_text, names=["key", "key2", "least_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
     struck = whole.mapInArrow(strike, "key long, key2 long, least_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    release(df.sparkSession)
     out = docs.select("doc_id", "key", "key2").join(struck, ["key", "key2"])
     copy = ~F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("n_bytes") >= depth)
     gone = [
