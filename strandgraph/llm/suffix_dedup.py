@@ -25,7 +25,7 @@ from .common import block_rows, cut, distinct, first_per_value, least_owners, mi
 #: A perfect difference set: every residue modulo 31 is a difference of two members. Fixed values.
 COVER, MODULUS = (1, 5, 11, 24, 25, 27), 31
 #: Rounds that the open suffixes' buckets are dealt to, one after the other.
-PASSES = 2
+PASSES = 3
 
 
 def _in_cover() -> np.ndarray:
@@ -88,16 +88,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_bytes = total_bytes(blocks)
     n_samples, n_open = n_bytes * len(COVER) // MODULUS, n_bytes // 4
     bodies = blocks.select("block", "ids", "lens", "body")
-    marks = cut(shared_values(bodies, lambda row: distinct(Block(row, depth).samples()[1]), n_samples))
+    marks = shared_values(bodies, lambda row: distinct(Block(row, depth).samples()[1]), n_samples)
+    # Written with its marks, a block isn't dealt anew in each round.
+    marked = cut(blocks.drop("n_bytes").join(marks, "block", "left"))
+    del blocks, bodies, marks
 
     def offered(row: dict) -> tuple[np.ndarray, np.ndarray]:
         b = Block(row, depth)
         at, prints = b.open_suffixes(row["marks"], n_samples)
         return first_per_value(prints, b.owner[b.doc[at]])
 
-    least = least_owners(bodies.join(marks, "block", "left"), offered, n_open, passes=PASSES)
+    least = least_owners(marked.drop("rest"), offered, n_open, passes=PASSES)
     release(df.sparkSession, 0)
-    whole = blocks.drop("n_bytes").join(marks.join(least, "block", "left"), "block", "left")
+    whole = marked.join(least, "block", "left")
     names = whole.columns
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
