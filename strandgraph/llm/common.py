@@ -293,7 +293,8 @@ def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarra
     """(block, least): for each value that a block offers, its least owner anywhere and whether this block has it.
 
     ``candidates(row)`` gives distinct sorted 64-bit values and an owner for each; ties between blocks go to the
-    lower block. ``least`` is an array of (bucket, owners, here), to be read by ``read_least``. A block offers a value
+    lower block. ``least`` is an array of (bucket, below, here), to be read by ``read_least``; below is the least owner
+    least owner is less than the offered one, mostly 0. A block offers a value
     once, so hot values cost one item a block. With several ``passes`` the buckets are dealt to as many rounds, each
     written before the next begins, so that only one round's share of the values is on the disks at a time.
     """
@@ -324,30 +325,30 @@ def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarra
         smallest = np.repeat(np.minimum.reduceat(owned, start), count)
         origin = np.where(owned == smallest, origin, len(parts))
         least, here = np.empty(len(every), np.int64), np.empty(len(every), bool)
-        least[order] = smallest
+        least[order] = smallest - owned
         here[order] = (origin < len(parts)) & (origin == np.repeat(np.minimum.reduceat(origin, start), count))
         cuts = np.cumsum(sizes)[:-1]
         rows = [(int(k), int(key[0]), pack(m.view(np.uint8).reshape(-1, 8).T), pack(np.packbits(h))) for k, m, h in zip(got["block"], np.split(least, cuts), np.split(here, cuts), strict=True)]
-        return pd.DataFrame(rows, columns=["block", "bucket", "owners", "here"])
+        return pd.DataFrame(rows, columns=["block", "bucket", "below", "here"])
 
     done = None
     for turn in range(passes):
         sent = blocks.mapInArrow(partial(send, turn=turn), "bucket int, block long, body binary, owners binary")
-        met = sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, owners binary, here binary")
+        met = sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, below binary, here binary")
         met = cut(met) if passes > 1 else met
         done = met if done is None else done.union(met)
-    return done.groupBy("block").agg(F.collect_list(F.struct("bucket", "owners", "here")).alias("least"))
+    return done.groupBy("block").agg(F.collect_list(F.struct("bucket", "below", "here")).alias("least"))
 
 
 def read_least(values: np.ndarray, least: list[dict] | None, n_values: int, bucket_values: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(owners, here) for each of the values that the block offered to ``least_owners``."""
+    """(below, here) for each of the values that the block offered to ``least_owners``."""
     n_buckets = max(16, -(-n_values // bucket_values))
     got = {m["bucket"]: m for m in least or []}
-    owners, here = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    below, here = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
     for b, s, e in bucket_slices(values, n_buckets):
-        owners[s:e] = np.ascontiguousarray(unpack(got[b]["owners"], "uint8").reshape(8, -1).T).view(np.int64).ravel()
+        below[s:e] = np.ascontiguousarray(unpack(got[b]["below"], "uint8").reshape(8, -1).T).view(np.int64).ravel()
         here[s:e] = np.unpackbits(unpack(got[b]["here"], "uint8"), count=e - s)
-    return owners, here
+    return below, here
 
 
 def block_rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:

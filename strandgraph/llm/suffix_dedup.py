@@ -108,8 +108,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             b = Block(row, depth)
             at, prints = b.open_suffixes(row["marks"], n_samples)
             values, back = np.unique(prints, return_inverse=True)
-            owners, _ = read_least(values, row["least"], n_open)
-            gone = at[owners[back] < b.owner[b.doc[at]]]
+            owner = b.owner[b.doc[at]]
+            least = np.full(len(values), np.iinfo(np.int64).max)
+            np.minimum.at(least, back, owner)
+            least += read_least(values, row["least"], n_open)[0]
+            gone = at[least[back] < owner]
             step = np.zeros(len(b.buf) + depth + 1, np.int32)
             np.add.at(step, gone, 1)
             np.add.at(step, gone + depth, -1)
