@@ -289,13 +289,23 @@ def first_per_value(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray,
     return v[start], np.minimum.reduceat(owners[order], start)
 
 
-def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarray, np.ndarray]], n_values: int, bucket_values: int = 1 << 20, passes: int = 1) -> DataFrame:
+def _gathered(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many values each part of a bucket has, and the values and owners of all parts in turn."""
+    parts = [unplanes(b) for b in got["body"]]
+    owners = np.concatenate([np.ascontiguousarray(unpack(o, "uint8").reshape(8, -1).T).view(np.int64).ravel() for o in got["owners"]])
+    return np.array([len(p) for p in parts]), np.concatenate(parts), owners
+
+
+def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarray, np.ndarray]], n_values: int, bucket_values: int = 1 << 20, passes: int = 1, beaten_only: bool = False) -> DataFrame:
     """(block, least): for each value that a block offers, its least owner anywhere and whether this block has it.
 
     ``candidates(row)`` gives distinct sorted 64-bit values and an owner for each; ties between blocks go to the
     lower block. ``least`` is an array of (bucket, owners, here), to be read by ``read_least``. A block offers a value
     once, so hot values cost one item a block. With several ``passes`` the buckets are dealt to as many rounds, each
     written before the next begins, so that only one round's share of the values is on the disks at a time.
+
+    With ``beaten_only`` the answer is one bit a value, whether another block has a smaller owner, and the result is
+    (block, marks) for ``read_marks``: enough for a block that knows its own owners.
     """
     n_buckets = max(16, -(-n_values // bucket_values))
     names = [f.name for f in blocks.schema.fields]
@@ -312,30 +322,41 @@ def least_owners(blocks: DataFrame, candidates: Callable[[dict], tuple[np.ndarra
 
     def meet(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("block")
-        parts = [unplanes(b) for b in got["body"]]
-        sizes = np.array([len(p) for p in parts])
-        every = np.concatenate(parts)
-        owners = np.concatenate([np.ascontiguousarray(unpack(o, "uint8").reshape(8, -1).T).view(np.int64).ravel() for o in got["owners"]])
-        part = np.repeat(np.arange(len(parts)), sizes)
+        sizes, every, owners = _gathered(got)
+        part = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(every)
         ordered, owned, origin = every[order], owners[order], part[order]
         start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[start, len(every)])
         smallest = np.repeat(np.minimum.reduceat(owned, start), count)
-        origin = np.where(owned == smallest, origin, len(parts))
+        origin = np.where(owned == smallest, origin, len(sizes))
         least, here = np.empty(len(every), np.int64), np.empty(len(every), bool)
         least[order] = smallest
-        here[order] = (origin < len(parts)) & (origin == np.repeat(np.minimum.reduceat(origin, start), count))
+        here[order] = (origin < len(sizes)) & (origin == np.repeat(np.minimum.reduceat(origin, start), count))
         cuts = np.cumsum(sizes)[:-1]
         rows = [(int(k), int(key[0]), pack(m.view(np.uint8).reshape(-1, 8).T), pack(np.packbits(h))) for k, m, h in zip(got["block"], np.split(least, cuts), np.split(here, cuts), strict=True)]
         return pd.DataFrame(rows, columns=["block", "bucket", "owners", "here"])
 
+    def beat(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        sizes, every, owners = _gathered(got)
+        order = np.argsort(every)
+        ordered, owned = every[order], owners[order]
+        start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        smallest = np.repeat(np.minimum.reduceat(owned, start), np.diff(np.r_[start, len(every)]))
+        beaten = np.empty(len(every), bool)
+        beaten[order] = smallest < owned
+        rows = [(int(k), int(key[0]), pack(np.packbits(m))) for k, m in zip(got["block"], np.split(beaten, np.cumsum(sizes)[:-1]), strict=True)]
+        return pd.DataFrame(rows, columns=["block", "bucket", "bits"])
+
     done = None
     for turn in range(passes):
         sent = blocks.mapInArrow(partial(send, turn=turn), "bucket int, block long, body binary, owners binary")
-        met = sent.groupBy("bucket").applyInPandas(meet, "block long, bucket int, owners binary, here binary")
+        by_bucket = sent.groupBy("bucket")
+        met = by_bucket.applyInPandas(beat, "block long, bucket int, bits binary") if beaten_only else by_bucket.applyInPandas(meet, "block long, bucket int, owners binary, here binary")
         met = cut(met) if passes > 1 else met
         done = met if done is None else done.union(met)
+    if beaten_only:
+        return done.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
     return done.groupBy("block").agg(F.collect_list(F.struct("bucket", "owners", "here")).alias("least"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_rows, cut, distinct, first_per_value, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes, window_hashes
+from .common import block_rows, cut, distinct, first_per_value, least_owners, mix, open_block, owner_ids, read_marks, release, shared_values, text_blocks, total_bytes, window_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members. Fixed values.
 COVER, MODULUS = (1, 5, 11, 24, 25, 27), 31
@@ -98,18 +98,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at, prints = b.open_suffixes(row["marks"], n_samples)
         return first_per_value(prints, b.owner[b.doc[at]])
 
-    least = least_owners(marked.drop("rest"), offered, n_open, passes=PASSES)
+    beaten = least_owners(marked.drop("rest"), offered, n_open, passes=PASSES, beaten_only=True).withColumnRenamed("marks", "beaten")
     release(df.sparkSession, 0)
-    whole = marked.join(least, "block", "left")
+    whole = marked.join(beaten, "block", "left")
     names = whole.columns
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in block_rows(batches, names):
             b = Block(row, depth)
             at, prints = b.open_suffixes(row["marks"], n_samples)
-            values, back = np.unique(prints, return_inverse=True)
-            owners, _ = read_least(values, row["least"], n_open)
-            gone = at[owners[back] < b.owner[b.doc[at]]]
+            owner = b.owner[b.doc[at]]
+            values, first = first_per_value(prints, owner)
+            back = np.searchsorted(values, prints)
+            # What another block has for a smaller id goes; of the rest, what isn't the smallest id's here.
+            gone = at[read_marks(values, row["beaten"], n_open)[back] | (first[back] < owner)]
             step = np.zeros(len(b.buf) + depth + 1, np.int32)
             np.add.at(step, gone, 1)
             np.add.at(step, gone + depth, -1)
