@@ -13,6 +13,9 @@
    link between components is missed.
 5. In the last round the sets of a signature are dealt by how many elements no other set has: two sets differ in the
    sum of these at least, so sets with too many of their own, as those that only share a passage, never meet.
+6. There each set also has a parity sketch: its elements are dealt to bits, a bit says whether their number is odd. Two
+   sets differ in at least as many elements as their sketches differ in bits, so the join condition itself, on the JVM's
+   side, leaves out nearly all pairs beyond the threshold before a row is made of them, and never one within it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ _U = np.uint64
 #: Sizes of a band are within this ratio; parts per k in a band.
 BAND, SPARE = 1.25, 1.5
 HUBS = 4
+#: Bits of a parity sketch for each element that two sets of a band may differ in, and at most.
+SKETCH, SKETCH_BITS = 6, 4096
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA24BAED4963EE407))
 
 
@@ -130,6 +135,15 @@ def signatures(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.nd
     return found
 
 
+def parity_sketch(elements: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """Of a power of two of bits, as many for all sets of a band, each the parity of the elements dealt to it."""
+    top = int(np.floor(BAND ** (band + 1))) + 1
+    wanted = SKETCH * int(most_differing(np.array([top]), percent)[0])
+    n_bits = min(SKETCH_BITS, max(64, 1 << max(0, wanted - 1).bit_length()))
+    odd = np.bincount((mix(elements ^ _U(0x2545F491)) % _U(n_bits)).astype(np.int64), minlength=n_bits) % 2
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_bytes: int = 1 << 21) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id``.
 
@@ -187,6 +201,14 @@ def _linked_sets(sets: DataFrame, percent: int) -> DataFrame:
                     n = len(sigs)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, set_id), pa.int64()), pa.array(np.full(n, band), pa.int32()), pa.array(np.full(n, keep - n), pa.int32()), pa.array(sigs.view(np.int64), pa.int64())], names=["set_id", "band", "spare", "sig"])
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for set_id, e in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                e = np.frombuffer(e.as_py(), np.uint64)
+                own = int(band_of(np.array([len(e)]))[0])
+                found = [parity_sketch(e, band, percent).tolist() for band in (own, own + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id] * 2, pa.int64()), pa.array([own, own + 1], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["set_id", "band", "sketch"])
+
     signed = sets.select("set_id", "elements").mapInArrow(sign, "set_id long, band int, spare int, sig long")
     often = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     mine = signed.join(often, "sig").groupBy("set_id", "band", "spare").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("sigs"))
@@ -214,10 +236,14 @@ def _linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     room = F.floor(2 * top * (100 - percent) / (100 + percent))
     step = F.greatest(F.lit(1), F.ceil((room + 1) / 8))
     left = named.join(apart, "sig").withColumn("level", F.floor(F.col("own") / step).cast("int")).withColumn("most", F.floor(room / step).cast("int") - F.col("level"))
-    left = left.where("most >= 0")
-    asks = left.select("sig", "set_id", "own", "n", "root", F.explode(F.sequence(F.lit(0), "most")).alias("level"))
-    other = left.select("sig", "level", F.col("set_id").alias("other"), F.col("root").alias("other_root"), F.col("own").alias("other_own"), F.col("n").alias("other_n"))
+    left = cut(left.where("most >= 0"))
+    sketches = sets.select("set_id", "elements").join(left.select("set_id").distinct(), "set_id", "left_semi").mapInArrow(sketch, "set_id long, band int, sketch array<long>")
+    left = left.join(sketches, ["set_id", "band"])
+    asks = left.select("sig", "set_id", "own", "n", "root", "sketch", F.explode(F.sequence(F.lit(0), "most")).alias("level"))
+    other = left.select("sig", "level", F.col("set_id").alias("other"), F.col("root").alias("other_root"), F.col("own").alias("other_own"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
     met = (asks["sig"] == other["sig"]) & (asks["level"] == other["level"]) & (F.col("root") < F.col("other_root")) & _may_link("own", "n", "other_own", "other_n", percent)
+    unlike = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    met &= (100 + percent) * unlike <= (100 - percent) * (F.col("n") + F.col("other_n"))
     last = asks.join(other, met).select(*pair("set_id", "other")).distinct()
     return links.union(_verified(last, sets, percent))
 

@@ -135,3 +135,14 @@ def test_nearest_recall_and_bad_vectors(spark):
         d[q] = np.inf
         hit += len(set(np.argsort(d)[:10]) & {r["vec_id"] for r in got if r["query_id"] == q})
     assert hit >= 36 and not {r["vec_id"] for r in got} & {1000, 1001, 1002}
+
+
+def test_parity_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for size in (1, 7, 60, 400, 3000):
+        x = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        band = int(jaccard_join.band_of(np.array([size]))[0])
+        for changed in {0, 1, size // 10, size // 4, size}:
+            y = np.r_[x[changed:], rng.integers(0, 1 << 63, changed // 2).astype(np.uint64)]
+            a, b = (jaccard_join.parity_sketch(e, band, 80) for e in (x, y))
+            assert len(a) == len(b) and sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(set(x.tolist()) ^ set(y.tolist()))
