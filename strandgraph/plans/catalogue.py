@@ -223,3 +223,70 @@ def security_flags(spark, sf_dir):
 @query(r"SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z]')) AS tags, len(regexp_extract_all(html, 'href=')) AS links FROM pages")
 def markup_facets(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<[a-zA-Z]")).cast("long").alias("tags"), F.regexp_count("html", F.lit("href=")).cast("long").alias("links"))
+
+
+@query(f"WITH {G_PART} SELECT dst AS node, count(*) AS calls FROM e GROUP BY dst")
+def callee_frequency(spark, sf_dir):
+    return part_edges(spark, sf_dir).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("calls"))
+
+
+@query(f"WITH RECURSIVE {G_PART}, {distances('SELECT min(src), 0 FROM e')} SELECT node, min(distance)::INT AS distance FROM r GROUP BY node")
+def reach_forward(spark, sf_dir):
+    g = part_graph(spark, sf_dir)
+    return g.reach(g.edges.agg(F.min("src").alias("node")))
+
+
+@query(
+    r"""WITH p AS (SELECT a.conv_id, a.turn, string_split(a.text, chr(10)) AS x, string_split(b.text, chr(10)) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL),
+q AS (SELECT conv_id, turn, x, y, unnest(range(1, greatest(len(x), len(y)) + 1)) AS i FROM p)
+SELECT conv_id, turn, i::INT AS line, x[i] AS old_line, y[i] AS new_line FROM q WHERE x[i] IS DISTINCT FROM y[i]"""
+)
+def line_diff(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.split("text", "\n", -1).alias("x"))
+    later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
+    lines = turns.join(later, ["conv_id", "turn"]).select("conv_id", "turn", F.posexplode(F.arrays_zip("x", "y")).alias("at", "pair"))
+    lines = lines.where(~F.col("pair.x").eqNullSafe(F.col("pair.y")))
+    return lines.select("conv_id", "turn", (F.col("at") + 1).alias("line"), F.col("pair.x").alias("old_line"), F.col("pair.y").alias("new_line"))
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(lower(text), '[^a-zа-яё0-9_]', ' ', 'g'), ' '), lambda t: length(t) > 1))::INT AS n_tokens FROM documents")
+def tokenise(spark, sf_dir):
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-zа-яё0-9_]", " "), " ")
+    n_tokens = F.when(F.col("text").isNotNull(), F.size(F.filter(words, lambda t: F.length(t) > 1)))
+    return read(spark, sf_dir, "documents").select("doc_id", n_tokens.alias("n_tokens"))
+
+
+@query(r"SELECT p_partkey, length(p_name) > 40 AS too_long, regexp_matches(p_name, '^[A-Z_]+$') AS all_caps, regexp_matches(lower(p_name), '^(data|temp|item|value|result)$') AS generic FROM part")
+def naming_rules(spark, sf_dir):
+    name = F.col("p_name")
+    return read(spark, sf_dir, "part").select("p_partkey", (F.length(name) > 40).alias("too_long"), name.rlike("^[A-Z_]+$").alias("all_caps"), F.lower(name).rlike("^(data|temp|item|value|result)$").alias("generic"))
+
+
+#: Rule, severity, pattern. Fixed values.
+SECURITY_RULES = (("eval", 9, r"eval\("), ("exec", 7, r"exec\("), ("secret", 8, r"(password|secret|api_key|token)"))
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(rf"SELECT '{rule}' AS rule, {severity} AS severity, count(*) FILTER (regexp_matches(lower(text), '{pattern}')) AS n FROM documents" for rule, severity, pattern in SECURITY_RULES) + ") WHERE n > 0")
+def issue_summary(spark, sf_dir):
+    text = F.lower("text")
+    issues = F.array(*(F.when(text.rlike(pattern), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity, pattern in SECURITY_RULES))
+    found = read(spark, sf_dir, "documents").select(F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("i"))
+    return found.groupBy(F.col("i.rule").alias("rule"), F.col("i.severity").alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, " + ", ".join(rf"len(regexp_extract_all(html, '\{a}')) = len(regexp_extract_all(html, '\{b}')) AS {name}" for name, a, b in (("braces", "{", "}"), ("parentheses", "(", ")"), ("brackets", "[", "]"))) + " FROM pages")
+def bracket_balance(spark, sf_dir):
+    same = lambda a, b: F.regexp_count("html", F.lit("\\" + a)) == F.regexp_count("html", F.lit("\\" + b))
+    return read(spark, sf_dir, "pages").select("page_id", same("{", "}").alias("braces"), same("(", ")").alias("parentheses"), same("[", "]").alias("brackets"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/?#]*)[^/]*$', 1) AS base_name, len(string_split(url, '/'))::INT AS n_parts FROM pages")
+def path_display(spark, sf_dir):
+    parts = F.when(F.col("url").isNotNull(), F.size(F.split("url", "/", -1)))
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/?#]*)[^/]*$", 1).alias("base_name"), parts.alias("n_parts"))
+
+
+@query("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars, sum(length(split_part(text, chr(10), 1)))::BIGINT AS kept, round(1 - sum(length(split_part(text, chr(10), 1)))::DOUBLE / sum(length(text)), 6) AS saved FROM documents")
+def compression_stats(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.length("text").alias("c"), F.length(F.substring_index("text", "\n", 1)).alias("k"))
+    return docs.agg(F.count("*").alias("n"), F.sum("c").alias("chars"), F.sum("k").alias("kept"), F.round(1 - F.sum("k") / F.sum("c"), 6).alias("saved"))
