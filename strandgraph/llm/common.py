@@ -254,24 +254,42 @@ def read_marks(values: np.ndarray, marks: list[dict] | None, n_values: int, buck
 # --- connected components ------------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of ``links`` with the smallest node reachable from it.
 
-    Each round takes the least label among a node and its neighbours and then the label's own label (pointer
-    jumping), so long chains shorten exponentially. Every round is cut from its lineage.
+    Each round contracts the graph: of its closed neighbourhood a node takes the node that is least by the round's hash,
+    then the least of what it and its neighbours took, and links go on between what their ends took. As the order is
+    another one in every round, the nodes left are expected to shrink by a constant factor, whatever the shape, so
+    rounds grow with the logarithm of the nodes. It ends when no link is left, never before. Every round is cut from its
+    lineage.
     """
-    edges = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    edges = cut(edges.union(edges.select("other", "node")).distinct())
-    labels = cut(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
-    for _ in range(max_rounds):
-        near = edges.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        step = cut(step.join(jump, "to").select("node", "was", F.least("to", "far").alias("root")))
-        labels = step.select("node", "root")
-        if step.where("was <> root").isEmpty():
-            break
-    return labels
+    edges = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node IS NOT NULL AND other IS NOT NULL")
+    edges = edges.union(edges.select("other", "node")).distinct()
+    # A node that is only linked to itself is a component, too.
+    edges = cut(edges)
+    taken = [edges.where("node = other").select("node", F.col("node").alias("to"))]
+    edges = edges.where("node <> other")
+    while not edges.isEmpty():
+        order = lambda x: F.struct(F.xxhash64(x, F.lit(len(taken))).alias("key"), F.col(x).alias("id"))  # noqa: B023, E731
+        near = edges.groupBy("node").agg(F.min(order("other")).alias("near")).select("node", F.least("near", order("node")).alias("near"))
+        beside = near.withColumnsRenamed({"node": "other", "near": "beside"})
+        far = edges.join(beside, "other").groupBy("node").agg(F.min("beside").alias("far"))
+        step = cut(near.join(far, "node").select("node", F.least("near", "far")["id"].alias("to")))
+        taken.append(step)
+        one, two = step.withColumnRenamed("to", "x"), step.withColumnsRenamed({"node": "other", "to": "y"})
+        edges = cut(edges.join(one, "node").join(two, "other").where("x <> y").select(F.col("x").alias("node"), F.col("y").alias("other")).distinct())
+    # Back from the last round: what a node took stands for what that took later.
+    found = None
+    for k in range(len(taken) - 1, 0, -1):
+        if found is None:
+            found = taken[k].withColumnRenamed("to", "root")
+            continue
+        later = found.withColumnsRenamed({"node": "to", "root": "later"})
+        found = cut(taken[k].join(later, "to", "left").select("node", F.coalesce("later", "to").alias("root")))
+    alone = taken[0].withColumnRenamed("to", "root")
+    found = alone if found is None else found.union(alone.join(found, "node", "left_anti"))
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return cut(found.join(least, "root").select("node", F.col("least").alias("root")))
 
 
 # --- the first owner of a value ------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandgraph.llm import decontaminate, jaccard_join, language_id, licenses, mixing, nearest, registry, sentence_spans, suffix_dedup, token_counts, toxicity
+from strandgraph.llm import common, decontaminate, jaccard_join, language_id, licenses, mixing, nearest, registry, sentence_spans, suffix_dedup, token_counts, toxicity
 
 WORDS = [f"w{i}x" for i in range(200)]
 BASE = " ".join(WORDS[:100])
@@ -146,3 +146,12 @@ def test_parity_sketches_never_differ_more_than_sets():
             y = np.r_[x[changed:], rng.integers(0, 1 << 63, changed // 2).astype(np.uint64)]
             a, b = (jaccard_join.parity_sketch(e, band, 80) for e in (x, y))
             assert len(a) == len(b) and sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(-(1 << 62), 1 << 62, 1000).tolist()
+    apart = ids[:600], ids[600:]
+    links = [(c[i], c[i + 1]) for c in apart for i in range(len(c) - 1)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(c) for c in apart for x in c} | {7: 7}
