@@ -1,7 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences (and these, where they are long, into clauses and then after words picked by their
-content, so that a passage is cut alike in whatever text it stands). From every sentence on, the shortest run of at
+A text is cut into sentences (and these, where they are long, into clauses and then after the word of the least hash of
+every few, so that a passage is cut alike in whatever text it stands). Scripts without spaces are measured by characters.
+From every sentence on, the shortest run of at
 least ``min_sentences`` sentences and ``min_words`` words is hashed. A run that stands anywhere before, in the order of ids, places
 and texts, is a repeat; a sentence that some repeated run covers is removed.
 """
@@ -22,45 +23,81 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import block_rows, cut, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
-#: A sentence of more words is cut further: after each word whose crc32 is 0 modulo CUT_EVERY.
-LONG, CUT_EVERY = 12, 6
-_PIECES = re.compile(r"[^.!?,;:\n]*[.!?,;:\n]+\s*|[^.!?,;:\n]+")
+#: A sentence of more words is cut further: after the word of the least crc32 in each window of WINDOW words. Wherever a
+#: passage begins and ends, at most its first 2 WINDOW - 1 words are cut otherwise, then cuts are at most WINDOW words apart;
+#: so with WINDOW 7 and whole sentences of up to LONG words, each passage of 50 words has a whole run.
+LONG, WINDOW = 12, 7
+#: Ends of sentences and clauses, also those of other scripts.
+_ENDS = ".!?,;:\n。！？、，；：．｡､…।॥؟،؛۔։።፣፤፥፦፧།༎၊။។៕"
+_PIECES = re.compile(rf"[^{_ENDS}]*[{_ENDS}]+\s*|[^{_ENDS}]+")
 _WORDS = re.compile(r"\S+\s*")
-
-
-def sentences(text: str) -> tuple[list[str], list[int]]:
-    """The pieces of a text, which joined give the text, and their words."""
+#: Scripts without spaces: two Chinese or Japanese characters, or four of Thai, Lao, Tibetan, Burmese or Khmer, are a word.
+_PAIRED, _FOURS = "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff", "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff"
+_UNSPACED = re.compile(f"[{_PAIRED}{_FOURS}]")
+_UNITS = re.compile(rf"([{_PAIRED}])\s*|([{_FOURS}])\s*|[^\s{_PAIRED}{_FOURS}]+\s*")
+
+
+def units(piece: str, spaced: bool) -> tuple[list[str], list[float]]:
+    """What a piece can be cut after, with the white space behind, and how many words each is."""
+    if spaced:
+        found = _WORDS.findall(piece)
+        return found, [1] * len(found)
+    found = list(_UNITS.finditer(piece))
+    return [m.group() for m in found], [0.5 if m.group(1) else 0.25 if m.group(2) else 1 for m in found]
+
+
+def chosen(keys: list[int], sizes: list[float]) -> list[int]:
+    """The places of the least key of each window of WINDOW words, of equal ones the last."""
+    found, at, low, held = [], -1, 0, 0
+    whole = False
+    for i, key in enumerate(keys):
+        held += sizes[i]
+        while held > WINDOW:
+            held -= sizes[low]
+            low += 1
+        whole = whole or low > 0 or held == WINDOW
+        if at < low:
+            at = low
+            for j in range(low + 1, i + 1):
+                if keys[j] <= keys[at]:
+                    at = j
+        elif key <= keys[at]:
+            at = i
+        if whole and (not found or found[-1] != at):
+            found.append(at)
+    return found
+
+
+def sentences(text: str) -> tuple[list[str], list[float]]:
+    """The pieces of a text, which joined give the text, and their words (quarters of words in scripts without spaces)."""
     pieces, words = [], []
+    spaced = text.isascii() or not _UNSPACED.search(text)
     for p in _PIECES.findall(text):
-        n = len(p.split())
+        n = len(p.split()) if spaced else sum(units(p, False)[1])
         if n <= LONG:
             pieces.append(p)
             words.append(n)
             continue
         lead = len(p) - len(p.lstrip())
-        held, count = p[:lead], 0
-        for w in _WORDS.findall(p[lead:]):
-            held += w
-            count += 1
-            if zlib.crc32(w.strip().lower().encode()) % CUT_EVERY == 0:
-                pieces.append(held)
-                words.append(count)
-                held, count = "", 0
-        if held:
-            pieces.append(held)
-            words.append(count)
+        each, sizes = units(p[lead:], spaced)
+        begin, head = 0, p[:lead]
+        for end in [*(c + 1 for c in chosen([zlib.crc32(w.strip().lower().encode()) for w in each], sizes)), len(each)]:
+            if end > begin:
+                pieces.append(head + "".join(each[begin:end]))
+                words.append(sum(sizes[begin:end]))
+                begin, head = end, ""
     return pieces, words
 
 
-def spans(pieces: list[str], words: list[int], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(pieces: list[str], words: list[float], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first and end sentence of the shortest sufficient run from each sentence on. Case and the white space
     around sentences don't matter; sentences without words are passed over."""
-    full = np.flatnonzero(np.array(words, np.int64) > 0)
+    full = np.flatnonzero(np.array(words, np.float64) > 0)
     n = len(full)
     if n < min_sentences:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.fromiter((xxhash.xxh64_intdigest(pieces[i].strip().lower().encode()) for i in full), np.uint64, n)
-    total = np.r_[0, np.cumsum(np.array(words, np.int64)[full])]
+    total = np.r_[0, np.cumsum(np.array(words, np.float64)[full])]
     end = np.maximum(np.searchsorted(total, total[:-1] + min_words), np.arange(n) + min_sentences)
     at = np.flatnonzero(end <= n)
     end = end[at]
@@ -76,10 +113,11 @@ class Block:
     def __init__(self, row: dict, min_sentences: int, min_words: int) -> None:
         buf, start, size = open_block(row["lens"], row["body"])
         data = buf.tobytes()
-        self.pieces, found = [], []
+        self.pieces, self.words, found = [], [], []
         for d, (s, n) in enumerate(zip(start, size, strict=True)):
             pieces, words = sentences(data[s : s + n].decode())
             self.pieces.append(pieces)
+            self.words.append(np.array(words, np.float32))
             prints, first, end = spans(pieces, words, min_sentences, min_words)
             found.append((prints, np.full(len(prints), d), first, end))
         self.prints, self.doc, self.first, self.end = (np.concatenate([f[i] for f in found]) for i in range(4))
@@ -142,7 +180,7 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 np.add.at(step, b.end[runs], -1)
                 gone = np.cumsum(step)[:-1] > 0
                 n_removed.append(int(gone.sum()))
-                n_words.append(sum(len(p.split()) for p, g in zip(pieces, gone, strict=True) if g))
+                n_words.append(int(b.words[d][gone].sum(dtype=np.float64)))
                 kept.append("".join(p for p, g in zip(pieces, gone, strict=True) if not g))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["ids"], pa.int64()), pa.array([len(p) for p in b.pieces], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, pa.string())] + [pa.array(row["rest"], rest_type) for _ in carry[:1]],

@@ -155,3 +155,30 @@ def test_components_of_long_chains(spark):
     links = [(c[i], c[i + 1]) for c in apart for i in range(len(c) - 1)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: min(c) for c in apart for x in c} | {7: 7}
+
+
+def _shares_a_run(a, b):
+    x, y = (set(sentence_spans.spans(*sentence_spans.sentences(t), 3, 20)[0].tolist()) for t in (a, b))
+    return bool(x & y)
+
+
+def test_every_passage_of_fifty_words_has_a_run():
+    rng = np.random.default_rng(11)
+    for ends in (0.0, 0.06, 0.2):
+        for _ in range(400):
+            words = lambda n: [f"v{w}{'.' if rng.random() < ends else ''}" for w in rng.zipf(1.3, n) % 5000]  # noqa: B023, E731
+            passage = words(50)
+            texts = [" ".join([*words(30), *passage, *words(30)]) for _ in range(2)]
+            assert _shares_a_run(*texts), texts
+
+
+def test_spans_of_scripts_without_spaces():
+    rng = np.random.default_rng(12)
+    for low, high, n in ((0x4E00, 0x9000, 100), (0x0E01, 0x0E2F, 200)):
+        for end in ("", "。"):
+            chars = lambda n: "".join(chr(c) + (end if rng.random() < 0.03 else "") for c in rng.integers(low, high, n))  # noqa: B023, E731
+            for _ in range(100):
+                passage = chars(n)
+                texts = [chars(60) + passage + chars(60) for _ in range(2)]
+                assert "".join(sentence_spans.sentences(texts[0])[0]) == texts[0]
+                assert _shares_a_run(*texts)
