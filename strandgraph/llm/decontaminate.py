@@ -2,7 +2,8 @@
 
 Numbers, units and names of texts and benchmark items are replaced by typed placeholders. Windows of ``width`` template words are
 hashed and joined by hash; windows of an item and a document on one diagonal (document place - item place) are an
-alignment. An alignment counts if it covers enough words of the item and its slots are consistent: each value of the item stands for one value of the
+alignment. Windows with few literal words, and items shorter than a window as a whole, are joined by their words as they
+stand. An alignment counts if it covers enough words of the item and its slots are consistent: each value of the item stands for one value of the
 document and the other way around. So copies are found, and questions that only have other numbers or names.
 """
 
@@ -42,18 +43,40 @@ def _template(text: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    both = F.arrays_zip(F.split(text, r"\s").alias("raw"), F.split(_canonical(text), r"\s").alias("word"))
+    """Each word of the template, the word it stands for, and that without case and punctuation."""
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", "")
+    both = F.arrays_zip(F.split(text, r"\s").alias("raw"), F.split(_canonical(text), r"\s").alias("word"), F.split(bare, r"\s").alias("bare"))
     return F.filter(both, lambda p: p["word"] != "")
 
 
-def _windows(words: Column, width: int) -> Column:
-    """Hashes of all windows, in order; fewer than ``width`` words have none."""
+def _windows(pairs: Column, width: int, least: int) -> Column:
+    """Hashes of all windows, in order; fewer than ``width`` words have none. A window with fewer than ``least`` literal
+    words is hashed by its words as they stand instead of its template."""
 
-    def of(hashed: Column) -> Column:
-        n = F.size(hashed) - F.lit(width)
-        return F.when(n >= 0, F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.slice(hashed, i, width))))
+    def of(p: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(p["word"]) - F.lit(width) + 1)
+        by_template = lambda i: F.xxhash64(F.slice(p["word"], i, width))
+        slots = lambda part: F.size(F.array_remove(part, 0))
+        either = lambda i: F.when(slots(F.slice(p["slot"], i, width)) > width - least, _standing(F.slice(p["bare"], i, width))).otherwise(by_template(i))
+        hashed = F.when(slots(p["slot"]) > width - least, F.transform(starts, either)).otherwise(F.transform(starts, by_template))
+        return F.when(F.size(p["word"]) >= width, hashed)
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
+    def parts(all_pairs: Column) -> Column:
+        word = F.transform(all_pairs, lambda p: F.xxhash64(p["word"])).alias("word")
+        slot = F.transform(all_pairs, lambda p: F.when(p["word"].startswith("<"), 1).otherwise(0)).alias("slot")
+        return _let(F.struct(word, slot, all_pairs["bare"].alias("bare")), of)
+
+    return _let(pairs, parts)
+
+
+def _standing(words: Column) -> Column:
+    """The hash of words as they stand, never that of a template."""
+    return F.xxhash64(F.lit("as they stand"), words)
+
+
+def _standing_windows(pairs: Column, width: int) -> Column:
+    of = lambda bare: F.when(F.size(bare) >= width, F.transform(F.sequence(F.lit(1), F.size(bare) - F.lit(width) + 1), lambda i: _standing(F.slice(bare, i, width))))
+    return _let(pairs["bare"], of)
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -64,28 +87,34 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, n_words, n_slots, exact``: one row for each document and item whose best alignment counts.
 
-    It covers at least ``min_words`` words of the item, or all of a shorter item's; ``exact`` says that no slot has another value. Texts that are
-    null, empty or shorter than ``width`` words match nothing, nor do items; windows with fewer than 5 literal words
-    are not used. Rows with equal ids are one document, whose texts are looked at each for itself; a null id is
+    It covers at least ``min_words`` words of the item, or all of a shorter item's; ``exact`` says that no slot has another value. Texts and
+    items that are null or without words match nothing. Windows with fewer than 5 literal words, and items of fewer than ``width``
+    words, match only the same words, whatever their case and punctuation; so an item of one word matches each text with this word. Rows with equal ids are one document, whose texts are looked at each for itself; a null id is
     reported as null. Extra columns aren't read. Of equal alignments of a pair the longest is taken, then the first.
     """
     item = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     item = item.withColumn("pairs", _pairs(F.col("text"))).withColumn("item_words", F.transform("pairs", lambda p: p["word"]))
-    item = cut(item.withColumn("item_raw", F.transform("pairs", lambda p: p["raw"])).where(F.size("item_words") >= width).select("item_id", "item_words", "item_raw"))
-    spans = item.select("item_id", F.size("item_words").alias("item_size"), "item_words", F.posexplode(_windows(F.col("item_words"), width)).alias("item_at", "hash"))
+    item = cut(item.withColumn("item_raw", F.transform("pairs", lambda p: p["raw"])).where(F.size("item_words") > 0).select("item_id", "item_words", "item_raw", "pairs"))
+    item_size = F.size("item_words").alias("item_size")
+    long = item.where(F.size("item_words") >= width).select("item_id", item_size, "item_words", F.posexplode(_windows(F.col("pairs"), width, MIN_LITERALS)).alias("item_at", "hash"))
+    short = item.where(F.size("item_words") < width).select("item_id", item_size, "item_words", F.lit(0).alias("item_at"), _standing(F.col("pairs")["bare"]).alias("hash"))
     held = F.slice("item_words", F.col("item_at") + 1, width)
-    literals = F.size(F.filter(held, lambda w: ~w.startswith("<")))
-    spans = spans.where(literals >= MIN_LITERALS).select("item_id", "item_size", "item_at", "hash", (literals < width).alias("has_slot"))
-    spans = cut(spans)
+    has_slot = F.exists(held, lambda w: w.startswith("<")).alias("has_slot")
+    spans = cut(long.union(short).select("item_id", "item_size", "item_at", "hash", has_slot))
+    sizes = sorted(r[0] for r in spans.where(F.col("item_size") < width).select("item_size").distinct().collect())  # fewer than width
 
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    there = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(_windows(_template(F.col("text")), width)).alias("doc_at", "hash"))
+    pairs = _pairs(F.col("text"))
+    every = [_windows(pairs, width, MIN_LITERALS), *(_standing_windows(pairs, n) for n in sizes)]
+    there = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(every[0]).alias("doc_at", "hash"))
+    for windows in every[1:]:
+        there = there.union(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(windows).alias("doc_at", "hash")))
     hits = there.join(_small(spans), "hash")
     by = ["doc_id", "text_key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")]
     lined = hits.groupBy(*by).agg(F.max("has_slot").alias("has_slot"), F.min("item_size").alias("item_size"), F.collect_set("item_at").alias("at"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + width - 1)))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.least(F.lit(width), F.col("item_size")) - 1)))))
     lined = lined.withColumn("n_words", covered).where(F.col("n_words") >= F.least(F.lit(min_words), F.col("item_size")))
-    lined = cut(lined.withColumn("low", F.array_min("at")).withColumn("high", F.array_max("at") + width).drop("at", "item_size"))
+    lined = cut(lined.withColumn("low", F.array_min("at")).withColumn("high", F.array_max("at") + F.least(F.lit(width), F.col("item_size"))).drop("at", "item_size"))
 
     plain = lined.where("NOT has_slot").select("doc_id", "item_id", "n_words", F.lit(0).alias("n_slots"), F.lit(True).alias("exact"))
     slotted = lined.where("has_slot").join(item, "item_id")

@@ -182,3 +182,11 @@ def test_spans_of_scripts_without_spaces():
                 texts = [chars(60) + passage + chars(60) for _ in range(2)]
                 assert "".join(sentence_spans.sentences(texts[0])[0]) == texts[0]
                 assert _shares_a_run(*texts)
+
+
+def test_decontamination_of_items_dense_in_numbers_and_short_ones(spark):
+    dense = "Compute 12 + 7 * 3 - 4 / 2 when x = 5 and y = 9"
+    items = spark.createDataFrame([(1, dense), (2, "Who wrote Faust?"), (3, " ? ")], "item_id long, text string")
+    texts = [(1, f"Before it. {dense}. After it."), (2, dense.replace("12", "13")), (3, "Then: who wrote faust"), (4, "Who wrote that? Faust"), (5, "wrote Faust?"), (6, None)]
+    got = {(r["doc_id"], r["item_id"], r["exact"]) for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1, True), (3, 2, True)}
