@@ -7,6 +7,7 @@ they match (exact, stem, misspelt) and by whether the words around show a quotat
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -191,8 +192,8 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     chosen = F.broadcast(cut(chosen))  # at most max_toxic + max_clean rows of two numbers
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("text", "y").collect()
     rows.sort()
-    # Copies that begin alike say what one of them says.
-    apart = {(r["y"], r["text"][:80]): r["text"] for r in rows}
+    # Copies, of the same words in the same order, say what one of them says.
+    apart = {(r["y"], hashlib.sha256(" ".join(_WORD.findall(r["text"].lower())).encode()).digest()): r["text"] for r in rows}
     sets = {y: [set(_WORD.findall(t.lower())) for (v, _), t in apart.items() if v == y] for y in (0, 1)}
     words, stems = learn_lexicon(sets[1], sets[0])
     scorer = Scorer(words, stems)

@@ -190,3 +190,11 @@ def test_decontamination_of_items_dense_in_numbers_and_short_ones(spark):
     texts = [(1, f"Before it. {dense}. After it."), (2, dense.replace("12", "13")), (3, "Then: who wrote faust"), (4, "Who wrote that? Faust"), (5, "wrote Faust?"), (6, None)]
     got = {(r["doc_id"], r["item_id"], r["exact"]) for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
     assert got == {(1, 1, True), (3, 2, True)}
+
+
+def test_toxicity_learns_from_texts_with_a_common_header(spark):
+    header = "This source opens every document that it has with one and the same long line of text. "
+    assert len(header) > 80
+    rows = [(i, f"{header} Number {i} {'you idiot' if i % 2 else 'fine day'}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert "idiot" in toxicity.fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"))["words"]
