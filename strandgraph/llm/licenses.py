@@ -2,13 +2,14 @@
 
 Around every word that license texts are known by, a block of the text is taken. It is compressed by itself and with each
 template as zstandard raw dictionary; templates are ranked by the bytes that they save. Templates that save a good part of what
-they themselves take are then compared word by word with the block, and the one with the fewest differences for its length is
-reported, with these differences.
+they themselves take are then compared word by word with the block, wherever it may hold them. Of occurrences that overlap the
+one with the fewest differences for its length is reported, with these differences.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -46,8 +47,9 @@ BEFORE, AFTER = 160, 400
 MIN_SAVED, MIN_ALIKE = 0.35, 0.8
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(place, block) around each anchor that the block before doesn't reach: at most its lines, and BEFORE and AFTER."""
+def blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(place of the anchor, start, block) around each anchor that the block before doesn't hold: at most its lines, and
+    BEFORE and AFTER."""
     done = -1
     for m in _ANCHOR.finditer(text):
         if m.start() < done:
@@ -57,8 +59,8 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
         end = min(len(text), m.end() + AFTER)
         stop = text.find("\n\n", m.end(), end)
         end = stop if stop >= 0 else end
-        done = m.end() + 40
-        yield m.start(), text[start:end]
+        done = min(m.end() + 40, end)
+        yield m.start(), start, text[start:end]
 
 
 class Scanner:
@@ -80,30 +82,65 @@ class Scanner:
         saved = [((alone - len(c.compress(data))) / self.size[name], name) for name, c in self.with_dict.items()]
         return sorted((s for s in saved if s[0] >= MIN_SAVED), key=lambda s: (-s[0] * self.size[s[1]], s[1]))
 
-    def _judge(self, block: str) -> tuple[str, float, int, str] | None:
-        """(name, saved, differing words, differences) of the block's license."""
-        words = _WORD.findall(block.lower())
-        best = None
+    def _judge(self, block: str) -> list[tuple[tuple, str, float, int, str, int, int]]:
+        """(rank, name, saved, differing words, differences, start, end) of each place where the block holds a template."""
+        places = list(_WORD.finditer(block))
+        words = [m.group().lower() for m in places]
+        found = []
         for saved, name in self.ranked(block):
-            own = self.words[name]
-            match = SequenceMatcher(None, own, words, autojunk=False)
-            parts = [m for m in match.get_matching_blocks() if m.size]
-            same = sum(m.size for m in parts)
-            if not parts or same < MIN_ALIKE * len(own):
-                continue
-            low, high = parts[0].b - parts[0].a, parts[-1].b + len(own) - parts[-1].a
-            said = [f"-{' '.join(own[a:b])}+{' '.join(words[c:d])}" for tag, a, b, c, d in SequenceMatcher(None, own, words[max(0, low) : high], autojunk=False).get_opcodes() if tag != "equal"]
-            wrong = sum(len(x.replace("+", " ").strip("- ").split()) for x in said)
-            rank = (wrong / len(own), -len(own), name)
-            if best is None or rank < best[0]:
-                best = (rank, (name, round(saved, 4), wrong, "; ".join(said)))
-        return best[1] if best and best[0][0] <= 1 - MIN_ALIKE else None
+            for wrong, said, low, high in occurrences(self.words[name], words):
+                rank = (wrong / len(self.words[name]), -len(self.words[name]), name)
+                found.append((rank, name, round(saved, 4), wrong, said, places[low].start(), places[high - 1].end()))
+        return found
+
+
+def occurrences(own: list[str], words: list[str]) -> Iterator[tuple[int, str, int, int]]:
+    """(differing words, differences, first word, end) of the places of ``words`` that hold the template ``own``; they don't
+    overlap. Each is looked for around a run of equal words, the longest first, and is compared with the words there."""
+    most = int((1 - MIN_ALIKE) * len(own) + 1e-9)
+    # With so many differences at most, one of the equal runs between them has this many words.
+    least = max(1, -(-(len(own) - most) // (most + 1)))
+    seek, words = list(words), list(words)
+    while True:
+        m = SequenceMatcher(None, own, seek, autojunk=False).find_longest_match()
+        if m.size < least:
+            return
+        start = max(0, m.b - m.a - most)
+        here = words[start : m.b - m.a + len(own) + most]
+        parts = [p for p in SequenceMatcher(None, own, here, autojunk=False).get_matching_blocks() if p.size]
+        seek[m.b : m.b + m.size] = [None] * m.size
+        if not parts or sum(p.size for p in parts) < MIN_ALIKE * len(own):
+            continue
+        low, high = parts[0].b - parts[0].a, parts[-1].b + len(own) - parts[-1].a
+        said = [f"-{' '.join(own[a:b])}+{' '.join(w or '' for w in here[max(0, low) : high][c:d])}" for tag, a, b, c, d in SequenceMatcher(None, own, here[max(0, low) : high], autojunk=False).get_opcodes() if tag != "equal"]
+        wrong = sum(len(x.replace("+", " ").strip("- ").split()) for x in said)
+        if wrong > (1 - MIN_ALIKE) * len(own) + 1e-9:
+            continue
+        first, end = start + parts[0].b, start + parts[-1].b + parts[-1].size
+        yield wrong, "; ".join(said), first, end
+        seek[first:end] = words[first:end] = [None] * (end - first)
+
+
+def licenses_of(text: str, scanner: Scanner) -> dict[str, list]:
+    """For each license (differing words, place of the anchor, saved, differences) of each of its occurrences."""
+    held = []
+    for at, start, block in blocks(text):
+        held += [(rank, start + low, start + high, at, name, saved, wrong, said) for rank, name, saved, wrong, said, low, high in scanner.judge(block)]
+    found: dict[str, list] = {}
+    taken: list[tuple[int, int]] = []
+    for _, low, high, at, name, saved, wrong, said in sorted(held):
+        k = bisect(taken, (low, high))
+        if (k == 0 or taken[k - 1][1] <= low) and (k == len(taken) or high <= taken[k][0]):
+            taken.insert(k, (low, high))
+            own = _ANCHOR.search(text, low, high)
+            found.setdefault(name, []).append((wrong, own.start() if own else at, saved, said))
+    return found
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, license, n_found, first_at, saved, n_differences, differences``: a row for each license of a document.
 
-    ``first_at`` is the character where its first anchor stands; the other figures are those of the occurrence with the fewest
+    ``n_found`` counts the places that hold it. ``first_at`` is the character where its first anchor stands; the other figures are those of the occurrence with the fewest
     differing words, then the first. Null and empty texts, and those without an anchor, give no row; rows with equal or null ids
     give rows of their own. Texts are scanned whole. Other columns aren't read.
     """
@@ -115,11 +152,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                found: dict[str, list] = {}
-                for at, block in blocks(text or ""):
-                    said = scanner.judge(block)
-                    if said:
-                        found.setdefault(said[0], []).append((said[2], at, said[1], said[3]))
+                found = licenses_of(text or "", scanner)
                 for name, each in sorted(found.items()):
                     wrong, _, saved, differences = min(each)
                     out.append((doc_id, name, len(each), min(e[1] for e in each), saved, wrong, differences))

@@ -198,3 +198,12 @@ def test_toxicity_learns_from_texts_with_a_common_header(spark):
     rows = [(i, f"{header} Number {i} {'you idiot' if i % 2 else 'fine day'}", i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert "idiot" in toxicity.fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"))["words"]
+
+
+def test_each_license_of_a_paragraph(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = [f"{mit} {apache}", f"{apache} {mit} {mit}", f"{mit}\n\n{apache}", f"Text before. {licenses.TEMPLATES['Apache-2.0-header']}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["n_found"], r["n_differences"]) for r in licenses.scan_licenses(df).collect()}
+    assert {g for g in got if g[0] < 3} == {(0, "MIT", 1, 0), (0, "Apache-2.0", 1, 0), (1, "MIT", 2, 0), (1, "Apache-2.0", 1, 0), (2, "MIT", 1, 0), (2, "Apache-2.0", 1, 0)}
+    assert all(g[2] == 1 for g in got if g[0] == 3)
