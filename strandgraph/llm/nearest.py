@@ -3,7 +3,8 @@
 A unit vector is turned by three rounds of random signs and a fast Hadamard transform; its hash is the nearest signed axis.
 ``hashes`` of these make a bucket of a table. A query looks into its own bucket and those of the next nearest axes in every
 table; what it finds there is ranked by exact distance. Equal vectors are one entry of the index with the smallest ids,
-and a bucket with many entries is dealt to several tasks, each of which ranks its part.
+and a bucket with many entries is dealt to several tasks, each of which ranks its part. Queries that find fewer than are
+due are ranked against all vectors.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import cut, mix
 TABLES, PROBES = 16, 8
 #: Entries a bucket should have on average, which sets how many hashes make a bucket; entries of a bucket for one task.
 OCCUPANCY, SHARD = 1024, 4096
+#: Bytes of vectors of queries that are ranked against all vectors at a time.
+EXACT_BYTES = 4 << 20
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
     The score is the Euclidean distance in double precision, smallest first, ties to the smaller id; the row itself is
     left out. Null and zero vectors, and those with null or non-finite components, take no part, nor do rows with a null
     id; a query only meets vectors of its own length. Repeated rows count once. Fewer than k rows are returned only
-    where fewer were found. An empty table gives no rows.
+    where there are fewer candidates: a query that finds fewer is ranked exactly against all. An empty table gives no rows.
     """
     wanted = F.coalesce(queries, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), wanted.alias("asks"))
@@ -125,12 +128,50 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
     by = [*at, "part"]
     found = looks.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(rank, "query long, vec_id long, score double").distinct()
     best = Window.partitionBy("query").orderBy("score", "vec_id")
+    found = cut(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
+    # The query itself is among what is found and among the entries.
+    due = index.groupBy(F.size("v").alias("dims")).agg(F.least(F.lit(k + 1), F.sum(F.size("ids"))).alias("due"))
+    due = F.broadcast(cut(due))  # one row for each length of a vector
+    got = found.groupBy("query").agg(F.count(F.lit(1)).alias("got"))
+    short = distinct.withColumn("dims", F.size("v")).join(due, "dims").join(got, "query", "left").where(F.coalesce("got", F.lit(0)) < F.col("due"))
+    short = cut(short.select("query", "v"))
+    turns = -(-short.count() * dims * 8 // EXACT_BYTES)
+    short = short.withColumn("turn", F.pmod(F.xxhash64("query"), F.lit(max(1, turns))))
+    found = found.join(short.select("query"), "query", "left_anti") if turns else found
+    for turn in range(turns):
+        asks = short.where(F.col("turn") == turn).select("query", "v").collect()  # about EXACT_BYTES
+        found = cut(found.unionByName(index.select("ids", "v").mapInArrow(_ranked_all([(r["query"], np.array(r["v"])) for r in asks], k), "query long, vec_id long, score double")))
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     mine = asked.withColumnRenamed("vec_id", "query_id").join(distinct, "v").select("query_id", "query").join(found, "query").where("query_id <> vec_id")
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _ranked_all(asks: list[tuple[int, np.ndarray]], k: int):
+    """Ranks all entries of a task for each of the queries; the k + 1 best are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {q: (np.empty(0), np.empty(0, np.int64)) for q, _ in asks}
+        for batch in batches:
+            lengths = np.array([len(v) for v in batch.column(1)])
+            for d in np.unique(lengths):
+                own = np.flatnonzero(lengths == d)
+                y = np.array(batch.column(1).take(pa.array(own)).to_pylist(), np.float64)
+                held = batch.column(0).take(pa.array(own)).to_pylist()
+                sizes, ids = np.array([len(i) for i in held]), np.concatenate([np.array(i, np.int64) for i in held])
+                for q, x in asks:
+                    if len(x) == d:
+                        score = np.r_[best[q][0], np.repeat(np.sqrt(((y - x) ** 2).sum(1)), sizes)]
+                        every = np.r_[best[q][1], ids]
+                        top = np.lexsort((every, score))[: k + 1]
+                        best[q] = score[top], every[top]
+        for q, (score, ids) in best.items():
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q), pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["query", "vec_id", "score"])
+
+    return run
+
+
 def _dealt(df: DataFrame, carried: str, tables: int, hashes: int, probes: int) -> DataFrame:
     """A row for each table and bucket of each vector."""
     name, kind = carried.split()

@@ -207,3 +207,18 @@ def test_each_license_of_a_paragraph(spark):
     got = {(r["doc_id"], r["license"], r["n_found"], r["n_differences"]) for r in licenses.scan_licenses(df).collect()}
     assert {g for g in got if g[0] < 3} == {(0, "MIT", 1, 0), (0, "Apache-2.0", 1, 0), (1, "MIT", 2, 0), (1, "Apache-2.0", 1, 0), (2, "MIT", 1, 0), (2, "Apache-2.0", 1, 0)}
     assert all(g[2] == 1 for g in got if g[0] == 3)
+
+
+def test_nearest_finds_all_that_is_due(spark):
+    rng = np.random.default_rng(13)
+    small = rng.normal(size=(8, 64))
+    centre = rng.normal(size=32)
+    skewed = np.r_[centre + rng.normal(size=(60, 32)) / 1000, [-centre]]
+    rows = [(i, v.tolist()) for i, v in enumerate(small)] + [(100 + i, v.tolist()) for i, v in enumerate(skewed)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, (F.col("vec_id") < 8) | (F.col("vec_id") == 160)).collect()
+    for ids, x, asked in ((range(8), small, range(8)), (range(100, 161), skewed, [160])):
+        for q in asked:
+            d = {i: np.linalg.norm(v - x[q - ids[0]]) for i, v in zip(ids, x, strict=True) if i != q}
+            want = sorted(d, key=lambda i: (d[i], i))[:10]
+            assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
