@@ -2,6 +2,7 @@
 passages and benchmark questions go, and what is left is mixed to target weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+The first numbers the rows that it leaves (``row``); the others decide a row by this number, as ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -15,33 +16,41 @@ from strandgraph.llm import decontaminate, jaccard_join, mixing, registry, sente
 from strandgraph.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the written number of each row; docs that have none are written with it."""
+    return docs if ROW in docs.columns else cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model doesn't reject."""
-    return toxicity.drop_toxic(docs, registry.toxicity_model(spark, sf_dir)).select(*COLUMNS)
+    return toxicity.drop_toxic(docs, registry.toxicity_model(spark, sf_dir)).select(*COLUMNS, F.monotonically_increasing_id().alias(ROW))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id. Documents without words are in no group and stay.
-
-    Rows with a null id are in no group that has an id, unless all of it are null; they stay if nothing links them."""
-    groups = jaccard_join.similar_groups(docs)
-    gone = cut(groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    """Of each group of linked documents the row with the smallest id (null ids last), then the smallest number. Documents
+    that nothing links, and those without words, stay, whatever their ids."""
+    docs = numbered(docs)
+    linked = cut(jaccard_join.similar_groups(docs, key_col=ROW).where("linked IS NOT NULL").select("linked", "doc_id", ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW))[ROW]
+    stays = linked.groupBy("linked").agg(first.alias(ROW)).select(ROW)
+    gone = cut(linked.select(ROW).join(stays, ROW, "left_anti"))
+    return docs.join(gone, ROW, "left_anti").select(*COLUMNS, ROW)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated passages; a document of which nothing is left goes."""
-    kept = sentence_spans.remove_repeated_spans(docs, carry=("lang", "source", "n_chars"))
+    kept = sentence_spans.remove_repeated_spans(numbered(docs), carry=("lang", "source", "n_chars", ROW))
     kept = kept.where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
     n_chars = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length("kept"))
-    return kept.select("doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", n_chars.cast("long").alias("n_chars"))
+    return kept.select("doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", n_chars.cast("long").alias("n_chars"), f"rest.{ROW}")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark question, also with other numbers or names."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.decontaminate(numbered(docs), table(spark, sf_dir, "benchmark"), key_col=ROW).select(*COLUMNS, ROW)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

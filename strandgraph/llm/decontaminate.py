@@ -138,7 +138,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df`` that match no item; those with a null id stay unless a row with a null id matches."""
-    bad = cut(contaminated(df, items, id_col, **how).select(F.col("doc_id").alias("bad_id")).distinct())
-    return df.join(_small(bad), F.col(id_col).eqNullSafe(F.col("bad_id")), "left_anti")
+def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", key_col: str | None = None, **how) -> DataFrame:
+    """The rows of ``df`` that match no item, each judged by its own text, whatever its id.
+
+    ``key_col`` names a written column that is another value in each row; without it rows are numbered and written first.
+    """
+    key = key_col or "_row"
+    rows = df if key_col else cut(df.withColumn(key, F.monotonically_increasing_id()))
+    bad = cut(contaminated(rows, items, key, **how).select(F.col("doc_id").alias("bad_row")).distinct())
+    return rows.join(_small(bad), F.col(key) == F.col("bad_row"), "left_anti").select(*df.columns)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import block_rows, components, cut, distinct, mix, open_block, pack, power, read_marks, release, shared_values, text_blocks, total_bytes, unpack
 
@@ -144,8 +145,9 @@ def parity_sketch(elements: np.ndarray, band: int, percent: int) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_bytes: int = 1 << 21) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id``.
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_bytes: int = 1 << 21, key_col: str | None = None) -> DataFrame:
+    """One row a document: ``doc_id, n_shingles, component_id``; with ``key_col``, also this column and ``linked``, a name
+    that exactly the rows of one component have (null for rows that certainly have no partner).
 
     Documents link when 100 x intersection >= percent x union of their sets of word shingles; ``component_id`` is the
     smallest id reachable by links, the document's own included. Null and empty texts and texts without words have no
@@ -153,7 +155,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own with one id; a null id takes part and is smaller than none. Other columns aren't read. Sets are compared by
     64-bit hashes of their shingles.
     """
-    blocks = text_blocks(df, id_col, text_col, block_bytes)
+    blocks = text_blocks(df, id_col, text_col, block_bytes, (key_col,) if key_col else ())
+    key_type = f", key {df.schema[key_col].dataType.simpleString()}" if key_col else ""
+    arrow_type = to_arrow_type(df.schema[key_col].dataType) if key_col else None
     n_values = max(1, total_bytes(blocks) // 6)
     marks = cut(shared_values(blocks, lambda row: distinct(block_shingles(row, words)[1]), n_values))
     marked = blocks.join(marks, "block", "left")
@@ -173,9 +177,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 e = hashes[ends[d] - sizes[d] : ends[d]]
                 set_id[d] = int(mix(np.array([np.add.reduce(mix(e + _U(77))) + _U(len(e))], np.uint64)).view(np.int64)[0])
                 elements[d] = e.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_id, pa.int64()), pa.array(elements, pa.binary()), pa.array(own, pa.int64())], names=["doc_id", "n_shingles", "set_id", "elements", "own"])
+            keys = [pa.array([r[key_col] for r in row["rest"]], arrow_type)] if key_col else []
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_id, pa.int64()), pa.array(elements, pa.binary()), pa.array(own, pa.int64()), *keys], names=["doc_id", "n_shingles", "set_id", "elements", "own", *["key"] * len(keys)])
 
-    docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, elements binary, own long"))
+    docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, elements binary, own long" + key_type))
     del blocks, marks, marked  # what they wrote isn't needed any more
     sets = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least"), F.min("own").alias("own"))
     sets = cut(sets)
@@ -184,11 +189,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(found).select(F.col("node").alias("set_id"), "root")
     labelled = sets.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    labelled = labelled.join(least, "root").select("set_id", "component")
+    labelled = labelled.join(least, "root").select("set_id", "component", "root")
     # A set has one row; documents that share a set may be many, so that side stays where it is or is split.
     joined = docs.join(labelled, "set_id", "left")
     release(df.sparkSession)
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    keyed = [F.col("key").alias(key_col), F.col("root").alias("linked")] if key_col else []
+    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *keyed)
 
 
 def _linked_sets(sets: DataFrame, percent: int) -> DataFrame:

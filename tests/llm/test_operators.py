@@ -222,3 +222,16 @@ def test_nearest_finds_all_that_is_due(spark):
             d = {i: np.linalg.norm(v - x[q - ids[0]]) for i, v in zip(ids, x, strict=True) if i != q}
             want = sorted(d, key=lambda i: (d[i], i))[:10]
             assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_pipeline_decides_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    other, item = " ".join(WORDS[100:180]), " ".join(WORDS[180:200])
+    texts = [(None, BASE), (None, BASE), (None, other), (4, "own words of four"), (5, BASE), (5, "own words of five"), (6, item), (6, "own words of six"), (None, item + " more"), (None, "own words of none"), (7, "a copy with equal ids"), (7, "a copy with equal ids")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in left.collect())) == sorted((i or 0, t) for i, t in {*texts} - {(None, BASE)} - {(None, item + " more")})
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in left.collect())) == sorted((i or 0, t) for i, t in texts if not t.startswith(item))
