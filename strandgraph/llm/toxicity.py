@@ -3,16 +3,20 @@
 A lexicon of words and stems is learned from labelled texts. Its trie is intersected with Levenshtein automata of distance
 one into a single automaton, built as words walk through it; most words leave it after a few letters. Matches are counted by how
 they match (exact, stem, misspelt) and by whether the words around show a quotation; a logistic model weighs these.
+
+Learning runs on the executors: they count the terms of the labelled texts and judge them, and they find the features.
+What reaches the driver is the lexicon and a row of numbers for each labelled row of the bounded sample, never a text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,15 +39,15 @@ KINDS = ("exact", "stem", "misspelt")
 class Automaton:
     """The lexicon's trie with up to one edit, determinised on demand.
 
-    A state is the set of (trie node, edits left) that a read prefix can be at. A stem accepts with any letters after it and
-    without edits; whole words of five letters or more accept at distance one.
+    A state is the set of (trie node, edits left, letter due) that a read prefix can be at; a letter is due where two
+    neighbours were swapped and the second was read first. An edit is a letter more, less or other, or such a swap. A stem
+    accepts with any letters after it and without edits; whole words of five letters or more accept at distance one.
     """
 
     def __init__(self, words: set[str], stems: set[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[set[str]] = [set()]
-        self.tall: list[int] = [0]
-        for term, kind in [*((w, "word") for w in words), *((s, "stem") for s in stems)]:
+        for term, kind in [*((w, "long" if len(w) >= 5 else "short") for w in sorted(words)), *((s, "stem") for s in sorted(stems))]:
             node = 0
             for c in term:
                 if c not in self.children[node]:
@@ -52,46 +56,46 @@ class Automaton:
                     self.ends.append(set())
                 node = self.children[node][c]
             self.ends[node].add(kind)
-        self.long = {w for w in words if len(w) >= 5}
         self.step: list[dict[str, int]] = []
         self.accept: list[int] = []
         self.stem: list[bool] = []
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
-        self.spelt: dict[int, str] = {0: ""}
-        for node, kids in enumerate(self.children):
-            for c, kid in kids.items():
-                self.spelt[kid] = self.spelt[node] + c
         self.dead = self._number(frozenset())
-        self.root = self._number(self._closed({(0, 1)}))
+        self.root = self._number(self._closed({(0, 1, "")}))
 
-    def _closed(self, state: set[tuple[int, int]]) -> frozenset:
-        for node, left in list(state):
+    def _closed(self, state: set[tuple[int, int, str]]) -> frozenset:
+        for node, left, _ in list(state):
             if left:
-                state.update((kid, 0) for kid in self.children[node].values())  # a letter of the term is left out
-        return frozenset(s for s in state if s[1] or (s[0], 1) not in state)
+                state.update((kid, 0, "") for kid in self.children[node].values())  # a letter of the term is left out
+        return frozenset(s for s in state if s[1] or s[2] or (s[0], 1, "") not in state)
 
     def _number(self, state: frozenset) -> int:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
             self.step.append({})
-            exact = any(left and "word" in self.ends[node] for node, left in state)
-            near = any(not left and "word" in self.ends[node] and self.spelt[node] in self.long for node, left in state)
-            near = near or any(left and any("word" in self.ends[k] and self.spelt[k] in self.long for k in self.children[node].values()) for node, left in state)
+            exact = any(left and self.ends[node] & {"long", "short"} for node, left, _ in state)
+            near = any(not due and "long" in self.ends[node] for node, _, due in state)
+            near = near or any(left and any("long" in self.ends[k] for k in self.children[node].values()) for node, left, _ in state)
             self.accept.append(1 if exact else 3 if near else 0)
-            self.stem.append(any(left and "stem" in self.ends[node] for node, left in state))
+            self.stem.append(any(left and "stem" in self.ends[node] for node, left, _ in state))
         return self.numbers[state]
 
     def _move(self, at: int, c: str) -> int:
-        to: set[tuple[int, int]] = set()
-        for node, left in self.states[at]:
+        to: set[tuple[int, int, str]] = set()
+        for node, left, due in self.states[at]:
+            if due:
+                if c == due:
+                    to.add((node, 0, ""))
+                continue
             kids = self.children[node]
             if c in kids:
-                to.add((kids[c], left))
+                to.add((kids[c], left, ""))
             if left:
-                to.add((node, 0))  # a letter too many
-                to.update((kid, 0) for kid in kids.values())  # another letter
+                to.add((node, 0, ""))  # a letter too many
+                to.update((kid, 0, "") for kid in kids.values())  # another letter
+                to.update((self.children[kid][c], 0, a) for a, kid in kids.items() if a != c and c in self.children[kid])  # the next letter first
         return self._number(self._closed(to))
 
     def match(self, word: str) -> int:
@@ -110,29 +114,23 @@ class Automaton:
         return self.accept[at] if self.accept[at] == 1 else 2 if stem else self.accept[at]
 
 
-def learn_lexicon(toxic: list[set[str]], clean: list[set[str]]) -> tuple[set[str], set[str]]:
-    """Words, and stems whose single words are too rare to be learned, that mark toxic texts."""
+def forms(words: set[str]) -> set[str]:
+    """What may be learned of a text's words: those of three letters or more, and their beginnings, marked with a star."""
+    return {w for w in words if len(w) >= 3} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+
 
-    def count(texts: list[set[str]], wanted: set[str] | None) -> Counter:
-        c: Counter = Counter()
-        for words in texts:
-            forms = {w for w in words if len(w) >= 3} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
-            c.update(forms if wanted is None else forms & wanted)
-        return c
+def choose_terms(good: dict[str, int]) -> tuple[set[str], set[str]]:
+    """Words, and stems whose single words are too rare to be learned, of the forms that mark toxic texts.
 
-    least = max(MIN_TEXTS, len(toxic) // 500)
-    often = {f: n for f, n in count(toxic, None).items() if n >= least}
-    other = count(clean, set(often))
-    scale = len(toxic) / max(1, len(clean))
-    good = {f for f, n in often.items() if n / (n + other[f] * scale) >= MIN_SHARE and n >= 5 * other[f] * scale + least}
+    ``good`` has the forms and how many toxic texts they are in. A word under a stem stays a word, so that its
+    misspellings are found, too.
+    """
+    words = {f for f in good if not f.endswith("*")}
     stems: set[str] = set()
-    for f in sorted((f[:-1] for f in good if f.endswith("*")), key=len):
-        whole = sum(often.get(w, 0) for w in [f] if w in good)
-        if whole * 2 < often[f + "*"] and not any(f.startswith(s) for s in stems):
-            words = {w for w in good if not w.endswith("*") and w.startswith(f)}
-            if not any(often[w] * 2 >= often[f + "*"] for w in words):
-                stems.add(f)
-    words = {f for f in good if not f.endswith("*") and not any(f.startswith(s) for s in stems)}
+    for stem in sorted((f[:-1] for f in good if f.endswith("*")), key=lambda f: (len(f), f)):
+        under = [w for w in words if w.startswith(stem)]
+        if not any(stem.startswith(s) for s in stems) and not any(good[w] * 2 >= good[stem + "*"] for w in under):
+            stems.add(stem)
     return words, stems
 
 
@@ -169,58 +167,85 @@ class Scorer:
         return np.log1p(out)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method; quoted matches never weigh more than plain ones."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton's method, of rows that count ``n`` times each."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
-        w = w - np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+        h = (x * (n * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(penalty)
+        w = w - np.linalg.solve(h, x.T @ (n * (p - y)) + penalty * w)
     return w
 
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict:
     """A model from labelled rows: at most ``max_toxic`` toxic and ``max_clean`` other ones, by the hash of their ids.
 
-    Rows with a null id, text or label are passed over. What reaches the driver is the texts of that bounded sample.
+    Rows with a null id, text or label are passed over; texts of the same words in the same order say what one of them
+    says. Without labelled rows the model has no term and holds everything clean.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").distinct()
     order = (F.xxhash64("id"), F.col("id"))
     chosen = known.where("y = 1").orderBy(*order).limit(max_toxic).union(known.where("y = 0").orderBy(*order).limit(max_clean))
     chosen = F.broadcast(cut(chosen))  # at most max_toxic + max_clean rows of two numbers
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("text", "y").collect()
-    rows.sort()
-    # Copies, of the same words in the same order, say what one of them says.
-    apart = {(r["y"], hashlib.sha256(" ".join(_WORD.findall(r["text"].lower())).encode()).digest()): r["text"] for r in rows}
-    sets = {y: [set(_WORD.findall(t.lower())) for (v, _), t in apart.items() if v == y] for y in (0, 1)}
-    words, stems = learn_lexicon(sets[1], sets[0])
-    scorer = Scorer(words, stems)
+    texts = cut(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("y", "text"))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = _WORD.findall(text.as_py().lower())
+                yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], pa.int32()), pa.array([hashlib.sha256(" ".join(words).encode()).digest()], pa.binary()), pa.array([sorted(forms(set(words)))], pa.list_(pa.string()))], names=["y", "words", "forms"])
+
+    apart = texts.mapInArrow(terms, "y int, words binary, forms array<string>").groupBy("y", "words").agg(F.first("forms").alias("forms"))
+    apart = cut(apart)
+    sizes = dict(apart.groupBy("y").count().collect())  # two rows
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    scale, least = n_toxic / max(1, n_clean), max(MIN_TEXTS, n_toxic // 500)
+    counted = apart.select("y", F.explode("forms").alias("form")).groupBy("form").agg(F.count_if(F.col("y") == 1).alias("n"), F.count_if(F.col("y") == 0).alias("other"))
+    judged = counted.where((F.col("n") >= least) & (F.col("n") >= MIN_SHARE * (F.col("n") + F.col("other") * scale)) & (F.col("n") >= 5 * scale * F.col("other") + least))
+    words, stems = choose_terms(dict(judged.select("form", "n").collect()))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(words, stems)
+        for batch in batches:
+            found = [scorer.features(t.as_py()).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["y", "x"])
+
+    # A row of seven numbers for each of at most max_toxic + max_clean labelled rows (more only where ids repeat, so summed up).
+    rows = texts.mapInArrow(features, "y int, x array<double>").groupBy("y", "x").count().collect()
     if not rows:
         return {"words": [], "stems": [], "weights": [0.0] * (2 * len(KINDS)) + [-1.0]}
-    x = np.array([scorer.features(r["text"]) for r in rows])
-    y = np.array([r["y"] for r in rows], float)
-    weights = fit_logistic(x, y)
+    rows.sort()
+    x, y, n = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float), np.array([r["count"] for r in rows], float)
+    weights = fit_logistic(x, y, n)
     # What the sample has no case of: a misspelt term counts half as much as an exact one, a quoted one a quarter.
     for k in range(len(KINDS)):
-        if x[:, 2 * k].sum() < MIN_TEXTS:
+        if n @ x[:, 2 * k] < MIN_TEXTS:
             weights[2 * k] = weights[0] / 2
-        if x[:, 2 * k + 1].sum() < MIN_TEXTS:
+        if n @ x[:, 2 * k + 1] < MIN_TEXTS:
             weights[2 * k + 1] = weights[2 * k] / 4
     return {"words": sorted(words), "stems": sorted(stems), "weights": weights.tolist()}
 
 
+@cache
+def _scorer(words: tuple[str, ...], stems: tuple[str, ...]) -> Scorer:
+    return Scorer(set(words), set(stems))
+
+
+def _scores(texts: Iterator[str | None], model: dict) -> np.ndarray:
+    scorer, weights = _scorer(tuple(model["words"]), tuple(model["stems"])), np.array(model["weights"])
+    z = np.array([scorer.features(t or "") @ weights[:-1] + weights[-1] for t in texts])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score_toxicity(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` for each row. A null or empty text has the score of a text without any match; ids
     are carried as they are; other columns aren't read."""
-    weights = np.array(model["weights"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(set(model["words"]), set(model["stems"]))
         for batch in batches:
-            z = np.array([scorer.features(t.as_py() or "") @ weights[:-1] + weights[-1] for t in batch.column(1)])
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            score = _scores((t.as_py() for t in batch.column(1)), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -231,11 +256,9 @@ def drop_toxic(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """The rows of ``df`` that aren't predicted toxic, each judged by its own text."""
     from pyspark.sql.functions import pandas_udf
 
-    weights = np.array(model["weights"])
-
     @pandas_udf("boolean")
-    def toxic(texts):
-        scorer = Scorer(set(model["words"]), set(model["stems"]))
-        return texts.map(lambda t: bool(scorer.features(t or "") @ weights[:-1] + weights[-1] >= 0))
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(_scores(iter(batch), model) >= 0.5)
 
     return df.where(~toxic(F.col(text_col).cast("string")))
