@@ -3,6 +3,10 @@
 Which vocabulary strings encode alone as exactly one token is proved once, by encoding every one of them. Texts are
 then split into pre-tokens; those in the proved set count one without any merging, and only the distinct rest of a
 batch goes through the tokenizer's merges.
+
+Texts of any script are split here, by the file's own pattern. A character beyond Latin is proved when it is first met:
+the library must normalise and split it, alone and beside marks, letters and signs, as this module does. Only a text with a
+character that isn't so proved (one that the library's and Python's Unicode versions see differently) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 
 #: Distinct pre-tokens a worker remembers before it forgets all but the proved ones.
 REMEMBERED = 400_000
-#: Texts up to this code point are split here; others by the library's own splitter.
+#: Texts up to this code point are split by the faster of two patterns.
 LAST_LATIN = "ɏ"
+#: Marks of several combining classes, beside which a character is proved.
+_MARKS = "\u0301\u0327\u0345\u0334\u05b0\u0e38"
+_BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _counters: dict[str, WordCounter] = {}
 
@@ -44,6 +51,10 @@ class WordCounter:
         self.proved = self._prove(said["model"]["vocab"], said["model"]["end_of_word_suffix"])
         self.known = dict.fromkeys(self.proved, 1)
         self.beyond = re.compile(f"[^\0-{LAST_LATIN}]")
+        import regex
+
+        self.every = regex.compile(pattern.replace(r"[^\s", f"[^{_BLANKS}"))
+        self.sure: dict[str, bool] = {}
 
     @staticmethod
     def _latin(pattern: str) -> re.Pattern:
@@ -73,13 +84,39 @@ class WordCounter:
         words = [w for w in words if w and self.tokenizer.normalizer.normalize_str(w) == w]
         return {w for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True) if len(e.ids) == 1}
 
+    @staticmethod
+    def normal(text: str) -> str:
+        """As the file's normaliser has it, but for white space, which splits words anyway. Letters are lower-cased one by
+        one, so a sigma at a word's end is none of its own."""
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def _same(self, text: str) -> bool:
+        library = self.tokenizer.normalizer.normalize_str(text)
+        return " ".join(library.split(" ")) == re.sub(f"[{_BLANKS}]+", " ", self.normal(text)) and self._library_split(library) == self.every.findall(self.normal(text))
+
+    def _library_split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def is_sure(self, c: str) -> bool:
+        """Whether the library treats this character as this module does; looked up once a character."""
+        if c not in self.sure:
+            beside = [c, f"{c}{c}", f"a{c}1{c}!{c} {c}", *(f"a{m}{c}" for m in _MARKS), *(f"a{c}{m}" for m in _MARKS)]
+            self.sure[c] = unicodedata.category(c) != "Cn" and all(map(self._same, beside))
+        return self.sure[c]
+
     def split(self, text: str) -> list[str] | None:
         """The pre-tokens of a text without special strings; None: only the library splits it."""
         if text.isascii():
             return self.latin.findall(text.lower())
-        if self.beyond.search(text) or self.beyond.search(text := unicodedata.normalize("NFC", text).lower()):
+        plain = unicodedata.normalize("NFC", text).lower()
+        if not self.beyond.search(text) and not self.beyond.search(plain):
+            return self.latin.findall(plain)
+        plain = self.normal(text)
+        if not unicodedata.is_normalized("NFC", plain):  # a lower-cased letter has come apart; its pieces would be put in order again
             return None
-        return self.latin.findall(text)
+        if all(map(self.is_sure, set(self.beyond.findall(text)) | set(self.beyond.findall(plain)))):
+            return self.every.findall(plain)
+        return None
 
     def counts(self, texts: list[str]) -> list[int]:
         if len(self.known) > REMEMBERED:

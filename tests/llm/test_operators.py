@@ -77,8 +77,10 @@ def test_token_counts_match_the_library(docs):
     tok = Tokenizer.from_file(path)
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.count_tokens(docs, path).collect())
     assert got == sorted((i or 0, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in TEXTS)
-    odd = ["İstanbul ΑΣ naïve <|endoftext|>'s x", "a\x1cb \x85c\xa0d ''s 're'VE", "漢字 ①½ x²", "🙂 a'b"]
-    assert token_counts.WordCounter(path).counts(odd) == [len(tok.encode(o, add_special_tokens=False).ids) for o in odd]
+    odd = ["İstanbul ΑΣ naïve <|endoftext|>'s x", "a\x1cb \x85c\xa0d ''s 're'VE", "漢字 ①½ x²", "🙂 a'b", "it’s — fine", "ƾ̪Ⱥİ̻âŴ̴ś̖͕", "ΑΣ ΟΔΟΣ", "हिन्दी עִבְרִית 한국어", "x\ufffe\U000e0fff ﷐"]
+    counter = token_counts.WordCounter(path)
+    assert counter.split("it’s — fine") == ["it", "’", "s", "—", "fine"] and counter.split("Привет, мир") == ["привет", ",", "мир"]
+    assert counter.counts(odd) == [len(tok.encode(o, add_special_tokens=False).ids) for o in odd]
 
 
 def test_mixing_meets_budgets(docs, empty):
