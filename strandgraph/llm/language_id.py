@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from .common import mix
 DIMENSIONS = 512
 #: Sums are kept as whole numbers of this fraction, so that they don't depend on the order of adding.
 UNIT = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII, _LETTERS = re.compile("[a-z]+"), regex.compile(r"\p{L}+")
 _vectors: dict[int, np.ndarray] = {}
 
 
@@ -40,7 +41,7 @@ class Bundler:
 
     def trigrams(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text (places in ``self.bound``, counts); texts without letters give empty arrays."""
-        plain = [" " + " ".join(_LETTERS.findall(t.lower())) + " " for t in texts]
+        plain = [" " + " ".join((_ASCII if t.isascii() else _LETTERS).findall(t.lower())) + " " for t in texts]
         sizes = np.fromiter(map(len, plain), np.int64, len(plain))
         codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
         table = np.zeros(int(codes.max()) + 1, bool)
