@@ -45,12 +45,12 @@ def mix_sources(df: DataFrame, size: Column | None = None, id_col: str = "doc_id
     ``size`` defaults to the number of words of the text. The first floor(target) words of a source, in the order of
     the documents' keys and going around as often as needed, are the mix; a document at the cut is taken in part, so
     sources meet their targets to less than one word. A null text or one without words has size 0 and nothing is
-    taken of it. Null sources are a source, the last. Keys are the md5 of the id, ties go by id and size; rows that
-    agree in all of these are alike, so reruns agree. An empty table gives no rows.
+    taken of it. Null sources are a source, the last. Keys are the md5 of the id and the text's md5, so rows of one id
+    (or without any) are dealt like others; rows that agree in both are alike, so reruns agree. An empty table gives no rows.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)) if size is None else size
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("long").alias("size"))
-    docs = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("long").alias("size"), key.alias("key"))
     return _cut_at_budget(docs, weights, share, epochs, bucket_rows)
 
 
@@ -81,7 +81,7 @@ def _cut_at_budget(docs: DataFrame, weights: tuple[int, ...], share: float, epoc
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
