@@ -50,7 +50,8 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
 
 def buckets(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     """For each row the numbers of its ``probes`` likeliest buckets in a table, the likeliest first."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.abs(x).max(1, keepdims=True)  # neither overflows nor vanishes when squared
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     axes, losses, n = [], [], 0
     for h in range(hashes):
         r = rotate(unit, table * hashes + h)
@@ -76,6 +77,24 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _likely(y: np.ndarray, square: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows of ``y`` that may be among the k nearest to ``x``, all ties included.
+
+    |y|^2 - 2 xy orders rows as the distance does but for rounding; what can't be told apart by it from the k-th is kept.
+    """
+    if len(y) <= k:
+        return np.arange(len(y))
+    rough = square - 2 * (y @ x)
+    blur = 4 * (len(x) + 4) * np.finfo(float).eps * (square.max() + x @ x)
+    return np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + 2 * blur)
+
+
+def distances(y: np.ndarray, rows: np.ndarray, x: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+    """Euclidean distances of rows of ``y`` from ``x`` by their differences, in chunks of bounded size."""
+    step = max(1, chunk // max(1, len(x)))
+    return np.concatenate([np.sqrt(((y[rows[a : a + step]] - x) ** 2).sum(1)) for a in range(0, len(rows), step)] or [np.empty(0)])
+
+
 def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = TABLES, probes: int = PROBES, occupancy: int = OCCUPANCY, shard: int = SHARD) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``queries`` holds for, its k nearest rows found.
 
@@ -99,7 +118,7 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
     while n / axes**hashes > occupancy:
         hashes += 1
     entries = cut(_dealt(index, "ids array<long>", tables, hashes, 1))
-    looks = _dealt(distinct, "query long", tables, hashes, probes**hashes)
+    looks = _dealt(distinct, "query long", tables, hashes, probes * (2 * probes) ** (hashes - 1))
     at = ["dims", "table", "bucket"]
     hot = cut(entries.groupBy(*at).count().where(F.col("count") > shard).select(*at, F.ceil(F.col("count") / shard).cast("int").alias("shards")))
     shards = F.coalesce("shards", F.lit(1))
@@ -115,10 +134,9 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col:
             square = (y * y).sum(1)
             for query, body in zip(asks["query"], asks["body"], strict=True):
                 x = np.frombuffer(body)
-                rough = square - 2 * (y @ x)
-                few = np.argpartition(rough, min(len(y) - 1, 2 * k + 8))[: 2 * k + 9]
+                few = _likely(y, square, x, k + 1)
                 exact = np.full(len(y), np.inf)
-                exact[few] = np.sqrt(((y[few] - x) ** 2).sum(1))
+                exact[few] = distances(y, few, x)
                 chosen = np.flatnonzero(np.repeat(np.isfinite(exact), sizes))
                 score = np.repeat(exact, sizes)[chosen]
                 best = np.lexsort((ids[chosen], score))[: k + 1]
@@ -161,7 +179,7 @@ def _ranked_all(asks: list[tuple[int, np.ndarray]], k: int):
                 sizes, ids = np.array([len(i) for i in held]), np.concatenate([np.array(i, np.int64) for i in held])
                 for q, x in asks:
                     if len(x) == d:
-                        score = np.r_[best[q][0], np.repeat(np.sqrt(((y - x) ** 2).sum(1)), sizes)]
+                        score = np.r_[best[q][0], np.repeat(distances(y, np.arange(len(y)), x), sizes)]
                         every = np.r_[best[q][1], ids]
                         top = np.lexsort((every, score))[: k + 1]
                         best[q] = score[top], every[top]

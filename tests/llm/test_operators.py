@@ -237,3 +237,20 @@ def test_pipeline_decides_rows_not_ids(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))
     assert sorted(((r["doc_id"] or 0, r["text"]) for r in left.collect())) == sorted((i or 0, t) for i, t in texts if not t.startswith(item))
+
+
+def test_nearest_keeps_ties_and_tells_close_vectors_far_from_the_origin_apart(spark):
+    rng = np.random.default_rng(17)
+    far = 1e6 + rng.normal(size=(300, 8)) / 1000
+    tied = np.tile([[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]], (1, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(far)] + [(1000 + i, tied[i % 4].tolist()) for i in range(60)] + [(2000, [1e-200] * 2), (2001, [2e-200, 1e-200]), (2002, [1e200, 1.0]), (1000, tied[0].tolist())]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, query_id string, rank int")
+    got = {}
+    for r in nearest.nearest(df, F.col("vec_id").isin(5, 1000, 2000)).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    d = np.sqrt(((far - far[5]) ** 2).sum(1))
+    d[5] = np.inf
+    assert got[5] == np.lexsort((np.arange(300), d))[:10].tolist()
+    assert got[1000] == [1000 + i for i in range(4, 44, 4)]
+    assert got[2000] == [2001, 2002]
+    assert nearest.nearest(df.limit(0), F.col("vec_id") == 1).count() == 0
