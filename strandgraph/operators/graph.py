@@ -5,20 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import small
 from .lineage import cut
 
+#: Layers of a breadth-first loop that are kept apart before they are written as one.
+LAYERS = 6
+
 
 class CodeGraph:
     """Edges ``(src, dst)`` and, optionally, nodes ``(node)``; each method plans a DataFrame.
 
     Edges with a null end are left out, repeated edges count once. Without nodes, these are the ends of the edges.
+    Traversals of at most ``limit`` edges, which are counted first, are finished in one task; others go by rounds.
     """
 
-    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None) -> None:
+    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, limit: int = small.LIMIT) -> None:
+        self.limit = limit
+        self._written: DataFrame | None = None
+        self._count: int | None = None
         self.edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
         own = self.edges.select(F.col("src").alias("node")).union(self.edges.select("dst"))
         self.nodes = (own if nodes is None else own.union(nodes.select("node").where("node IS NOT NULL"))).distinct()
 
+    def written(self) -> DataFrame:
+        """The edges, cut from their lineage once."""
+        if self._written is None:
+            self._written = cut(self.edges)
+        return self._written
+
+    def is_small(self) -> bool:
+        if self._count is None:
+            self._count = self.written().count()
+        return self._count <= self.limit
+
     # --- degrees and membership ---
 
     def degrees(self) -> DataFrame:
@@ -49,10 +68,10 @@ class CodeGraph:
         return side("src", "dst", "imports").join(side("dst", "src", "imported_by"), "node", "full_outer").select("node", F.coalesce("imports", F.lit("")).alias("imports"), F.coalesce("imported_by", F.lit("")).alias("imported_by"))
 
     def reversed(self) -> CodeGraph:
-        return CodeGraph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        return CodeGraph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), limit=self.limit)
 
     def undirected(self) -> CodeGraph:
-        return CodeGraph(self.edges.union(self.edges.select("dst", "src")))
+        return CodeGraph(self.edges.union(self.edges.select("dst", "src")), limit=self.limit)
 
     # --- reach ---
 
@@ -60,23 +79,78 @@ class CodeGraph:
         """``node, distance``: everything reachable from ``start`` (node), with the fewest edges; the start has 0.
 
         A breadth-first loop: only the frontier is joined to the edges, what was seen before is left out by an
-        anti-join, and each frontier is cut from its lineage. It ends with the graph or at ``depth``.
+        anti-join, and each frontier is cut from its lineage; every few rounds the layers become one written table. It ends
+        with the graph or at ``depth``.
         """
-        edges = cut(self.edges)
+        if self.is_small():
+            return small.breadth_first(self.written(), start.select("node").where("node IS NOT NULL"), depth)
+        edges = self.written()
         front = cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
-        seen, layers, d = front, [front], 0
+        seen, layers, d = front, 1, 0
         while depth is None or d < depth:
             d += 1
             step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
             front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
             if front.isEmpty():
                 break
-            layers.append(front)
-            seen = front if len(layers) == 1 else seen.union(front)
-        out = layers[0]
-        for layer in layers[1:]:
-            out = out.union(layer)
-        return out
+            seen, layers = seen.union(front), layers + 1
+            if layers >= LAYERS:
+                seen, layers = cut(seen), 1
+        return seen
+
+    def unreachable(self, start: DataFrame) -> DataFrame:
+        """Nodes that nothing of ``start`` leads to."""
+        return self.nodes.join(self.reach(start).select("node"), "node", "left_anti")
+
+    def shortest_paths(self, start: DataFrame, depth: int) -> DataFrame:
+        """``node, distance, path``: of the shortest paths of at most ``depth`` edges from ``start`` (one node) the first in
+        the order of their nodes, as an array. Paths grow with the depth, so it is always bounded."""
+        edges = self.written()
+        front = cut(start.select("node", F.lit(0).alias("distance"), F.array("node").alias("path")))
+        seen = front
+        for d in range(1, depth + 1):
+            step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "path")
+            step = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+            front = cut(step.select("node", F.lit(d).alias("distance"), F.concat("path", F.array("node")).alias("path")))
+            if front.isEmpty():
+                break
+            seen = seen.union(front)
+        return seen
+
+    def shortest_path(self, start: DataFrame, end: DataFrame, depth: int = 50) -> DataFrame:
+        """``step, node``: the shortest path from one node to another, the first in order where there are several; no rows
+        without a way. What is kept on the way back is one row a distance, not a path for each node reached."""
+        end = end.select("node")
+        far = cut(self.reach(start, depth))
+        into = self.written().join(far.select(F.col("node").alias("src"), F.col("distance").alias("before")), "src").join(far.withColumnRenamed("node", "dst"), "dst").where("distance = before + 1")
+        above = cut(into.groupBy(F.col("dst").alias("node"), "distance").agg(F.min("src").alias("above")))
+        at = far.join(end, "node", "left_semi").select("node", "distance")
+        length = at.first()  # one row
+        path = at
+        for d in range(length["distance"] if length else 0, 0, -1):
+            at = above.where(F.col("distance") == d).join(at.select("node"), "node", "left_semi").select(F.col("above").alias("node"), F.lit(d - 1).alias("distance"))
+            at = cut(at)
+            path = path.union(at)
+        return path.select(F.col("distance").alias("step"), "node")
+
+    def weak_components(self) -> DataFrame:
+        """``node, component``: nodes that edges join in either direction, by their smallest member."""
+        lone = self.nodes.join(self.edges.select(F.col("src").alias("node")).union(self.edges.select("dst")), "node", "left_anti").select("node", F.col("node").alias("component"))
+        if self.is_small():
+            return small.components(self.written()).union(lone)
+        labels = cut(self.nodes.select("node", F.col("node").alias("component")))
+        both = cut(self.written().union(self.written().select("dst", "src")))
+        while True:  # each takes the least label around it, then that label's own label
+            near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+            hooked = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
+            # A root learns of the least label that its members saw.
+            told = hooked.groupBy(F.col("was").alias("node")).agg(F.min("component").alias("told"))
+            hooked = cut(hooked.join(told, "node", "left").select("node", "was", F.least("component", F.coalesce("told", "component")).alias("component")))
+            jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            step = cut(hooked.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
+            labels = step.select("node", "component")
+            if step.where("was <> component").isEmpty():
+                return labels
 
     def levels_from_roots(self) -> DataFrame:
         return self.reach(self.entry_points()).withColumnRenamed("distance", "level")
@@ -88,19 +162,22 @@ class CodeGraph:
         """The largest breadth-first distance from the entry points."""
         return self.levels_from_roots().agg(F.coalesce(F.max("level"), F.lit(0)).alias("max_depth"))
 
-    def neighbourhood(self, start: DataFrame, k: int, most: int | None = None) -> DataFrame:
-        """Nodes within k undirected edges: ``node, distance, score`` = 1 - distance / k; ``most`` nearest of them."""
-        near = self.undirected().reach(start, k).where("distance > 0").withColumn("score", F.round(1 - F.col("distance") / k, 6))
+    def neighbourhood(self, start: DataFrame, k: int, most: int | None = None, with_path: bool = False) -> DataFrame:
+        """Nodes within k undirected edges: ``node, distance, score`` = 1 - distance / k, and ``path`` if wanted; the
+        ``most`` nearest of them, ties to the smaller node."""
+        around = self.undirected()
+        near = around.shortest_paths(start, k) if with_path else around.reach(start, k)
+        near = near.where("distance > 0").withColumn("score", F.round(1 - F.col("distance") / k, 6))
         return near.orderBy("distance", "node").limit(most) if most else near
 
     def simple_paths(self, start: DataFrame, end: DataFrame | None, k: int) -> DataFrame:
         """``path, length``: all paths of at most k edges without a repeated node, as node ids joined by ``>``."""
-        edges = cut(self.edges)
+        edges = self.written()
         layer = start.select(F.col("node").alias("at"), F.array("node").alias("path"))
         found = None
         for _ in range(k):
             step = layer.join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-            layer = step.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+            layer = cut(step.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
             found = layer if found is None else found.union(layer)
         if end is not None:
             found = found.join(end.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
@@ -109,71 +186,117 @@ class CodeGraph:
     # --- cycles ---
 
     def core(self) -> DataFrame:
-        """Edges left when nodes without an incoming or outgoing edge are taken away again and again: all cycles and
-        what lies between them."""
-        edges = cut(self.edges)
+        """Edges left when nodes without an incoming or outgoing edge are taken away again and again, until nothing is left
+        to take or the rest is small enough for one task: all cycles and what lies between them."""
+        edges = self.written()
         n = edges.count()
-        while True:
+        while n > self.limit:
             inner = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
             edges = cut(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
             was, n = n, edges.count()
-            if n in (0, was):
-                return edges
+            if n == was:
+                break
+        return edges
 
     def components(self) -> DataFrame:
         """``node, scc``: the strongly connected components that have an edge inside, named by their largest node.
 
-        On the core only: labels go forward until each node has the largest node that reaches it; a node labelled by
-        itself is a root, and what reaches a root backwards within its label is its component; then the rest again.
+        On the core only. While that is too large for one task: labels go forward until each node has the largest node
+        that reaches it; a node labelled by itself is a root, and what reaches a root backwards within its label is its
+        component; then the rest again, until it is small.
         """
         edges = self.core()
         found = edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
-        while not edges.isEmpty():
+        while edges.count() > self.limit:
             labels = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", F.col("node")))
             while True:
                 near = edges.join(labels, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("near"))
-                step = cut(labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.greatest("label", F.coalesce("near", "label")).alias("label")))
+                step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.greatest("label", F.coalesce("near", "label")).alias("label"))
+                # What reaches the node that labels this one reaches this one, too.
+                jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+                step = cut(step.join(jump, "label", "left").select("node", "was", F.greatest("label", F.coalesce("further", "label")).alias("label")))
                 labels = step.select("node", "label")
                 if step.where("was <> label").isEmpty():
                     break
             a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), labels.select(F.col("node").alias("dst"), F.col("label").alias("ld"))
             inside = edges.join(a, "src").join(b, "dst").where("ls = ld")
-            back = CodeGraph(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            back = CodeGraph(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), limit=self.limit)
             reached = back.reach(labels.where("node = label").select("node")).select("node").join(labels, "node")
             found = cut(found.union(reached.select("node", "label")))
             done = found.select("node")
-            edges = cut(edges.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-            edges = CodeGraph(edges).core() if not edges.isEmpty() else edges
+            rest = edges.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            edges = CodeGraph(rest, limit=self.limit).core()
         # A lone node is a component with an edge inside only if it has a self-loop.
-        loops = self.edges.where("src = dst").select(F.col("src").alias("node"))
+        loops = self.written().where("src = dst").select(F.col("src").alias("node"))
         several = found.groupBy("scc").count().where("count > 1").select("scc")
-        return found.join(several, "scc", "left_semi").select("node", "scc").union(found.join(loops, "node", "left_semi").select("node", "scc")).distinct()
+        by_rounds = found.join(several, "scc", "left_semi").select("node", "scc").union(found.join(loops, "node", "left_semi").select("node", "scc")).distinct()
+        return by_rounds.union(small.strong_components(edges))
+
+    def cycles(self) -> DataFrame:
+        """``scc, size, members``: each strongly connected component with an edge inside; members in order, as text."""
+        return self.components().groupBy("scc").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda n: n.cast("string")), ",").alias("members"))
 
     def cyclic_edges(self) -> DataFrame:
-        """Edges whose ends are in one strongly connected component, self-loops included."""
+        """``src, dst, scc``: edges whose ends are in one strongly connected component, self-loops included."""
         scc = cut(self.components())
-        a, b = scc.select(F.col("node").alias("src"), F.col("scc").alias("sa")), scc.select(F.col("node").alias("dst"), F.col("scc").alias("sb"))
-        return self.edges.join(a, "src").join(b, "dst").where("sa = sb").select("src", "dst")
-
-
-def dominators(edges: DataFrame, entry: DataFrame) -> DataFrame:
-    """``node, dom``: dom is on every way from the entry (one node) to the node; a node dominates itself.
-
-    d dominates n if n can't be reached without d: the pairs (d, n) that can be are found for all d at once by a
-    frontier loop; reachable pairs that aren't among them are the answer.
+        a, b = scc.select(F.col("node").alias("src"), F.col("scc").alias("scc")), scc.select(F.col("node").alias("dst"), F.col("scc").alias("sb"))
+        return self.written().join(a, "src").join(b, "dst").where("scc = sb").select("src", "dst", "scc")
+
+    def summary(self) -> DataFrame:
+        """One row: ``nodes, edges, entries, leaves, cyclic_edges, has_cycles, max_depth``."""
+        one = lambda df, name: df.agg(F.count("*").alias(name))
+        out = one(self.nodes, "nodes").join(one(self.written(), "edges")).join(one(self.entry_points(), "entries")).join(one(self.leaves(), "leaves")).join(one(self.cyclic_edges(), "cyclic_edges")).join(self.max_depth())
+        return out.select("nodes", "edges", "entries", "leaves", "cyclic_edges", (F.col("cyclic_edges") > 0).alias("has_cycles"), "max_depth")  # all of one row
+
+    def neighbours(self, node: DataFrame, which: str = "both") -> DataFrame:
+        """``node, direction, neighbour`` of the given nodes: ``imports`` (out), ``imported_by`` (in) or both."""
+        go = lambda key, other, name: self.edges.select(F.col(key).alias("node"), F.lit(name).alias("direction"), F.col(other).alias("neighbour"))
+        out, into = go("src", "dst", "imports"), go("dst", "src", "imported_by")
+        every = {"imports": out, "imported_by": into, "both": out.union(into)}[which]
+        return every.join(node.select("node").distinct(), "node", "left_semi")
+
+    def natural_loops(self, entry: DataFrame) -> DataFrame:
+        """``head, node``: for each edge u -> h whose head h dominates u, h and what reaches u without passing h."""
+        dom = cut(dominators(self.written(), entry, self.limit))
+        back = cut(self.written().join(dom.select(F.col("node").alias("src"), F.col("dom").alias("dst")), ["src", "dst"], "left_semi"))
+        into = self.written().select(F.col("dst").alias("node"), F.col("src").alias("before"))
+        found = cut(back.select(F.col("dst").alias("head"), F.col("src").alias("node")).union(back.select("dst", "dst")).distinct())
+        front = found.where("head <> node")
+        while not front.isEmpty():
+            step = front.join(into, "node").select("head", F.col("before").alias("node")).distinct()
+            front = cut(step.join(found, ["head", "node"], "left_anti"))
+            found = cut(found.union(front))
+        return found
+
+    def loop_depths(self, entry: DataFrame) -> DataFrame:
+        """``node, loop_depth``: in how many natural loops a reachable node is."""
+        loops = self.natural_loops(entry).groupBy("node").agg(F.count("*").alias("loop_depth"))
+        return self.reach(entry).select("node").join(loops, "node", "left").select("node", F.coalesce("loop_depth", F.lit(0)).alias("loop_depth"))
+
+
+def dominators(edges: DataFrame, entry: DataFrame, limit: int = small.LIMIT) -> DataFrame:
+    """``node, dom``: dom is on every way from an entry to the node; a node dominates itself.
+
+    Entries (node) may be many, as those of all functions of a project at once. Beyond ``limit`` edges the pairs come from
+    rounds of counting: d dominates n if it dominates as many of n's predecessors as n has among the nodes reached so far.
     """
-    graph = CodeGraph(edges)
-    edges = cut(graph.edges)
-    reachable = cut(graph.reach(entry).select("node"))
-    removed = reachable.select(F.col("node").alias("d"))
-    front = cut(entry.select("node").join(removed, F.col("d") != F.col("node")).select("d", "node"))
-    seen = front
-    while not front.isEmpty():
-        step = front.join(edges, F.col("node") == F.col("src")).where("dst <> d").select("d", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["d", "node"], "left_anti"))
-        seen = seen.union(front)
-    pairs = removed.crossJoin(reachable)
-    return pairs.join(seen, ["d", "node"], "left_anti").select("node", F.col("d").alias("dom"))
+    graph = CodeGraph(edges, limit=limit)
+    if graph.is_small():
+        return small.all_dominators(graph.written(), entry.select("node"))
+    reached = cut(graph.reach(entry).select("node"))
+    edges = cut(graph.written().join(reached.withColumnRenamed("node", "src"), "src", "left_semi"))
+    roots = entry.select("node").distinct()
+    doms = cut(roots.select("node", F.col("node").alias("dom")))
+    was = -1
+    while (n := doms.count()) != was or not doms.select("node").distinct().count() == reached.count():
+        was = n
+        known = doms.select("node").distinct()
+        into = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(roots.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        wanted = into.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("wanted"))
+        agreed = into.join(doms.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "dom").agg(F.count("*").alias("agreed"))
+        above = agreed.join(wanted, "node").where("agreed = wanted AND node <> dom").select("node", "dom")
+        doms = cut(above.union(wanted.select("node", F.col("node").alias("dom"))).union(roots.select("node", F.col("node").alias("dom"))))
+    return doms
 
 
 def merge(*graphs: DataFrame) -> DataFrame:

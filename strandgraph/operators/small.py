@@ -1,0 +1,211 @@
+"""Graph algorithms for one task: graphs whose edges have been counted and found few enough.
+
+A round over the cluster costs about the same for ten edges as for a million, and graphs of code are deep and thin, so
+once a graph, or what is left of it, is small, its remaining rounds are made in the memory of one task. ``LIMIT`` edges
+take some tens of MB. Everything beyond it stays with the loops over DataFrames in ``graph``.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LIMIT = 500_000
+
+
+class Arrays:
+    """Edges as arrays over node numbers; ``names[k]`` is node k, numbered in the order of names."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, others: np.ndarray) -> None:
+        codes, names = pd.factorize(np.concatenate([src, dst, others]), sort=True)
+        self.names, self.n = names, len(names)
+        self.src, self.dst = codes[: len(src)], codes[len(src) : 2 * len(src)]
+        self.others = codes[2 * len(src) :]
+        order = np.lexsort((self.dst, self.src))
+        self.out = self.dst[order]
+        self.first = np.searchsorted(self.src[order], np.arange(self.n + 1))
+
+    def after(self, node: int) -> np.ndarray:
+        return self.out[self.first[node] : self.first[node + 1]]
+
+    def distances(self, depth: int | None) -> np.ndarray:
+        """Fewest edges from ``others`` to each node, -1 where there is no way."""
+        far = np.full(self.n, -1)
+        far[self.others] = 0
+        front, d = np.unique(self.others), 0
+        while len(front) and (depth is None or d < depth):
+            d += 1
+            reached = np.unique(np.concatenate([self.after(k) for k in front]))
+            front = reached[far[reached] < 0]
+            far[front] = d
+        return far
+
+    def strong(self) -> np.ndarray:
+        """The largest member of each node's strongly connected component."""
+        index, low, largest = np.full(self.n, -1), np.zeros(self.n, int), np.arange(self.n)
+        on, stack, seen = np.zeros(self.n, bool), [], 0
+        for root in range(self.n):
+            if index[root] >= 0:
+                continue
+            work = [(root, 0)]
+            while work:
+                node, at = work.pop()
+                if at == 0:
+                    index[node] = low[node] = seen
+                    seen += 1
+                    stack.append(node)
+                    on[node] = True
+                next_ = self.after(node)
+                while at < len(next_):
+                    other = next_[at]
+                    at += 1
+                    if index[other] < 0:
+                        work += [(node, at), (other, 0)]
+                        break
+                    if on[other]:
+                        low[node] = min(low[node], index[other])
+                else:
+                    if low[node] == index[node]:
+                        members = []
+                        while True:
+                            members.append(stack.pop())
+                            on[members[-1]] = False
+                            if members[-1] == node:
+                                break
+                        largest[members] = max(members)
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
+        return largest
+
+    def dominators(self) -> list[tuple[int, int]]:
+        """(node, dominator) of all nodes reachable from ``others``; several entries hang under a common root."""
+        roots = set(self.others)
+        order, seen = [], set()
+        for entry in sorted(roots):
+            if entry in seen:
+                continue
+            seen.add(entry)
+            stack = [(entry, iter(self.after(entry)))]
+            while stack:
+                node, rest = stack[-1]
+                step = next((k for k in rest if k not in seen), None)
+                if step is None:
+                    order.append(node)
+                    stack.pop()
+                else:
+                    seen.add(step)
+                    stack.append((step, iter(self.after(step))))
+        place = {node: k for k, node in enumerate(order)}
+        place[-1] = len(order)
+        before: dict[int, list[int]] = {node: [] for node in order}
+        for a, b in zip(self.src, self.dst, strict=True):
+            if a in place and b in place:
+                before[b].append(a)
+        above = {-1: -1} | dict.fromkeys(roots, -1)
+
+        def meet(a: int, b: int) -> int:
+            while a != b:
+                while place[a] < place[b]:
+                    a = above[a]
+                while place[b] < place[a]:
+                    b = above[b]
+            return a
+
+        changed = True
+        while changed:
+            changed = False
+            for node in reversed(order):
+                known = [p for p in before[node] if p in above] + [-1] * (node in roots)
+                new = known[0]
+                for p in known[1:]:
+                    new = meet(new, p)
+                if above.get(node) != new:
+                    above[node] = new
+                    changed = True
+        found = []
+        for node in order:
+            at = node
+            while at != -1:
+                found.append((node, at))
+                at = above[at]
+        return found
+
+
+def in_one_task(edges: DataFrame, others: DataFrame | None, run: Callable[[Arrays], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over the edges (src, dst) and the other nodes (node), all in one task."""
+    rows = edges.select("src", "dst", F.lit(False).alias("lone"))
+    if others is not None:
+        rows = rows.union(others.select("node", "node", F.lit(True)))
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b for b in batches if len(b)]
+        if got:
+            every = pd.concat(got)
+            lone = every["lone"].to_numpy(bool)
+            src, dst = every["src"].to_numpy(), every["dst"].to_numpy()
+            yield run(Arrays(src[~lone], dst[~lone], src[lone]))
+
+    return rows.repartition(1).mapInPandas(once, schema)
+
+
+def breadth_first(edges: DataFrame, start: DataFrame, depth: int | None) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(a: Arrays) -> pd.DataFrame:
+        far = a.distances(depth)
+        return pd.DataFrame({"node": np.asarray(a.names)[far >= 0], "distance": far[far >= 0].astype(np.int32)})
+
+    return in_one_task(edges, start, run, f"node {kind}, distance int")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, scc`` for components that have an edge inside."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(a: Arrays) -> pd.DataFrame:
+        scc = a.strong()
+        inside = np.unique(a.src[scc[a.src] == scc[a.dst]]) if a.n else np.empty(0, int)
+        names = np.asarray(a.names)
+        return pd.DataFrame({"node": names[inside], "scc": names[scc[inside]]})
+
+    return in_one_task(edges, None, run, f"node {kind}, scc {kind}")
+
+
+def all_dominators(edges: DataFrame, entry: DataFrame) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(a: Arrays) -> pd.DataFrame:
+        pairs = np.array(a.dominators(), int).reshape(-1, 2)
+        names = np.asarray(a.names)
+        return pd.DataFrame({"node": names[pairs[:, 0]], "dom": names[pairs[:, 1]]})
+
+    return in_one_task(edges, entry, run, f"node {kind}, dom {kind}")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node that edges, taken either way, join a node to."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(a: Arrays) -> pd.DataFrame:
+        beside: list[list[int]] = [[] for _ in range(a.n)]
+        for x, y in zip(a.src, a.dst, strict=True):
+            beside[x].append(y)
+            beside[y].append(x)
+        root = np.full(a.n, -1)
+        for k in range(a.n):
+            if root[k] < 0:
+                root[k], queue = k, deque([k])
+                while queue:
+                    for other in beside[queue.popleft()]:
+                        if root[other] < 0:
+                            root[other] = k
+                            queue.append(other)
+        names = np.asarray(a.names)
+        return pd.DataFrame({"node": names, "component": names[root]})
+
+    return in_one_task(edges, None, run, f"node {kind}, component {kind}")

@@ -122,7 +122,7 @@ def all_simple_paths(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {G_PART}, {CLOSURE} SELECT e.src, e.dst FROM e WHERE e.src = e.dst OR EXISTS (SELECT 1 FROM r WHERE r.a = e.dst AND r.b = e.src)")
 def cyclic_edges(spark, sf_dir):
-    return part_graph(spark, sf_dir).cyclic_edges()
+    return part_graph(spark, sf_dir).cyclic_edges().select("src", "dst")
 
 
 @query(f"WITH RECURSIVE {G_PART}, {CLOSURE} SELECT x.a AS node, max(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")

@@ -1,50 +1,92 @@
+"""Graph operators: literal graphs, and random ones where rounds over the cluster must agree with the one-task path."""
+
+import numpy as np
 import pytest
 
-from strandgraph.operators import graph, search
+from strandgraph.operators.graph import CodeGraph, cohesion, diff, dominators, merge
 
 
-def edges(spark, *pairs):
-    return spark.createDataFrame(list(pairs) or [], "src string, dst string")
+def frame(spark, edges):
+    return spark.createDataFrame(edges, "src string, dst string")
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return {tuple(r) for r in df.collect()}
+
+
+CYCLE3, CYCLE2, DAG = [("a", "b"), ("b", "c"), ("c", "a")], [("x", "y"), ("y", "x")], [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
+CHORD = [*CYCLE3, ("a", "c")]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize(("edges", "cyclic"), [(CYCLE3, 3), (CYCLE2, 2), (DAG, 0), ([("s", "s")], 1), (CHORD, 4), ([*CYCLE3, *DAG, ("c", "x"), *CYCLE2], 6)])
+def test_cyclic_edges(spark, edges, cyclic, limit):
+    assert CodeGraph(frame(spark, edges), limit=limit).cyclic_edges().count() == cyclic
+
+
+def test_ring_is_one_component(spark):
+    n, k = 500, 3
+    ring = spark.createDataFrame([(i, (i + j) % n) for i in range(n) for j in range(1, k + 1)], "src long, dst long")
+    got = CodeGraph(ring).components().collect()
+    assert len(got) == n and {r["scc"] for r in got} == {n - 1}
+
+
+def test_rounds_agree_with_one_task(spark):
+    rng = np.random.default_rng(2)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (75, 2))], "src long, dst long")
+    start = spark.createDataFrame([(int(rng.integers(0, 60)),), (3,)], "node long")
+    one, many = CodeGraph(edges), CodeGraph(edges, limit=0)
+    assert rows(one.reach(start)) == rows(many.reach(start))
+    assert rows(one.components()) == rows(many.components())
+    assert rows(one.weak_components()) == rows(many.weak_components())
+    assert rows(dominators(edges, start)) == rows(dominators(edges, start, limit=0))
 
 
-@pytest.mark.parametrize(
-    ("pairs", "cyclic"),
-    [
-        ([("a", "b"), ("b", "c"), ("c", "a")], 3),
-        ([("x", "y"), ("y", "x")], 2),
-        ([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], 0),
-        ([("self", "self")], 1),
-        ([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], 4),
-    ],
-)
-def test_cyclic_edges(spark, pairs, cyclic):
-    assert graph.CodeGraph(edges(spark, *pairs)).cyclic_edges().count() == cyclic
+def test_nulls_repeats_and_empty_graphs(spark):
+    g = CodeGraph(frame(spark, [("a", "b"), ("a", "b"), (None, "b"), ("a", None)]))
+    assert rows(g.degrees()) == {("a", 1, 0), ("b", 0, 1)}
+    none = CodeGraph(frame(spark, []))
+    assert none.reach(frame(spark, []).selectExpr("src AS node")).count() == 0
+    assert none.components().count() == none.weak_components().count() == none.entry_points().count() == 0
+    assert [tuple(r) for r in none.summary().collect()] == [(0, 0, 0, 0, 0, False, 0)]
 
 
-def test_dag_levels_entries_and_paths(spark):
-    g = graph.CodeGraph(edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", None)))
-    assert rows(g.entry_points()) == [("a",)]
-    assert rows(g.levels_from_roots()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
-    start = spark.createDataFrame([("a",)], "node string")
-    assert rows(g.simple_paths(start, spark.createDataFrame([("d",)], "node string"), 5)) == [("a>b>d", 2), ("a>c>d", 2)]
+def test_levels_paths_and_neighbourhood(spark):
+    g = CodeGraph(frame(spark, DAG))
+    a, d = frame(spark, [("a", "d")]).selectExpr("src AS node"), frame(spark, [("a", "d")]).selectExpr("dst AS node")
+    assert rows(g.levels_from_roots()) == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
+    assert rows(g.levels_from_leaves()) == {("d", 0), ("b", 1), ("c", 1), ("a", 2)}
+    assert rows(g.simple_paths(a, d, 5)) == {("a>b>d", 2), ("a>c>d", 2)}
+    assert rows(g.shortest_path(a, d)) == {(0, "a"), (1, "b"), (2, "d")}
+    assert g.shortest_path(d, a).count() == 0
+    assert {(r["node"], r["distance"], tuple(r["path"])) for r in g.shortest_paths(a, 5).collect()} == {("a", 0, ("a",)), ("b", 1, ("a", "b")), ("c", 1, ("a", "c")), ("d", 2, ("a", "b", "d"))}
+    assert rows(g.neighbourhood(d, 2)) == {("b", 1, 0.5), ("c", 1, 0.5), ("a", 2, 0.0)}
+    assert rows(g.unreachable(frame(spark, [("b", "")]).selectExpr("src AS node"))) == {("a",), ("c",)}
+    assert rows(g.neighbours(d, "imported_by")) == {("d", "imported_by", "b"), ("d", "imported_by", "c")}
 
 
-def test_dominators(spark):
-    e = edges(spark, ("in", "a"), ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"))
-    found = rows(graph.dominators(e, spark.createDataFrame([("in",)], "node string")))
-    assert ("d", "a") in found and ("d", "b") not in found and ("d", "in") in found
+def test_dominators_and_loops(spark):
+    edges = frame(spark, [("entry", "h"), ("h", "x"), ("x", "y"), ("y", "h"), ("x", "x2"), ("x2", "x"), ("h", "exit"), ("dead", "exit")])
+    entry = frame(spark, [("entry", "")]).selectExpr("src AS node")
+    want = {"entry": "entry", "h": "entry h", "x": "entry h x", "y": "entry h x y", "x2": "entry h x x2", "exit": "entry h exit"}
+    for limit in (0, 1000):
+        assert rows(dominators(edges, entry, limit)) == {(n, d) for n, doms in want.items() for d in doms.split()}
+        g = CodeGraph(edges, limit=limit)
+        assert rows(g.natural_loops(entry)) == {("h", n) for n in ("h", "x", "y", "x2")} | {("x", "x"), ("x", "x2")}
+        assert rows(g.loop_depths(entry)) == {("entry", 0), ("h", 1), ("x", 2), ("y", 1), ("x2", 2), ("exit", 0)}
 
 
-def test_diff_of_a_graph_with_itself_is_empty(spark):
-    e = edges(spark, ("a", "b"), ("b", "a"))
-    assert graph.diff(e, e).count() == 0
-    assert rows(graph.merge(e, e)) == rows(e)
+def test_isolated_functions(spark):
+    n = 300
+    nodes = spark.createDataFrame([(f"f{i}",) for i in range(n)] + [("main",)], "node string")
+    g = CodeGraph(frame(spark, [("main", "f0"), ("main", f"f{n - 1}")]), nodes)
+    unused = {r["node"] for r in g.entry_points().collect()}
+    assert len(unused - {"main"}) == n - 2 and "main" in unused
 
 
-def test_smart_search_stops_at_enough(spark):
-    ents = spark.createDataFrame([(1, "foo"), (2, "foobar"), (3, "fooo"), (4, "bar")], "id long, name string")
-    assert [r["id"] for r in search.smart(ents, "foo").collect()] == [1, 3, 2]
+def test_diff_merge_and_cohesion(spark):
+    old, new = frame(spark, [("a", "b"), ("b", "c")]), frame(spark, [("a", "b"), ("b", "d")])
+    assert rows(diff(old, new)) == {("added_edge", "b", "d"), ("removed_edge", "b", "c"), ("added_node", "d", None), ("removed_node", "c", None)}
+    assert merge(old, new).count() == 3
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "node string, cluster int")
+    assert rows(cohesion(old, members)) == {(1, 2, 1, 2, 50.0, 50.0), (2, 1, 0, 0, 0.0, 100.0)}
