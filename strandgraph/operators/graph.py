@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import small
@@ -315,6 +315,20 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+def typed_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``change, src, dst, old_types, new_types``: of edges (src, dst, type) that differ: pairs only one side has, and pairs
+    whose types changed. One full join of a row a pair; types are sorted and joined by commas."""
+    pairs = lambda e, name: e.groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias(name))
+    both = pairs(old, "old_types").join(pairs(new, "new_types"), ["src", "dst"], "full_outer")
+    change = F.when(F.col("old_types").isNull(), "added_edge").when(F.col("new_types").isNull(), "removed_edge").when(F.col("old_types") != F.col("new_types"), "type_changed")
+    return both.withColumn("change", change).where("change IS NOT NULL").select("change", "src", "dst", "old_types", "new_types")
+
+
+def empty(spark: SparkSession, node_type: str = "string") -> CodeGraph:
+    """A graph without nodes and edges."""
+    return CodeGraph(spark.createDataFrame([], f"src {node_type}, dst {node_type}"))
+
+
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``cluster, size, internal, total, density, share``: of members (node, cluster) and edges.
 

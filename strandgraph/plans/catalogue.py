@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandgraph.operators import graph, search
+from strandgraph.operators import flow, graph, search
 
 # Views: the part graph joins parts that follow each other in an order; the event graph the types of a user's events.
 LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
@@ -201,11 +201,11 @@ def vector_topk(spark, sf_dir):
     return found.where("score >= 0.2").orderBy(F.desc("score"), "id").limit(10)
 
 
-@query("SELECT a.event_id AS def_id, b.event_id AS use_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id")
+@query("SELECT user_id AS scope, event_type AS name, f AS def_pos, event_id AS use_pos FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS f FROM events) WHERE f < event_id")
 def def_use_edges(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    uses = events.withColumnRenamed("event_id", "use_id")
-    return events.join(uses, ["user_id", "event_type"]).where("event_id < use_id").select(F.col("event_id").alias("def_id"), "use_id")
+    """A user's first event of a type with each later one."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("scope"), F.col("event_type").alias("name"), F.col("event_id").alias("pos"))
+    return flow.first_definitions(events, events)
 
 
 @query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
