@@ -1 +1 @@
-"""See the package docstring."""
+"""Continuous forms: a watched project, edge counts that are kept up, sequences of events."""
