@@ -30,8 +30,8 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = SCRIPTS,
 
 
 def shaped(raw: DataFrame, root: str, extensions: tuple[str, ...], exclude: tuple[str, ...], max_depth: int | None) -> DataFrame:
-    full = F.col("path")
-    below = F.substring_index(F.regexp_replace(full, "^[a-z]+:/*", "/"), F.lit(root.rstrip("/") + "/"), -1)
+    full, top = F.regexp_replace("path", "^[a-z]+:/*", "/"), root.rstrip("/") + "/"
+    below = F.when(full.startswith(top), F.substring(full, len(top) + 1, 1 << 30)).otherwise(full)
     keep = F.lit(False)
     for e in extensions:
         keep = keep | full.endswith(e)
