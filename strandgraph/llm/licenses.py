@@ -41,31 +41,46 @@ TEMPLATES = {
 }
 _ANCHOR = re.compile(r"licen[sc]e|copyright|permission is|redistribut|free software|public domain|creative commons|\bcc0|\bcc by|spdx|rights reserved", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Characters of a block before and after its anchor, beyond which it goes on to the end of a word only.
+#: Characters of a block before and after its anchor, at least; more where a template is longer (``reach``).
 BEFORE, AFTER = 160, 400
+#: Anchors so near behind the one that a block is for start no block of their own.
+NEAR = 40
 #: A template must save this part of its own size, and this part of its words must be in the block in order.
 MIN_SAVED, MIN_ALIKE = 0.35, 0.8
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """(place of the anchor, start, block) around each anchor that the block before doesn't hold: at most its lines, and
-    BEFORE and AFTER."""
+def reach(templates: dict[str, str]) -> tuple[int, int, bool]:
+    """Characters before and after an anchor that a block needs so that each template fits in with half as much white space
+    again, and whether templates go on behind empty lines. A template without an anchor word could never be found."""
+    before, after = BEFORE, AFTER
+    for name, t in templates.items():
+        first = _ANCHOR.search(t)
+        if first is None:
+            raise ValueError(f"template {name!r} has none of the words that blocks are taken around")
+        before = max(before, first.start() * 3 // 2)
+        after = max(after, (len(t) - first.start()) * 3 // 2 + NEAR)
+    return before, after, any("\n\n" in t for t in templates.values())
+
+
+def blocks(text: str, before: int = BEFORE, after: int = AFTER, across: bool = False) -> Iterator[tuple[int, int, str]]:
+    """(place of the anchor, start, block) around each anchor that the block before isn't for. A block ends at empty lines,
+    unless templates go on behind them (``across``)."""
     done = -1
     for m in _ANCHOR.finditer(text):
         if m.start() < done:
             continue
-        start = max(0, m.start() - BEFORE)
-        start = max(start, text.rfind("\n\n", start, m.start()) + 2) if "\n\n" in text[start : m.start()] else start
-        end = min(len(text), m.end() + AFTER)
-        stop = text.find("\n\n", m.end(), end)
-        end = stop if stop >= 0 else end
-        done = min(m.end() + 40, end)
+        start, end = max(0, m.start() - before), min(len(text), m.end() + after)
+        if not across:
+            start = max(start, text.rfind("\n\n", start, m.start()) + 2) if "\n\n" in text[start : m.start()] else start
+            stop = text.find("\n\n", m.end(), end)
+            end = stop if stop >= 0 else end
+        done = min(m.end() + NEAR, end)
         yield m.start(), start, text[start:end]
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
-        self.templates = templates
+        self.templates, self.reach = templates, reach(templates)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.with_dict = {
             name: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
@@ -111,9 +126,11 @@ def occurrences(own: list[str], words: list[str]) -> Iterator[tuple[int, str, in
         seek[m.b : m.b + m.size] = [None] * m.size
         if not parts or sum(p.size for p in parts) < MIN_ALIKE * len(own):
             continue
-        low, high = parts[0].b - parts[0].a, parts[-1].b + len(own) - parts[-1].a
-        said = [f"-{' '.join(own[a:b])}+{' '.join(w or '' for w in here[max(0, low) : high][c:d])}" for tag, a, b, c, d in SequenceMatcher(None, own, here[max(0, low) : high], autojunk=False).get_opcodes() if tag != "equal"]
-        wrong = sum(len(x.replace("+", " ").strip("- ").split()) for x in said)
+        # From the first to the last word they share: what stands beyond is no part of the notice, what the template has beyond is missing.
+        low, high = parts[0].b, parts[-1].b + parts[-1].size
+        changes = [(own[a:b], [w or "" for w in here[low:high][c:d]]) for tag, a, b, c, d in SequenceMatcher(None, own, here[low:high], autojunk=False).get_opcodes() if tag != "equal"]
+        said = [f"-{' '.join(x)}+{' '.join(y)}" for x, y in changes]
+        wrong = sum(len(x) + len(y) for x, y in changes)
         if wrong > (1 - MIN_ALIKE) * len(own) + 1e-9:
             continue
         first, end = start + parts[0].b, start + parts[-1].b + parts[-1].size
@@ -124,7 +141,7 @@ def occurrences(own: list[str], words: list[str]) -> Iterator[tuple[int, str, in
 def licenses_of(text: str, scanner: Scanner) -> dict[str, list]:
     """For each license (differing words, place of the anchor, saved, differences) of each of its occurrences."""
     held = []
-    for at, start, block in blocks(text):
+    for at, start, block in blocks(text, *scanner.reach):
         held += [(rank, start + low, start + high, at, name, saved, wrong, said) for rank, name, saved, wrong, said, low, high in scanner.judge(block)]
     found: dict[str, list] = {}
     taken: list[tuple[int, int]] = []
@@ -140,11 +157,13 @@ def licenses_of(text: str, scanner: Scanner) -> dict[str, list]:
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, license, n_found, first_at, saved, n_differences, differences``: a row for each license of a document.
 
-    ``n_found`` counts the places that hold it. ``first_at`` is the character where its first anchor stands; the other figures are those of the occurrence with the fewest
-    differing words, then the first. Null and empty texts, and those without an anchor, give no row; rows with equal or null ids
+    ``n_found`` counts the places that hold it. ``first_at`` is the character where its first anchor stands; the other figures
+    are those of the occurrence with the fewest differing words, then the first. Templates may be of any length, but need an
+    anchor word. Null and empty texts, and those without an anchor, give no row; rows with equal or null ids
     give rows of their own. Texts are scanned whole. Other columns aren't read.
     """
     known = dict(templates or TEMPLATES)
+    reach(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(known)
