@@ -2,11 +2,13 @@
 
 1. A shingle that one set alone has can't be common to two. Sets whose shared shingles can't reach the threshold have
    no partner and are done (``shared_values``; the marks only ever leave out what is certainly unshared).
-2. Equal sets become one. Of each distinct set of the rest, the domain is dealt to ``parts`` parts; two sets within
-   the threshold differ in at most k of their elements, so they agree in at least parts - k parts. A set's signatures
-   are its parts' contents, for the band of its size and, where a larger partner may be in the next band, for that too.
-3. Among any agreeing parts, the rarest signature is kept by both sets if each keeps its k + 1 rarest signatures.
-   Signatures that no other set has count towards these, so most sets keep none.
+2. Equal sets become one. Of each distinct set of the rest, the domain is dealt to first-level parts, and each of these to
+   three second-level parts; a signature is what a set has in two of the three, so each first-level part gives the three
+   subsets of two. Two sets within the threshold differ in at most k elements, so there are first-level parts in which they
+   differ in one element at most, and there one subset at least is the same (``agreeing``). A set's signatures are those
+   for the band of its size and, where a larger partner may be in the next band, for that too.
+3. If two sets must agree in A of S signatures, the rarest that they share is among the S - A + 1 rarest of both, and
+   only these are kept. Signatures that no other set has count towards these, so most sets keep none.
 4. Sets that keep a signature in common are candidates and compared exactly, in three rounds; each leaves out what the
    links before it have joined. First a set meets a few sets of its two most common signatures, then a few of every
    signature, and last all that remain. So large groups of near copies are linked without all their pairs, and no
@@ -31,8 +33,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import block_rows, components, cut, distinct, mix, open_block, pack, power, read_marks, release, shared_values, text_blocks, total_bytes, unpack
 
 _U = np.uint64
-#: Sizes of a band are within this ratio; parts per k in a band.
-BAND, SPARE = 1.25, 1.5
+#: Sizes of a band are within this ratio; first-level parts for each of the k elements that sets of a band may differ in
+#: (more than a half are needed; the more, the more signatures must agree); second-level parts of each.
+BAND, FIRST_PARTS, SECOND_PARTS = 1.25, 0.6, 3
 HUBS = 4
 #: Bits of a parity sketch for each element that two sets of a band may differ in, and at most.
 SKETCH, SKETCH_BITS = 6, 4096
@@ -106,16 +109,25 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
 
 
-def band_parts(band: int, percent: int) -> int:
-    """Parts of the domain for sets of a band and partners from the band below: more than k, and many for small sets,
-    so that nearly all have k + 1 parts with elements."""
+def first_parts(band: int, percent: int) -> int:
+    """First-level parts of the domain for sets of a band and partners from the band below."""
     top = int(np.floor(BAND ** (band + 1))) + 1
     k = int(most_differing(np.array([top]), percent)[0])
-    return int(np.ceil(SPARE * k)) + 1 if top > 40 else 4 * top
+    return int(np.ceil(FIRST_PARTS * k)) + 1
+
+
+def agreeing(n_first: int, k: int) -> int:
+    """The fewest signatures that two sets share which differ in at most k elements: a first difference in a first-level
+    part takes two of its three subsets, a second one the third."""
+    return max(0, 3 * n_first - 2 * min(k, n_first) - max(0, min(k - n_first, n_first)))
 
 
 def signatures(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """(band, parts to keep, signatures) of a set, for its band and the next."""
+    """(band, signatures to keep, signatures) of a set, for its band and the next.
+
+    A signature is the sum of the hashes of the elements in all but one second-level part of a first-level part, and which
+    parts these are. Where these have no element it is one that many sets have, and so the last to be kept.
+    """
     n = len(elements)
     k = int(most_differing(np.array([n]), percent)[0])
     own = int(band_of(np.array([n]))[0])
@@ -123,16 +135,17 @@ def signatures(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.nd
     for band in (own, own + 1):
         if band > own and n * 100 // percent < int(np.ceil(BAND**band - 1e-9)):
             continue  # no partner is that large
-        parts = band_parts(band, percent)
+        n_first = first_parts(band, percent)
+        parts = n_first * SECOND_PARTS
         part = (mix(elements ^ _U(band)) % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         p, e = part[order], mix(elements[order] + _U(0x51ED270B))
         start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        sigs = mix(np.add.reduceat(e, start) + mix(p[start].astype(np.uint64) * _U(4096) + _U(band)))
-        if len(sigs) <= k:  # too few parts have elements: an empty part is a signature too
-            empty = np.setdiff1d(np.arange(parts), p[start])
-            sigs = np.r_[sigs, mix(mix(empty.astype(np.uint64) * _U(4096) + _U(band)) ^ _U(0x5A5A))]
-        found.append((band, k + 1, sigs))
+        sums = np.zeros(parts, np.uint64)
+        sums[p[start]] = np.add.reduceat(e, start)
+        whole = np.repeat(sums.reshape(n_first, SECOND_PARTS).sum(1, dtype=np.uint64), SECOND_PARTS)
+        sigs = mix((whole - sums) + mix(np.arange(parts, dtype=np.uint64) * _U(4096) + _U(band)))
+        found.append((band, parts - agreeing(n_first, k) + 1, sigs))
     return found
 
 
@@ -218,9 +231,9 @@ def _linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     signed = sets.select("set_id", "elements").mapInArrow(sign, "set_id long, band int, spare int, sig long")
     often = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     mine = signed.join(often, "sig").groupBy("set_id", "band", "spare").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("sigs"))
-    # spare + size of the list: how many of the signatures that others have are among the k + 1 rarest.
+    # spare + size of the list: how many of the signatures that others have are among the rarest that must be kept.
     quota = F.col("spare") + F.size("sigs")
-    # The k + 1 rarest; the last two of them are the most common.
+    # The rarest that must be kept; the last two of them are the most common.
     listed = mine.where(quota > 0).withColumn("sigs", F.slice("sigs", F.lit(1), quota))
     kept = listed.select("set_id", "band", F.posexplode("sigs").alias("at", "s"), F.size("sigs").alias("size"))
     sized = sets.select("set_id", "own", (F.octet_length("elements") / 8).cast("long").alias("n"))
