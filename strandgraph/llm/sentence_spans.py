@@ -1,8 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences (and these, where they are long, into clauses and then after the word of the least hash of
-every few, so that a passage is cut alike in whatever text it stands). Scripts without spaces are measured by characters.
-From every sentence on, the shortest run of at
+A text is cut into sentences. Only those of more than LONG words are cut further, into clauses and, where these are long,
+after the word of the least hash of every few, so that a passage is cut alike in whatever text it stands; such a piece then
+counts as a sentence. Scripts without spaces are measured by characters. From every sentence on, the shortest run of at
 least ``min_sentences`` sentences and ``min_words`` words is hashed. A run that stands anywhere before, in the order of ids, places
 and texts, is a repeat; a sentence that some repeated run covers is removed.
 """
@@ -23,13 +23,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import block_rows, cut, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
-#: A sentence of more words is cut further: after the word of the least crc32 in each window of WINDOW words. Wherever a
+#: A sentence of more words is cut further, into clauses, and a clause of more words after the word of the least crc32 in each window of WINDOW words. Wherever a
 #: passage begins and ends, at most its first 2 WINDOW - 1 words are cut otherwise, then cuts are at most WINDOW words apart;
 #: so with WINDOW 7 and whole sentences of up to LONG words, each passage of 50 words has a whole run.
 LONG, WINDOW = 12, 7
-#: Ends of sentences and clauses, also those of other scripts.
-_ENDS = ".!?,;:\n。！？、，；：．｡､…।॥؟،؛۔։።፣፤፥፦፧།༎၊။។៕"
-_PIECES = re.compile(rf"[^{_ENDS}]*[{_ENDS}]+\s*|[^{_ENDS}]+")
+#: Ends of sentences and of clauses, also those of other scripts.
+_ENDS, _BREAKS = ".!?\n。！？．｡…।॥؟۔։።፧༎။។៕", ",;:、，；：､،؛፣፤፥፦།၊"
+_SENTENCES = re.compile(rf"[^{_ENDS}]*[{_ENDS}]+\s*|[^{_ENDS}]+")
+_CLAUSES = re.compile(rf"[^{_BREAKS}]*[{_BREAKS}]+\s*|[^{_BREAKS}]+")
 _WORDS = re.compile(r"\S+\s*")
 #: Scripts without spaces: two Chinese or Japanese characters, or four of Thai, Lao, Tibetan, Burmese or Khmer, are a word.
 _PAIRED, _FOURS = "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff", "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff"
@@ -72,8 +73,15 @@ def sentences(text: str) -> tuple[list[str], list[float]]:
     """The pieces of a text, which joined give the text, and their words (quarters of words in scripts without spaces)."""
     pieces, words = [], []
     spaced = text.isascii() or not _UNSPACED.search(text)
-    for p in _PIECES.findall(text):
-        n = len(p.split()) if spaced else sum(units(p, False)[1])
+    size = lambda p: len(p.split()) if spaced else sum(units(p, False)[1])
+    clauses: list[str] = []
+    for p in _SENTENCES.findall(text):
+        if size(p) <= LONG:
+            clauses.append(p)
+        else:
+            clauses += _CLAUSES.findall(p)
+    for p in clauses:
+        n = size(p)
         if n <= LONG:
             pieces.append(p)
             words.append(n)
