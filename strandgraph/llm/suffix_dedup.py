@@ -112,10 +112,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             back = np.searchsorted(values, prints)
             # What another block has for a smaller id goes; of the rest, what isn't the smallest id's here.
             gone = at[read_marks(values, row["beaten"], n_open)[back] | (first[back] < owner)]
-            step = np.zeros(len(b.buf) + depth + 1, np.int32)
-            np.add.at(step, gone, 1)
-            np.add.at(step, gone + depth, -1)
-            covered = np.cumsum(step[: len(b.buf)]) > 0
+            # Distinct positions: a byte is covered if one of the last ``depth`` positions goes.
+            begins = np.zeros(len(b.buf) + 1, np.int32)
+            begins[gone + 1] = 1
+            total = np.cumsum(begins)
+            covered = total[1:] > np.r_[np.zeros(min(depth, len(b.buf)), np.int32), total[1 : max(1, len(b.buf) - depth + 1)]]
             n_removed, n_spans, digests, kept = [], [], [], []
             for s, n in zip(b.start, b.size, strict=True):
                 c = covered[s : s + n]
