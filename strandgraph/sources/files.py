@@ -22,7 +22,8 @@ LARGE = 500 * 1024
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = SCRIPTS, exclude: tuple[str, ...] = EXCLUDED, max_depth: int | None = None, glob: str | None = None) -> DataFrame:
     """``path, ext, size, lines, content`` of the files under ``root``, whose paths are relative to it.
 
-    ``exclude`` are substrings of the path; ``max_depth`` counts the folders below the root. An empty folder gives no rows.
+    ``exclude`` are substrings of the path; ``max_depth`` counts the folders below the root. An empty folder gives no
+    rows; nor do files without a byte, which Spark's readers leave out.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
