@@ -177,7 +177,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = marked.columns
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's size; and for those that may have a partner, what stands for the set, and its elements."""
+        """Each document's size and place; and for those that may have a partner, what stands for the set."""
         for row in block_rows(batches, names):
             docs, hashes, sizes = block_shingles(row, words)
             values, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -185,19 +185,32 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             common = np.bincount(docs, weights=shared[back], minlength=len(sizes)).astype(np.int64)
             may = (sizes > 0) & (100 * common >= percent * sizes)
             ends = np.cumsum(sizes)
-            set_id, elements, own = [None] * len(sizes), [None] * len(sizes), sizes - common
+            set_id = [None] * len(sizes)
             for d in np.flatnonzero(may):
                 e = hashes[ends[d] - sizes[d] : ends[d]]
                 set_id[d] = int(mix(np.array([np.add.reduce(mix(e + _U(77))) + _U(len(e))], np.uint64)).view(np.int64)[0])
-                elements[d] = e.tobytes()
             keys = [pa.array([r[key_col] for r in row["rest"]], arrow_type)] if key_col else []
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_id, pa.int64()), pa.array(elements, pa.binary()), pa.array(own, pa.int64()), *keys], names=["doc_id", "n_shingles", "set_id", "elements", "own", *["key"] * len(keys)])
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_id, pa.int64()), pa.array(sizes - common, pa.int64()), pa.array(np.full(n, row["block"]), pa.int64()), pa.array(np.arange(n), pa.int32()), *keys], names=["doc_id", "n_shingles", "set_id", "own", "block", "place", *["key"] * len(keys)])
+
+    docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, own long, block long, place int" + key_type))
+    # The elements of a set are written once, from one of its documents, right out of that document's block.
+    first = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("own").alias("own"), F.min(F.struct("block", "place")).alias("at"))
+    chosen = first.groupBy("at.block").agg(F.collect_list(F.struct("at.place", "set_id", "least", "own")).alias("sets"))
+    bodies = blocks.select("block", "lens", "body").join(chosen, "block")
+    body_names = bodies.columns
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in block_rows(batches, body_names):
+            _, hashes, sizes = block_shingles(row, words)
+            ends = np.cumsum(sizes)
+            held = row["sets"]
+            elements = [hashes[ends[s["place"]] - sizes[s["place"]] : ends[s["place"]]].tobytes() for s in held]
+            yield pa.RecordBatch.from_arrays([pa.array([s["set_id"] for s in held], pa.int64()), pa.array(elements, pa.binary()), pa.array([s["least"] for s in held], pa.int64()), pa.array([s["own"] for s in held], pa.int64())], names=["set_id", "elements", "least", "own"])
 
-    docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, elements binary, own long" + key_type))
-    del blocks, marks, marked  # what they wrote isn't needed any more
-    sets = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least"), F.min("own").alias("own"))
-    sets = cut(sets)
-    docs = cut(docs.drop("elements", "own"))
+    sets = cut(bodies.mapInArrow(contents, "set_id long, elements binary, least long, own long"))
+    del blocks, marks, marked, first, chosen, bodies  # what they wrote isn't needed any more
+    docs = docs.drop("own", "block", "place")
     found = cut(_linked_sets(sets, percent))
     roots = components(found).select(F.col("node").alias("set_id"), "root")
     labelled = sets.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
