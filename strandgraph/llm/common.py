@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -16,6 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from strandgraph.operators.lineage import shared_folder
 
 #: Words are runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,13 +48,11 @@ def release(spark: SparkSession, least_s: float = 4) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own is set.
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a session in one JVM (tests) gets a folder of its own; on a
+    cluster, whose executors wouldn't see it, that is an error.
     """
-    spark = df.sparkSession
-    release(spark)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandgraph-"))
+    release(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -123,10 +123,11 @@ def window_hashes(buf: np.ndarray, width: int) -> np.ndarray:
 BLOCK_SCHEMA = "block long, ids array<long>, lens binary, body binary, n_bytes long"
 
 
-def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = 1 << 21, carry: tuple[str, ...] = ()) -> DataFrame:
+def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = 1 << 21, carry: tuple[str, ...] = (), derive: Callable[[list[bytes]], list] | None = None, derived: str = "") -> DataFrame:
     """Pack whole documents into blocks of about ``block_bytes`` of UTF-8, written to the shared folder.
 
-    The columns named in ``carry`` go along as an array of structs, ``rest``.
+    The columns named in ``carry`` go along as an array of structs, ``rest``. ``derive`` gives further columns, ``derived``, of
+    a block's texts, so that what is costly is worked out once.
 
     A document is never split. Null texts are empty, null ids stay null. As the blocks are a written table, a block
     holds the same documents however often it is read, so other tables can refer to (block, position in block).
@@ -139,10 +140,12 @@ def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = 1
         def row() -> pa.RecordBatch:
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            more = [pa.array([x], f.type) for x, f in zip(derive(texts), more_fields, strict=True)] if derive else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(lens)], pa.binary()), pa.array([body], pa.binary()), pa.array([size], pa.int64())]
+                + more
                 + [pa.array([rest], pa.list_(kept_type)) for _ in carry[:1]],
-                names=["block", "ids", "lens", "body", "n_bytes", *["rest"] * bool(carry)],
+                names=["block", "ids", "lens", "body", "n_bytes", *(f.name for f in more_fields), *["rest"] * bool(carry)],
             )
 
         for batch in batches:
@@ -163,7 +166,8 @@ def text_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = 1
 
     others = [F.struct(*carry).alias("rest")] if carry else []
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
-    schema = T.StructType.fromDDL(BLOCK_SCHEMA)
+    schema = T.StructType.fromDDL(BLOCK_SCHEMA + (f", {derived}" if derived else ""))
+    more_fields = list(to_arrow_schema(T.StructType.fromDDL(derived))) if derived else []
     if carry:
         schema = schema.add("rest", T.ArrayType(picked.schema["rest"].dataType))
     return cut(picked.mapInArrow(build, schema))

@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import block_rows, cut, least_owners, mix, open_block, owner_ids, read_least, read_marks, release, shared_values, text_blocks, total_bytes
+from .common import block_rows, cut, distinct, least_owners, mix, open_block, owner_ids, pack, read_least, read_marks, release, shared_values, text_blocks, unpack
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
 #: A sentence of more words is cut further, into clauses, and a clause of more words after the word of the least crc32 in each window of WINDOW words. Wherever a
@@ -117,18 +118,33 @@ def spans(pieces: list[str], words: list[float], min_sentences: int, min_words:
     return prints, full[at], full[end - 1] + 1
 
 
+def taken_apart(texts: list[bytes], min_sentences: int, min_words: int) -> list:
+    """A block's runs and pieces, packed: see DERIVED."""
+    counts, sizes, all_words, found = [], [], [], []
+    for d, text in enumerate(texts):
+        pieces, words = sentences(text.decode())
+        counts.append(len(pieces))
+        sizes += map(len, pieces) if text.isascii() else [len(p.encode()) for p in pieces]
+        all_words += words
+        prints, first, end = spans(pieces, words, min_sentences, min_words)
+        found.append((prints, np.full(len(prints), d), first, end))
+    prints, doc, first, end = (np.concatenate([f[i] for f in found]) for i in range(4))
+    small = [np.array(x, np.int32) for x in (counts, sizes, doc, first, end - first)]
+    return [len(prints), pack(prints.astype(np.uint64)), *map(pack, small), pack(np.array(all_words, np.float32))]
+
+
+#: Runs of a block and their hashes; pieces of each document and their bytes; documents, first pieces and lengths of the runs;
+#: words of the pieces.
+DERIVED = "n_runs long, prints binary, counts binary, sizes binary, run_doc binary, run_first binary, run_length binary, words binary"
+
+
 class Block:
-    def __init__(self, row: dict, min_sentences: int, min_words: int) -> None:
-        buf, start, size = open_block(row["lens"], row["body"])
-        data = buf.tobytes()
-        self.pieces, self.words, found = [], [], []
-        for d, (s, n) in enumerate(zip(start, size, strict=True)):
-            pieces, words = sentences(data[s : s + n].decode())
-            self.pieces.append(pieces)
-            self.words.append(np.array(words, np.float32))
-            prints, first, end = spans(pieces, words, min_sentences, min_words)
-            found.append((prints, np.full(len(prints), d), first, end))
-        self.prints, self.doc, self.first, self.end = (np.concatenate([f[i] for f in found]) for i in range(4))
+    """A block's runs: their hashes, documents, first and end pieces."""
+
+    def __init__(self, row: dict) -> None:
+        self.prints = unpack(row["prints"], "uint64")
+        self.doc, self.first, length = (unpack(row[k], "int32").astype(np.int64) for k in ("run_doc", "run_first", "run_length"))
+        self.end = self.first + length
         self.owner = owner_ids(row["ids"])
         # The order of rows with equal ids within a block is that of their places.
         self.place = np.empty(len(self.owner), np.int64)
@@ -151,47 +167,50 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
     in the written blocks, then of the earlier sentence; runs may repeat within one document and overlap. Repeated
     rows lose everything that a run covers but in their first. Other columns aren't read.
     """
-    blocks = text_blocks(df, id_col, text_col, block_bytes, carry)
-    n_values = max(1, total_bytes(blocks) // 32)
-    make = lambda row: Block(row, min_sentences, min_words)
-    bodies = blocks.select("block", "ids", "lens", "body")
-    marks = cut(shared_values(bodies, lambda row: np.unique(make(row).prints), n_values))
+    derive = lambda texts: taken_apart(texts, min_sentences, min_words)
+    blocks = text_blocks(df, id_col, text_col, block_bytes, carry, derive, DERIVED)
+    n_values = max(1, blocks.agg(F.sum("n_runs")).first()[0] or 0)
+    marks = cut(shared_values(blocks.select("block", "prints"), lambda row: distinct(unpack(row["prints"], "uint64")), n_values))
 
     def offered(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        b = make(row)
+        b = Block(row)
         values, _, lead = b.firsts()
         shared = read_marks(values, row["marks"], n_values)
         return values[shared], b.owner[b.doc[lead]][shared]
 
-    least = cut(least_owners(bodies.join(marks, "block", "left"), offered, n_values))
-    whole = blocks.drop("n_bytes").join(marks.join(least, "block", "left"), "block", "left")
+    runs = blocks.select("block", "ids", "prints", "run_doc", "run_first", "run_length")
+    least = cut(least_owners(runs.join(marks, "block", "left"), offered, n_values))
+    whole = blocks.drop("n_bytes", "n_runs").join(marks.join(least, "block", "left"), "block", "left")
     release(df.sparkSession)
     names = whole.columns
     rest_type = to_arrow_type(whole.schema["rest"].dataType.elementType) if carry else None
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in block_rows(batches, names):
-            b = make(row)
+            b = Block(row)
             values, back, lead = b.firsts()
             shared = read_marks(values, row["marks"], n_values)
             here = np.ones(len(values), bool)
             here[shared] = read_least(values[shared], row["least"], n_values)[1]
             repeat = np.ones(len(back), bool)
             repeat[lead[here]] = False
-            n_removed, n_words, kept = [], [], []
-            bounds = np.searchsorted(b.doc, np.arange(len(b.pieces) + 1))
-            for d, pieces in enumerate(b.pieces):
-                step = np.zeros(len(pieces) + 1, np.int64)
-                runs = np.arange(bounds[d], bounds[d + 1])
-                runs = runs[repeat[runs]]
-                np.add.at(step, b.first[runs], 1)
-                np.add.at(step, b.end[runs], -1)
-                gone = np.cumsum(step)[:-1] > 0
-                n_removed.append(int(gone.sum()))
-                n_words.append(int(b.words[d][gone].sum(dtype=np.float64)))
-                kept.append("".join(p for p, g in zip(pieces, gone, strict=True) if not g))
+            counts, sizes, words = unpack(row["counts"], "int32"), unpack(row["sizes"], "int32").astype(np.int64), unpack(row["words"], "float32")
+            # All pieces of the block in turn; a run covers those from its first to its end.
+            base = (np.cumsum(counts) - counts).astype(np.int64)
+            step = np.bincount((base[b.doc] + b.first)[repeat], minlength=len(sizes) + 1) - np.bincount((base[b.doc] + b.end)[repeat], minlength=len(sizes) + 1)
+            gone = np.cumsum(step)[:-1] > 0
+            per_doc = np.repeat(np.arange(len(counts)), counts)
+            n_removed = np.bincount(per_doc, weights=gone, minlength=len(counts)).astype(np.int64)
+            n_words = np.bincount(per_doc, weights=np.where(gone, words, 0), minlength=len(counts)).astype(np.int64)
+            buf, _, _ = open_block(row["lens"], row["body"])
+            left, kept = buf[~np.repeat(gone, sizes)].tobytes() if gone.any() else buf.tobytes(), []
+            rest = np.bincount(per_doc, weights=np.where(gone, 0, sizes), minlength=len(counts)).astype(np.int64)
+            at = 0
+            for n in rest.tolist():
+                kept.append(left[at : at + n].decode())
+                at += n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["ids"], pa.int64()), pa.array([len(p) for p in b.pieces], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, pa.string())] + [pa.array(row["rest"], rest_type) for _ in carry[:1]],
+                [pa.array(row["ids"], pa.int64()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, pa.string())] + [pa.array(row["rest"], rest_type) for _ in carry[:1]],
                 names=["doc_id", "n_sentences", "n_removed", "n_words_removed", "kept", *["rest"] * bool(carry)],
             )
 
