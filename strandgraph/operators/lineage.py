@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job has written and is done with, wherever Spark can reach it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
