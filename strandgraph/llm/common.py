@@ -73,6 +73,15 @@ def unpack(b: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
 
 
+def pack_steps(a: np.ndarray) -> bytes:
+    """Whole numbers as differences, their bytes grouped by significance, compressed: small where steps are small."""
+    return pack(np.diff(a.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpack(b, "uint8").reshape(8, -1).T).view(np.int64).ravel())
+
+
 # --- hashing -----------------------------------------------------------------------------------------------------
 
 _U = np.uint64
@@ -100,22 +109,37 @@ def power(n: int) -> np.uint64:
     return _U(pow(_BASE, n, 1 << 64))
 
 
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse modulo 2^64, at least n; kept for the next block."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(n, _U(base))
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Sums of the values, each times a power for its place, up to and with each place: the difference of two of them, times
+    the inverse power of the first place, is the hash of what lies between, wherever that is. ``values`` is overwritten."""
+    values *= powers(len(values))[0][: len(values)]
+    return np.cumsum(values, out=values)
+
+
 def window_hashes(buf: np.ndarray, width: int) -> np.ndarray:
-    """Polynomial fingerprint of buf[i:i+width] for each i, by doubling; shorter than ``width``: empty."""
+    """Polynomial fingerprint of buf[i:i+width] for each i; shorter than ``width``: empty."""
     n = len(buf) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    have, got, step, out, done = _BYTE[buf], 1, 1, None, 0
-    while True:
-        if width & step:
-            piece = have[done : done + n]
-            out = piece.copy() if out is None else out * power(step) + piece
-            done += step
-        step *= 2
-        if step > width:
-            return out
-        have = have[: len(have) - got] * power(got) + have[got:]
-        got = step
+    total = running(_BYTE[buf])
+    out = total[width - 1 :].copy()
+    out[1:] -= total[: n - 1]
+    out *= powers(n)[1][:n]
+    return out
 
 
 # --- blocks of texts -----------------------------------------------------------------------------------------------

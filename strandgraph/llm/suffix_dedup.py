@@ -28,45 +28,51 @@ COVER, MODULUS = (1, 5, 11, 24, 25, 27), 31
 PASSES = 3
 
 
-def _in_cover() -> np.ndarray:
-    held = np.zeros(MODULUS, bool)
-    held[list(COVER)] = True
-    return held
-
-
 class Block:
     """The suffixes of one block's documents."""
 
     def __init__(self, row: dict, depth: int) -> None:
         self.buf, self.start, self.size = open_block(row["lens"], row["body"])
         self.owner = owner_ids(row["ids"])
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        self.offset = np.arange(len(self.buf)) - np.repeat(self.start, self.size)
-        self.left = np.repeat(self.size, self.size) - self.offset
+        self.filled = np.flatnonzero(self.size > 0)
         self.depth, self.reach = depth, depth - MODULUS + 1
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions and the fingerprints of the bytes there that any match of full depth has."""
-        at = np.flatnonzero(_in_cover()[self.offset % MODULUS] & (self.left >= self.reach)) if len(self.buf) else np.empty(0, np.int64)
-        return at, mix(window_hashes(self.buf, self.reach)[at]) if len(at) else np.empty(0, np.uint64)
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        """The document that each position is in."""
+        return self.filled[np.searchsorted(self.start[self.filled], at, "right") - 1]
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sampled positions, their documents, and the fingerprints of the bytes there that any match of full depth has."""
+        cover = np.array(COVER)
+        # How many samples each document has for each member of the cover.
+        counts = np.maximum((self.size[:, None] - self.reach - cover) // MODULUS + 1, 0)
+        total = int(counts.sum())
+        if not total:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        flat = counts.ravel()
+        turn = np.arange(total) - np.repeat(np.cumsum(flat) - flat, flat)
+        at = np.repeat((self.start[:, None] + cover).ravel(), flat) + turn * MODULUS
+        doc = np.repeat(np.repeat(np.arange(len(self.size)), len(cover)), flat)
+        return at, doc, mix(window_hashes(self.buf, self.reach)[at])
 
     def open_suffixes(self, marks: list[dict] | None, n_samples: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and fingerprints of the suffixes that may tie with one of another document."""
-        at, prints = self.samples()
+        at, doc, prints = self.samples()
         if not len(at):
             return at, prints
-        values, back = np.unique(prints, return_inverse=True)
-        shared = read_marks(values, marks, n_samples)
-        low, high = np.full(len(values), len(self.size)), np.full(len(values), -1)
-        np.minimum.at(low, back, self.doc[at])
-        np.maximum.at(high, back, self.doc[at])
-        hit = np.zeros(len(self.buf) + MODULUS + 1, np.int64)
-        hit[at] = (shared | (low < high))[back]
-        total = np.r_[0, np.cumsum(hit)]
+        order = np.argsort(prints)
+        ordered, docs = prints[order], doc[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
+        marked = read_marks(ordered[first], marks, n_samples) | several
         n = len(self.buf)
-        near = total[MODULUS : n + MODULUS] - total[:n] > 0
-        at = np.flatnonzero(near & (self.left >= self.depth))
-        return at, mix(window_hashes(self.buf, self.depth)[at]) if len(at) else np.empty(0, np.uint64)
+        hit = np.zeros(n + MODULUS + 1, np.int32)
+        hit[at[order[np.repeat(marked, np.diff(np.r_[first, len(ordered)]))]] + 1] = 1
+        total = np.cumsum(hit, dtype=np.int32)
+        near = np.flatnonzero(total[MODULUS : n + MODULUS] > total[:n])
+        doc = self.doc_of(near)
+        near = near[(self.start + self.size)[doc] - near >= self.depth]
+        return near, mix(window_hashes(self.buf, self.depth)[near]) if len(near) else np.empty(0, np.uint64)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, with_text: bool = False, block_bytes: int = 1 << 21) -> DataFrame:
@@ -88,7 +94,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_bytes = total_bytes(blocks)
     n_samples, n_open = n_bytes * len(COVER) // MODULUS, n_bytes // 4
     bodies = blocks.select("block", "ids", "lens", "body")
-    marks = shared_values(bodies, lambda row: distinct(Block(row, depth).samples()[1]), n_samples)
+    marks = shared_values(bodies, lambda row: distinct(Block(row, depth).samples()[2]), n_samples)
     # Written with its marks, a block isn't dealt anew in each round.
     marked = cut(blocks.drop("n_bytes").join(marks, "block", "left"))
     del blocks, bodies, marks
@@ -96,7 +102,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def offered(row: dict) -> tuple[np.ndarray, np.ndarray]:
         b = Block(row, depth)
         at, prints = b.open_suffixes(row["marks"], n_samples)
-        return first_per_value(prints, b.owner[b.doc[at]])
+        return first_per_value(prints, b.owner[b.doc_of(at)])
 
     beaten = least_owners(marked.drop("rest"), offered, n_open, passes=PASSES, beaten_only=True).withColumnRenamed("marks", "beaten")
     release(df.sparkSession, 0)
@@ -107,7 +113,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for row in block_rows(batches, names):
             b = Block(row, depth)
             at, prints = b.open_suffixes(row["marks"], n_samples)
-            owner = b.owner[b.doc[at]]
+            owner = b.owner[b.doc_of(at)]
             values, first = first_per_value(prints, owner)
             back = np.searchsorted(values, prints)
             # What another block has for a smaller id goes; of the rest, what isn't the smallest id's here.
