@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import block_rows, components, cut, distinct, mix, open_block, pack, power, read_marks, release, shared_values, text_blocks, total_bytes, unpack
+from .common import block_rows, components, cut, distinct, mix, open_block, power, powers, read_marks, release, running, shared_values, text_blocks, total_bytes, unpack
 
 _U = np.uint64
 #: Sizes of a band are within this ratio; first-level parts for each of the k elements that sets of a band may differ in
@@ -39,58 +39,84 @@ BAND, FIRST_PARTS, SECOND_PARTS = 1.25, 0.6, 3
 HUBS = 4
 #: Bits of a parity sketch for each element that two sets of a band may differ in, and at most.
 SKETCH, SKETCH_BITS = 6, 4096
+#: A hash for each byte, A-Z as a-z; whether a byte belongs to a word.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA24BAED4963EE407))
+_BYTE[65:91] = _BYTE[97:123]
+_INSIDE = np.ones(256, bool)
+_INSIDE[[32, *range(9, 14)]] = False
 
 
-def block_shingles(row: dict, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash) of each document's distinct shingles, ordered by both, and the documents' set sizes.
+def block_words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash) of each word of a block in turn, and the words of each document.
 
-    A-Z are lower-cased; words are runs of bytes other than space and 9 to 13. A text with fewer words has the
-    sequence of all of them as its only shingle; one without words has none.
+    A-Z are lower-cased; words are runs of bytes other than space and 9 to 13. A word's hash is the difference of two sums
+    over the block, brought back to the block's beginning.
     """
     buf, start, size = open_block(row["lens"], row["body"])
+    none = np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(size), np.int64)
     if not len(buf):
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(size), np.int64)
-    lower = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
-    inside = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
-    doc = np.repeat(np.arange(len(size)), size)
-    begins = inside & np.r_[True, ~inside[:-1] | (doc[1:] != doc[:-1])]
-    at = np.flatnonzero(begins)
+        return none
+    inside = _INSIDE[buf]
+    first, last = start[size > 0], (start + size - 1)[size > 0]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[first] = inside[first]
+    ends[:-1] &= ~inside[1:]
+    ends[last] = inside[last]
+    at, end = np.flatnonzero(begins), np.flatnonzero(ends)
     if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(size), np.int64)
-    word = np.cumsum(begins) - 1
-    place = np.arange(len(buf)) - at[np.maximum(word, 0)]
-    # Word hash: sum of byte hashes times a power for the place in the word.
-    longest = int(place[inside].max()) + 1
-    powers = np.ones(longest, np.uint64)
-    powers[1:] = np.cumprod(np.full(longest - 1, power(1), np.uint64))
-    term = np.where(inside, _BYTE[lower] * powers[np.where(inside, place, 0)], _U(0))
-    h = mix(np.add.reduceat(term, at))
-    d = doc[at]
-    n_words = np.bincount(d, minlength=len(size))
-    first = np.cumsum(n_words) - n_words
-    out_doc, out = [], []
+        return none
+    total = running(_BYTE[buf])
+    h = total[end] - np.where(at > 0, total[at - 1], _U(0))
+    filled = np.flatnonzero(size > 0)
+    doc = filled[np.searchsorted(start[filled], at, "right") - 1]
+    return doc, mix(h * powers(len(buf))[1][at]), np.bincount(doc, minlength=len(size))
+
+
+def block_runs(row: dict, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(document, hash) of each shingle of a block's documents, repeated ones too, in the order of the documents, and how
+    many documents there are. A text with fewer words has the sequence of all of them as its only shingle; one without words has none."""
+    d, h, n_words = block_words(row)
     n = len(h) - words + 1
+    out_doc, out = d[:0], h[:0]
     if n > 0:
         run = np.zeros(n, np.uint64)
         for i in range(words):
-            run = run * power(1) + h[i : i + n]
+            run *= power(1)
+            run += h[i : i + n]
         whole = d[:n] == d[words - 1 :]
-        out_doc.append(d[:n][whole])
-        out.append(mix(run[whole]))
+        out_doc, out = d[:n][whole], mix(run[whole])
     short = np.flatnonzero((n_words > 0) & (n_words < words))
-    for s in short:
-        run = _U(1)
-        for x in h[first[s] : first[s] + n_words[s]]:
-            run = _U((int(run) * int(power(1)) + int(x)) & 0xFFFFFFFFFFFFFFFF)
-        out_doc.append(np.array([s]))
-        out.append(mix(np.array([run ^ _U(int(n_words[s]))], np.uint64)))
-    docs, hashes = np.concatenate(out_doc), np.concatenate(out)
-    order = np.lexsort((hashes, docs))
-    docs, hashes = docs[order], hashes[order]
-    keep = np.r_[True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])]
+    if len(short):
+        first = np.cumsum(n_words) - n_words
+        some = []
+        for s in short:
+            run = 1
+            for x in h[first[s] : first[s] + n_words[s]]:
+                run = (run * int(power(1)) + int(x)) & 0xFFFFFFFFFFFFFFFF
+            some.append(run ^ int(n_words[s]))
+        out_doc, out = np.concatenate([out_doc, short]), np.concatenate([out, mix(np.array(some, np.uint64))])
+        order = np.argsort(out_doc, kind="stable")
+        out_doc, out = out_doc[order], out[order]
+    return out_doc, out, len(n_words)
+
+
+def block_shingles(row: dict, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash) of each document's distinct shingles, ordered by both, and the documents' set sizes."""
+    docs, hashes, n_docs = block_runs(row, words)
+    count = np.bincount(docs, minlength=n_docs)
+    if n_docs * 64 > len(docs):  # many short documents: one sort of all
+        order = np.lexsort((hashes, docs))
+        docs, hashes = docs[order], hashes[order]
+    else:
+        hashes = hashes.copy()
+        end = 0
+        for n in count.tolist():
+            hashes[end : end + n].sort()
+            end += n
+    keep = np.r_[True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])] if len(docs) else np.empty(0, bool)
     docs, hashes = docs[keep], hashes[keep]
-    return docs, hashes, np.bincount(docs, minlength=len(size))
+    return docs, hashes, np.bincount(docs, minlength=n_docs)
 
 
 def need(total: np.ndarray, percent: int) -> np.ndarray:
@@ -172,7 +198,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key_type = f", key {df.schema[key_col].dataType.simpleString()}" if key_col else ""
     arrow_type = to_arrow_type(df.schema[key_col].dataType) if key_col else None
     n_values = max(1, total_bytes(blocks) // 6)
-    marks = cut(shared_values(blocks, lambda row: distinct(block_shingles(row, words)[1]), n_values))
+    marks = cut(shared_values(blocks, lambda row: distinct(block_runs(row, words)[1]), n_values))
     marked = blocks.join(marks, "block", "left")
     names = marked.columns
 
@@ -195,8 +221,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     docs = cut(marked.mapInArrow(survivors, "doc_id long, n_shingles long, set_id long, own long, block long, place int" + key_type))
     # The elements of a set are written once, from one of its documents, right out of that document's block.
-    first = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("own").alias("own"), F.min(F.struct("block", "place")).alias("at"))
-    chosen = first.groupBy("at.block").agg(F.collect_list(F.struct("at.place", "set_id", "least", "own")).alias("sets"))
+    first = docs.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("own").alias("own"), F.min_by("place", "block").alias("place"), F.min("block").alias("block"))
+    chosen = first.groupBy("block").agg(F.collect_list(F.struct("place", "set_id", "least", "own")).alias("sets"))
     bodies = blocks.select("block", "lens", "body").join(chosen, "block")
     body_names = bodies.columns
 
