@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import block_rows, cut, distinct, least_owners, mix, open_block, owner_ids, pack, read_least, read_marks, release, shared_values, text_blocks, unpack
+from .common import block_rows, cut, distinct, least_owners, mix, open_block, owner_ids, pack, pack_steps, read_least, read_marks, release, shared_values, text_blocks, unpack, unpack_steps
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
 #: A sentence of more words is cut further, into clauses, and a clause of more words after the word of the least crc32 in each window of WINDOW words. Wherever a
@@ -129,12 +129,12 @@ def taken_apart(texts: list[bytes], min_sentences: int, min_words: int) -> list:
         prints, first, end = spans(pieces, words, min_sentences, min_words)
         found.append((prints, np.full(len(prints), d), first, end))
     prints, doc, first, end = (np.concatenate([f[i] for f in found]) for i in range(4))
-    small = [np.array(x, np.int32) for x in (counts, sizes, doc, first, end - first)]
-    return [len(prints), pack(prints.astype(np.uint64)), *map(pack, small), pack(np.array(all_words, np.float32))]
+    quarters = np.rint(np.array(all_words, np.float64) * 4)
+    return [len(prints), pack(prints.astype(np.uint64)), *(pack_steps(np.array(x)) for x in (counts, sizes, doc, first, end - first, quarters))]
 
 
 #: Runs of a block and their hashes; pieces of each document and their bytes; documents, first pieces and lengths of the runs;
-#: words of the pieces.
+#: quarters of words of the pieces.
 DERIVED = "n_runs long, prints binary, counts binary, sizes binary, run_doc binary, run_first binary, run_length binary, words binary"
 
 
@@ -143,7 +143,7 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.prints = unpack(row["prints"], "uint64")
-        self.doc, self.first, length = (unpack(row[k], "int32").astype(np.int64) for k in ("run_doc", "run_first", "run_length"))
+        self.doc, self.first, length = (unpack_steps(row[k]) for k in ("run_doc", "run_first", "run_length"))
         self.end = self.first + length
         self.owner = owner_ids(row["ids"])
         # The order of rows with equal ids within a block is that of their places.
@@ -194,9 +194,9 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
             here[shared] = read_least(values[shared], row["least"], n_values)[1]
             repeat = np.ones(len(back), bool)
             repeat[lead[here]] = False
-            counts, sizes, words = unpack(row["counts"], "int32"), unpack(row["sizes"], "int32").astype(np.int64), unpack(row["words"], "float32")
+            counts, sizes, words = unpack_steps(row["counts"]), unpack_steps(row["sizes"]), unpack_steps(row["words"]) / 4
             # All pieces of the block in turn; a run covers those from its first to its end.
-            base = (np.cumsum(counts) - counts).astype(np.int64)
+            base = np.cumsum(counts) - counts
             step = np.bincount((base[b.doc] + b.first)[repeat], minlength=len(sizes) + 1) - np.bincount((base[b.doc] + b.end)[repeat], minlength=len(sizes) + 1)
             gone = np.cumsum(step)[:-1] > 0
             per_doc = np.repeat(np.arange(len(counts)), counts)
@@ -210,7 +210,7 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 kept.append(left[at : at + n].decode())
                 at += n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["ids"], pa.int64()), pa.array(counts.astype(np.int64), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, pa.string())] + [pa.array(row["rest"], rest_type) for _ in carry[:1]],
+                [pa.array(row["ids"], pa.int64()), pa.array(counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, pa.string())] + [pa.array(row["rest"], rest_type) for _ in carry[:1]],
                 names=["doc_id", "n_sentences", "n_removed", "n_words_removed", "kept", *["rest"] * bool(carry)],
             )
 
