@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm import decontaminate, jaccard_join, mixing, registry, sentence_spans, toxicity
 from strandgraph.llm.common import cut, table
+from strandgraph.operators.lineage import delete, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = "row"
@@ -70,14 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents in ``sf_dir``; what the stages return is written to the shared folder."""
+    """The last stage's rows for the documents in ``sf_dir``. What a stage returns is written to the shared folder and deleted
+    once the next one's is; the last one's stays, as that is what is returned."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        cut(spark.range(1))
-        shared = spark.sparkContext.getCheckpointDir()
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
