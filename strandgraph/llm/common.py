@@ -31,10 +31,12 @@ def release(spark: SparkSession, least_s: float = 4) -> None:
 
     Spark deletes them when the driver's JVM collects the plan; a short driver may never do so by itself while its
     executors' disks fill. The JVM hears of plans that Python has let go of from a queue that is emptied about once a
-    second, so wait for that before its collection. Nothing is done within ``least_s`` seconds of the last time.
+    second, so wait for that before its collection; and its event threads hold on to the last plan until the next one ends,
+    so a plan of one row is run first. Nothing is done within ``least_s`` seconds of the last time.
     """
     global _released
     if time.monotonic() - _released > least_s:
+        spark.range(0, 1, 1, 1).collect()
         gc.collect()
         queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
         until = time.monotonic() + 2
@@ -114,13 +116,17 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base and of its inverse modulo 2^64, at least n; kept for the next block."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, _U(base))
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """The first powers of the base and of its inverse modulo 2^64, at least n; those for a usual block are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(n, _U(base))
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= 1 << 22:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def running(values: np.ndarray) -> np.ndarray:
