@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,8 @@ MAX_TOXIC, MAX_CLEAN = 3000, 6000
 #: A term must be in this many toxic texts and have this share of its texts toxic.
 MIN_TEXTS, MIN_SHARE = 4, 0.9
 STEMS = range(4, 9)
+#: Words a scorer remembers before it forgets all of them.
+REMEMBERED = 150_000
 #: Words of reporting that mark a quotation within WINDOW words before a match. Fixed values.
 REPORTING = frozenset("said says called calls quote quoted quotes quoting wrote writes term word phrase described reported".split())
 WINDOW = 6
@@ -145,7 +146,7 @@ class Scorer:
         low = text.lower()
         out = np.zeros(2 * len(KINDS))
         known, match = self.known, self.automaton.match
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         hits = set()
         for w in set(_WORD.findall(low)):
@@ -228,13 +229,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return {"words": sorted(words), "stems": sorted(stems), "weights": weights.tolist()}
 
 
-@cache
-def _scorer(words: tuple[str, ...], stems: tuple[str, ...]) -> Scorer:
-    return Scorer(set(words), set(stems))
-
-
-def _scores(texts: Iterator[str | None], model: dict) -> np.ndarray:
-    scorer, weights = _scorer(tuple(model["words"]), tuple(model["stems"])), np.array(model["weights"])
+def _scores(texts: Iterator[str | None], scorer: Scorer, weights: np.ndarray) -> np.ndarray:
     z = np.array([scorer.features(t or "") @ weights[:-1] + weights[-1] for t in texts])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -244,8 +239,9 @@ def score_toxicity(df: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     are carried as they are; other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, weights = Scorer(set(model["words"]), set(model["stems"])), np.array(model["weights"])
         for batch in batches:
-            score = _scores((t.as_py() for t in batch.column(1)), model)
+            score = _scores((t.as_py() for t in batch.column(1)), scorer, weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -258,7 +254,8 @@ def drop_toxic(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     @pandas_udf("boolean")
     def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer, weights = Scorer(set(model["words"]), set(model["stems"])), np.array(model["weights"])
         for batch in texts:
-            yield pd.Series(_scores(iter(batch), model) >= 0.5)
+            yield pd.Series(_scores(iter(batch), scorer, weights) >= 0.5)
 
     return df.where(~toxic(F.col(text_col).cast("string")))
