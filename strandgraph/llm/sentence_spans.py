@@ -180,13 +180,12 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     runs = blocks.select("block", "ids", "prints", "run_doc", "run_first", "run_length")
     least = cut(least_owners(runs.join(marks, "block", "left"), offered, n_values))
-    whole = blocks.drop("n_bytes", "n_runs").join(marks.join(least, "block", "left"), "block", "left")
-    release(df.sparkSession)
-    names = whole.columns
-    rest_type = to_arrow_type(whole.schema["rest"].dataType.elementType) if carry else None
+    told = blocks.drop("n_bytes", "n_runs", "lens", "body", "rest").join(marks.join(least, "block", "left"), "block", "left")
+    told_names = told.columns
 
-    def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in block_rows(batches, names):
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block the bytes that go, as places where this changes, and the figures of its documents."""
+        for row in block_rows(batches, told_names):
             b = Block(row)
             values, back, lead = b.firsts()
             shared = read_marks(values, row["marks"], n_values)
@@ -202,15 +201,31 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
             per_doc = np.repeat(np.arange(len(counts)), counts)
             n_removed = np.bincount(per_doc, weights=gone, minlength=len(counts)).astype(np.int64)
             n_words = np.bincount(per_doc, weights=np.where(gone, words, 0), minlength=len(counts)).astype(np.int64)
+            left = np.bincount(per_doc, weights=np.where(gone, 0, sizes), minlength=len(counts)).astype(np.int64)
+            turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+            places = np.r_[0, np.cumsum(sizes)][turns]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), *(pa.array([pack_steps(x)], pa.binary()) for x in (counts, n_removed, n_words, left, places))], names=["block", "counts", "n_removed", "n_words", "left", "places"])
+
+    # Small: the texts go through one shuffle only, beside these.
+    decided = cut(told.mapInArrow(decide, "block long, counts binary, n_removed binary, n_words binary, left binary, places binary"))
+    del marks, least, told, runs
+    whole = blocks.select("block", "ids", "lens", "body", *["rest"] * bool(carry)).join(decided, "block")
+    release(df.sparkSession)
+    names = whole.columns
+    rest_type = to_arrow_type(whole.schema["rest"].dataType.elementType) if carry else None
+
+    def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in block_rows(batches, names):
             buf, _, _ = open_block(row["lens"], row["body"])
-            left, kept = buf[~np.repeat(gone, sizes)].tobytes() if gone.any() else buf.tobytes(), []
-            rest = np.bincount(per_doc, weights=np.where(gone, 0, sizes), minlength=len(counts)).astype(np.int64)
-            at = 0
-            for n in rest.tolist():
-                kept.append(left[at : at + n].decode())
+            data, kept, at = memoryview(buf.tobytes()), [], 0
+            places = unpack_steps(row["places"]).tolist()
+            stays = zip([0, *places[1::2]], [*places[::2], len(data)], strict=True)
+            text = b"".join(data[a:b] for a, b in stays)
+            for n in unpack_steps(row["left"]).tolist():
+                kept.append(text[at : at + n].decode())
                 at += n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["ids"], pa.int64()), pa.array(counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, pa.string())] + [pa.array(row["rest"], rest_type) for _ in carry[:1]],
+                [pa.array(row["ids"], pa.int64()), *(pa.array(unpack_steps(row[k]), pa.int64()) for k in ("counts", "n_removed", "n_words")), pa.array(kept, pa.string())] + [pa.array(row["rest"], rest_type) for _ in carry[:1]],
                 names=["doc_id", "n_sentences", "n_removed", "n_words_removed", "kept", *["rest"] * bool(carry)],
             )
 
