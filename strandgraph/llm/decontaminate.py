@@ -69,6 +69,18 @@ def _windows(pairs: Column, width: int, least: int) -> Column:
     return _let(pairs, parts)
 
 
+def _text_windows(text: Column, width: int, least: int) -> Column:
+    """``_windows`` of a text. Only one with so many slots that a window may be short of literal words is looked at word
+    beside word; all others need their template alone."""
+
+    def either(words: Column) -> Column:
+        plain = F.size(F.filter(words, lambda w: w.startswith("<"))) <= width - least
+        hashed = lambda h: F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(1), F.size(h) - F.lit(width) + 1), lambda i: F.xxhash64(F.slice(h, i, width))))
+        return F.when(plain, _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)).otherwise(_windows(_pairs(text), width, least))
+
+    return _let(_template(text), either)
+
+
 def _standing(words: Column) -> Column:
     """The hash of words as they stand, never that of a template."""
     return F.xxhash64(F.lit("as they stand"), words)
@@ -105,7 +117,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     pairs = _pairs(F.col("text"))
-    every = [_windows(pairs, width, MIN_LITERALS), *(_standing_windows(pairs, n) for n in sizes)]
+    every = [_text_windows(F.col("text"), width, MIN_LITERALS), *(_standing_windows(pairs, n) for n in sizes)]
     there = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(every[0]).alias("doc_at", "hash"))
     for windows in every[1:]:
         there = there.union(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(windows).alias("doc_at", "hash")))
