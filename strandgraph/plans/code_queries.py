@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.operators import clusters, fixers, flow, formal, graph, minify, report, resolve
 from strandgraph.sources import code, files, vue
+from strandgraph.sources.statements import statements
 
 from .catalogue import query, read
 from .project import FILES, literal
@@ -270,6 +271,19 @@ def large_file_shortcut(spark, sf_dir):
     return whole.agg(F.count_distinct("file").cast("int").alias("read_whole")).join(large.agg(F.count("*").cast("int").alias("by_pattern")))
 
 
+@query(literal("fn, pos, kind, target", [(f"{INDEX}#main", 0, "plain", None), (f"{INDEX}#main", 1, "branch", 3), (f"{INDEX}#main", 2, "return", None), (f"{INDEX}#main", 3, "plain", None), (f"{INDEX}#main", 4, "return", None), (f"{HELPER}#isOk", 0, "branch", 3), (f"{HELPER}#isOk", 1, "return", None), (f"{HELPER}#isOk", 2, "jump", 4), (f"{HELPER}#isOk", 3, "return", None)]))
+def function_statements(spark, sf_dir):
+    """What functions are made of, and where their branches and jumps go."""
+    return statements(project_files(spark)).where("fn LIKE '%#main' OR fn LIKE '%#isOk'").select("fn", "pos", "kind", "target")
+
+
+@query(literal("fn, edges, nodes, complexity", [(f"{INDEX}#main", 5, 5, 2), (f"{HELPER}#isOk", 6, 6, 2), (f"{API}#getConfig", 2, 3, 1)]))
+def function_flow(spark, sf_dir):
+    """Size and E - N + 2 of functions' control flow, entry and exit included."""
+    found = flow.complexity(statements(project_files(spark))).where("fn LIKE '%#main' OR fn LIKE '%#isOk' OR fn LIKE '%#getConfig'")
+    return found.select("fn", *(F.col(c).cast("int").alias(c) for c in ("edges", "nodes", "complexity")))
+
+
 def blocks(spark):
     return vue.blocks(project_files(spark).where("ext = '.vue'"))
 

@@ -244,12 +244,13 @@ def module_edges(spark, sf_dir):
     return e.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("calls")).withColumn("type", F.when(F.col("src") == F.col("dst"), "internal").otherwise("import"))
 
 
-@query("SELECT p_partkey AS id, [length(p_name)::DOUBLE, length(p_brand)::DOUBLE, 1.0::DOUBLE] AS vector FROM part WHERE p_size > 45")
+@query("SELECT p_partkey AS id, length(p_name)::DOUBLE AS x, length(p_brand)::DOUBLE AS y, 3 AS dimension FROM part WHERE p_size > 45")
 def provided_embeddings(spark, sf_dir):
     """Vectors of a function of texts that the caller brings."""
     ents = read(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_name", "p_brand").alias("text"))
     provider = lambda texts: [[len(t.split("|")[0]), len(t.split("|")[1]), 1] for t in texts]
-    return vectors.embed_with(ents, provider).select("id", "vector")
+    v = F.col("vector")
+    return vectors.embed_with(ents, provider).select("id", v[0].alias("x"), v[1].alias("y"), F.size(v).alias("dimension"))
 
 
 @query(f"SELECT id, round(2.0::DOUBLE / length(name), 6) AS score FROM {ENT} WHERE starts_with(lower(name), 're') ORDER BY score DESC, id LIMIT 10")

@@ -105,11 +105,11 @@ def contract_equality(spark, sf_dir):
     return signatures.contracts_equal(rows(v1), rows(v2), "key")
 
 
-@query("SELECT a.l_orderkey, list_sort(list_intersect(a.p, b.p)) AS both_parts, list_sort(a.p) = list_sort(b.p) AS same FROM (SELECT l_orderkey, list(DISTINCT l_partkey % 20) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) a JOIN (SELECT l_orderkey, list(DISTINCT l_partkey % 20) AS p FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) b USING (l_orderkey)")
+@query("SELECT a.l_orderkey, array_to_string(list_sort(list_intersect(a.p, b.p)), ',') AS both_parts, list_sort(a.p) = list_sort(b.p) AS same FROM (SELECT l_orderkey, list(DISTINCT l_partkey % 20) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) a JOIN (SELECT l_orderkey, list(DISTINCT l_partkey % 20) AS p FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) b USING (l_orderkey)")
 def set_intersections(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 20).alias("p"))
     sets = lines.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("p"))).alias("a"), F.collect_set(F.when(F.col("l_linenumber") > 3, F.col("p"))).alias("b")).where("size(a) > 0 AND size(b) > 0")
-    return sets.select("l_orderkey", F.array_sort(F.array_intersect("a", "b")).alias("both_parts"), (F.array_sort("a") == F.array_sort("b")).alias("same"))
+    return sets.select("l_orderkey", F.array_join(F.transform(F.array_sort(F.array_intersect("a", "b")), lambda x: x.cast("string")), ",").alias("both_parts"), (F.array_sort("a") == F.array_sort("b")).alias("same"))
 
 
 @query("SELECT DISTINCT l_returnflag AS type, l_linestatus AS original, l_linenumber AS modified FROM lineitem")
