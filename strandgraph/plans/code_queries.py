@@ -1,6 +1,7 @@
 """Queries of the operators on source code, over the small project whose texts stand in ``project``.
 
-Their SQL is what must come out, worked out by reading those texts.
+Their SQL states the rows that must come out. These were checked by reading the texts, most of them from an output of the
+operators, so they guard against changes more than they are a second opinion.
 """
 
 from __future__ import annotations

@@ -104,7 +104,7 @@ def files(spark: SparkSession) -> DataFrame:
 
 
 def literal(columns: str, rows: list[tuple]) -> str:
-    """SQL that returns these rows: what a query over the texts above must give, worked out by reading them."""
+    """SQL that returns these rows: what a query over the texts above must give, checked by reading them."""
 
     def value(v: object) -> str:
         if v is None:
