@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, licenses, mixing, nearest, sentence_spans, suffix_dedup, token_counts, toxicity
+from . import decontaminate, jaccard_join, language_id, licenses, merkle, mixing, nearest, sentence_spans, suffix_dedup, token_counts, toxicity
 from .common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,8 +68,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the crc32 of the id, the leaf that is folded up is that of one character more."""
+    said = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    claimed = F.when(crc_mod("doc_id", 7) == 0, said(F.col("n_chars").cast("decimal(20,0)") + 1))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), F.col("lang"), F.col("doc_id"), said(F.col("n_chars")), doc_id=F.col("doc_id"), claimed=claimed)
+    rows = rows.withColumn("folded", merkle.folded(F.coalesce("claimed", "leaf"), "path"))
+    digests = (merkle.text_of(c).alias(c) for c in ("leaf", "subroot", "root"))
+    return rows.select("doc_id", *digests, F.sha2(merkle.proof_text("path"), 256).alias("proof_sha256"), merkle.text_of("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_token_counts, op3_licenses, op4_similar_groups, op5_toxicity, op6_mix_sources, op7_sentence_spans, op8_suffix_dedup, op9_language_id, op10_decontaminate)
+    for f in (op1_nearest, op2_token_counts, op3_licenses, op4_similar_groups, op5_toxicity, op6_mix_sources, op7_sentence_spans, op8_suffix_dedup, op9_language_id, op10_decontaminate, op11_merkle_manifest)
 }
-ORACLES = {"op4_similar_groups": jaccard_join.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL}
+ORACLES = {"op4_similar_groups": jaccard_join.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
