@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, licenses, merkle, mixing, nearest, sentence_spans, suffix_dedup, token_counts, toxicity, whitening
+from . import decontaminate, jaccard_join, language_id, licenses, merkle, minhash, mixing, nearest, sentence_spans, suffix_dedup, token_counts, toxicity, whitening
 from .common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,12 +78,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *digests, F.sha2(merkle.proof_text("path"), 256).alias("proof_sha256"), merkle.text_of("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_token_counts, op3_licenses, op4_similar_groups, op5_toxicity, op6_mix_sources, op7_sentence_spans, op8_suffix_dedup, op9_language_id, op10_decontaminate, op11_merkle_manifest, op13_whitening)
+    for f in (op1_nearest, op2_token_counts, op3_licenses, op4_similar_groups, op5_toxicity, op6_mix_sources, op7_sentence_spans, op8_suffix_dedup, op9_language_id, op10_decontaminate, op11_merkle_manifest, op12_near_duplicates, op13_whitening)
 }
-ORACLES = {"op4_similar_groups": jaccard_join.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
+ORACLES = {"op4_similar_groups": jaccard_join.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_near_duplicates": minhash.ORACLE_SQL}
