@@ -2,13 +2,15 @@
 
 1. A shingle's hash is dealt to one of ``REGISTERS`` buckets by its first bits. Of the least hash of a bucket the register
    keeps how many zeros lead it and the ``MANTISSA`` bits after its first one: 16 bits.
-2. Equal sets become one. Each band of ``ROWS`` registers that aren't all empty is a signature. Sets at the threshold of 85 %
-   agree in a band of five with a chance of 0.44, so 51 bands miss one such link in 1e13. Equal hashes give equal registers,
-   so compressing them never loses a candidate.
+2. Equal sets become one. Each band of ``ROWS`` registers is a signature; for an empty register stands the first filled one
+   in an order that is fixed for its bucket, so sets of few shingles have as telling bands as others: a register agrees with
+   the chance of the similarity. Sets at the threshold of 85 % agree in a band of five with a chance of 0.44, so 51 bands miss
+   one such link in 1e13. Equal hashes give equal registers, so compressing them never loses a candidate.
 3. Candidates of a signature are met in three rounds, each of which leaves out what earlier links have joined: a set and the
    set that is the first of most of its signatures; a set and the first of each of its signatures; and all that are still
-   apart. So a large group of near copies is joined without its pairs. In the last round, a signature with more than
-   ``CROWD`` sets (as those that share a long passage) asks for a second one in common.
+   apart. So a large group of near copies is joined without its pairs. In the last round each set has a parity sketch: its
+   shingles are dealt to bits, a bit says whether their number is odd. Two sets differ in at least as many shingles as their
+   sketches differ in bits, so the join condition itself leaves out most pairs below the threshold and never one above.
 4. A candidate's similarity is estimated from the registers, less those that agree by chance; what is six standard deviations
    below the threshold goes. The rest is compared by whole sets.
 """
@@ -16,6 +18,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,8 @@ _U = np.uint64
 #: Registers of a set, a power of two; bits kept after a hash's first one; registers of a band.
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
 BANDS = REGISTERS // ROWS
-#: More sets than these in a signature are met only where they share two of such signatures.
-CROWD = 256
-#: Standard deviations that an estimate may be off.
-SLACK = 6
+#: Bits of a parity sketch. Standard deviations that an estimate may be off.
+PARITY, SLACK = 1024, 6
 _INDEX_BITS = REGISTERS.bit_length() - 1
 
 
@@ -53,14 +55,29 @@ def registers(docs: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
     return out
 
 
-def band_signatures(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each band that isn't all empty."""
-    some = regs[:, : BANDS * ROWS].astype(np.uint64)
+def probes(turn: int) -> np.ndarray:
+    """For each bucket the one to look into at a turn, if all before it are empty."""
+    place = np.arange(REGISTERS, dtype=np.uint64)
+    return (mix(place + _U(1) + _U(turn * REGISTERS)) >> _U(64 - _INDEX_BITS)).astype(np.int64)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers of sets that aren't empty, where for each empty one stands the first filled one that its bucket looks into."""
+    out, turn = regs.copy(), 0
+    left = np.flatnonzero((regs == 0).any(1))
+    while len(left):
+        turn += 1
+        some = out[left]
+        out[left] = some = np.where(some == 0, regs[left][:, probes(turn)], some)
+        left = left[(some == 0).any(1)]
+    return out
+
+
+def band_signatures(regs: np.ndarray) -> np.ndarray:
+    """(set, band): the signature of each band."""
+    some = filled(regs)[:, : BANDS * ROWS].astype(np.uint64)
     place = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-    sigs = mix((mix(some + place) * (_U(2) * place + _U(1))).reshape(len(regs), BANDS, ROWS).sum(2, dtype=np.uint64))
-    filled = some.reshape(len(regs), BANDS, ROWS).any(2)
-    row, band = np.nonzero(filled)
-    return row, sigs[row, band].view(np.int64)
+    return mix((mix(some + place) * (_U(2) * place + _U(1))).reshape(len(regs), BANDS, ROWS).sum(2, dtype=np.uint64)).view(np.int64)
 
 
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -78,12 +95,6 @@ def estimated(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
     return (agree - p) / (1 - p), told
 
 
-def unlike(percent: int, told: float) -> float:
-    """The most of ``told`` registers in which sets at the threshold differ, but for an error beyond the slack."""
-    t = percent / 100
-    return (1 - t) * told + SLACK * (t * (1 - t) * told) ** 0.5
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 85, block_bytes: int = 1 << 21) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -134,14 +145,14 @@ def _links(sets: DataFrame, blocks: DataFrame, words: int, percent: int) -> Data
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, sigs = band_signatures(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(sigs)], names=["set_id", "sig"])
+                sigs = band_signatures(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(sigs.ravel())], names=["set_id", "sig"])
 
     rows = sets.select("set_id", "registers").mapInArrow(sign, "set_id long, sig long").withColumn("root", F.col("set_id"))
     pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
-    links = None
+    links = roots = None
     for step in ("closest", "firsts", "all"):
-        apart = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("set_id").alias("other"), F.count("*").alias("crowd")).where("low <> high")
+        apart = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("set_id").alias("other")).where("low <> high")
         rows = cut(rows.join(apart.drop("low", "high"), "sig"))
         if links is not None and rows.isEmpty():
             break
@@ -149,11 +160,14 @@ def _links(sets: DataFrame, blocks: DataFrame, words: int, percent: int) -> Data
         if step == "closest":
             met = met.groupBy("set_id", "other").agg(F.count("*").alias("shared")).groupBy("set_id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
         elif step == "firsts":
-            theirs = roots.select(F.col("node").alias("other"), F.col("root").alias("other_root"))  # noqa: F821
+            theirs = roots.select(F.col("node").alias("other"), F.col("root").alias("other_root"))
             met = met.select("set_id", "other", "root").distinct().join(theirs, "other", "left").where(F.col("root") != F.coalesce("other_root", "other"))
-        else:
-            met = _all_apart(rows, sets, percent)
-        new = cut(_compared(met.select(*pair).distinct(), sets, blocks, words, percent))
+        whole = _elements(rows.select("set_id").distinct(), sets, blocks, words) if step == "all" else None
+        if step == "all":
+            met = _all_apart(rows, whole, percent)
+        likely = cut(_likely(met.select(*pair).distinct(), sets, percent))
+        whole = whole or _elements(likely.select(F.col("a").alias("set_id")).union(likely.select("b")).distinct(), sets, blocks, words)
+        new = cut(_verified(likely, whole, percent))
         links = new if links is None else links.union(new)
         if step == "all":
             break
@@ -167,47 +181,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _all_apart(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(set_id, other): sets of one signature, or of two where it is crowded, that no link has joined so far. Sizes and one bit
-    of each register leave out in the join itself what is too unlike."""
+def _all_apart(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(set_id, other): sets of a signature that no link has joined so far, but for those too unlike in size or in bits."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                bits = np.packbits((_matrix(batch.column(2)) & 1).astype(bool), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(bits), pa.list_(pa.int64()))], names=["set_id", "n", "bits"])
-
-    crowded = rows.where(F.col("crowd") > CROWD)
-    listed = crowded.groupBy("set_id", "root").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))  # a set has BANDS at most
-    twice = listed.select("set_id", "root", F.explode(F.flatten(F.transform("sigs", lambda x, k: F.transform(F.slice("sigs", k + 2, F.size("sigs")), lambda y: F.xxhash64(x, y))))).alias("sig"))
-    keys = rows.where(F.col("crowd") <= CROWD).select("set_id", "root", "sig").union(twice)
-    several = keys.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    keys = keys.join(several, "sig")
-    told = sets.select("set_id", "n", "registers").join(keys.select("set_id").distinct(), "set_id", "left_semi").mapInArrow(sketch, "set_id long, n long, bits array<long>")
-    keys = cut(keys.join(told, "set_id"))
-    other = keys.select("sig", F.col("set_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"))
-    differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    close = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (differ <= unlike(percent, REGISTERS))
-    return keys.join(other, (keys["sig"] == other["sig"]) & (F.col("root") < F.col("other_root")) & close).select("set_id", "other")
-
-
-def _compared(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) within the threshold: by estimate first, then by whole sets."""
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for set_id, e in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                e = np.frombuffer(e.as_py(), np.uint64)
+                odd = np.bincount((mix(e ^ _U(0x2545F491)) % _U(PARITY)).astype(np.int64), minlength=PARITY) % 2
+                yield pa.RecordBatch.from_arrays([pa.array([set_id]), pa.array([len(e)]), pa.array([np.packbits(odd.astype(bool)).view(np.int64)], pa.list_(pa.int64()))], names=["set_id", "n", "bits"])
+
+    told = whole.mapInArrow(sketch, "set_id long, n long, bits array<long>")
+    told = told.select("set_id", "n", *(F.col("bits")[k].alias(f"b{k}") for k in range(PARITY // 64)))
+    keys = cut(rows.select("sig", "set_id", "root").join(told, "set_id"))
+    other = keys.select("sig", *(F.col(c).alias(f"other_{c}") for c in keys.columns if c != "sig"))
+    differ = reduce(add, (F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"other_b{k}"))) for k in range(PARITY // 64)))
+    close = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("other_n")))
+    return keys.join(other, (keys["sig"] == other["sig"]) & (F.col("root") < F.col("other_root")) & close).select("set_id", F.col("other_set_id").alias("other"))
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and estimated similarity leave it possible that they are within the threshold."""
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
-            if not len(n):
-                continue
-            similar, told = estimated(_matrix(batch.column(4)), _matrix(batch.column(5)), n, m)
-            t = percent / 100
-            good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (similar >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(told, 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+            if batch.num_rows:
+                n, m = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
+                similar, told = estimated(_matrix(batch.column(4)), _matrix(batch.column(5)), n, m)
+                t = percent / 100
+                good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (similar >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(told, 1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     one = lambda name, n, regs: sets.select(F.col("set_id").alias(name), F.col("n").alias(n), F.col("registers").alias(regs))
     both = pairs.join(one("a", "n", "x"), "a").join(one("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    kept = cut(both.mapInArrow(likely, "a long, b long"))
-    wanted = kept.select(F.col("a").alias("set_id")).union(kept.select("b")).distinct()
+    return both.mapInArrow(estimate, "a long, b long")
+
+
+def _elements(wanted: DataFrame, sets: DataFrame, blocks: DataFrame, words: int) -> DataFrame:
+    """(set_id, elements): the whole sets of ``wanted`` (set_id), each out of the block of one of its documents."""
     chosen = sets.select("set_id", "block", "place").join(wanted, "set_id").groupBy("block").agg(F.collect_list(F.struct("place", "set_id")).alias("sets"))
     bodies = blocks.select("block", "lens", "body").join(chosen, "block")
     names = bodies.columns
@@ -219,8 +230,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, words: int,
             at = [s["place"] for s in row["sets"]]
             yield pa.RecordBatch.from_arrays([pa.array([s["set_id"] for s in row["sets"]], pa.int64()), pa.array([hashes[ends[p] - sizes[p] : ends[p]].tobytes() for p in at], pa.binary())], names=["set_id", "elements"])
 
-    whole = cut(bodies.mapInArrow(contents, "set_id long, elements binary"))
-    return _verified(kept, whole, percent)
+    return cut(bodies.mapInArrow(contents, "set_id long, elements binary"))
 
 
 ORACLE_SQL = r"""
