@@ -7,8 +7,8 @@
    the chance of the similarity. Sets at the threshold of 85 % agree in a band of five with a chance of 0.44, so 51 bands miss
    one such link in 1e13. Equal hashes give equal registers, so compressing them never loses a candidate.
 3. Candidates of a signature are met in three rounds, each of which leaves out what earlier links have joined: a set and the
-   set that is the first of most of its signatures; a set and the first of each of its signatures; and all that are still
-   apart. So a large group of near copies is joined without its pairs. In the last round each set has a parity sketch: its
+   set that is the first of most of its signatures; a set and the first of each of its signatures in some orders; and all
+   that are still apart. So a large group of near copies is joined without its pairs. In the last round each set has a parity sketch: its
    shingles are dealt to bits, a bit says whether their number is odd. Two sets differ in at least as many shingles as their
    sketches differ in bits, so the join condition itself leaves out most pairs below the threshold and never one above.
 4. A candidate's similarity is estimated from the registers, less those that agree by chance; what is six standard deviations
@@ -33,6 +33,8 @@ _U = np.uint64
 #: Registers of a set, a power of two; bits kept after a hash's first one; registers of a band.
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
 BANDS = REGISTERS // ROWS
+#: Numbers whose exclusive or with a set's gives an order of the sets of a signature. Fixed values.
+ORDERS = (0, -1, 0x5555555555555555, 0x3333333333333333)
 #: Bits of a parity sketch. Standard deviations that an estimate may be off.
 PARITY, SLACK = 1024, 6
 _INDEX_BITS = REGISTERS.bit_length() - 1
@@ -152,11 +154,13 @@ def _links(sets: DataFrame, blocks: DataFrame, words: int, percent: int) -> Data
     pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
     links = roots = None
     for step in ("closest", "firsts", "all"):
-        apart = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("set_id").alias("other")).where("low <> high")
-        rows = cut(rows.join(apart.drop("low", "high"), "sig"))
+        apart = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), *(F.min(F.col("set_id").bitwiseXOR(F.lit(o))).alias(f"first_{k}") for k, o in enumerate(ORDERS))).where("low <> high")
+        firsts = F.array(*(F.col(f"first_{k}").bitwiseXOR(F.lit(o)) for k, o in enumerate(ORDERS))).alias("firsts")
+        rows = cut(rows.join(apart.select("sig", firsts), "sig"))
         if links is not None and rows.isEmpty():
             break
-        met = rows.where("set_id <> other")
+        met = rows.select("set_id", "root", (F.array(F.col("firsts")[0]) if step == "closest" else F.col("firsts")).alias("firsts"))
+        met = met.select("set_id", "root", F.explode("firsts").alias("other")).where("set_id <> other")
         if step == "closest":
             met = met.groupBy("set_id", "other").agg(F.count("*").alias("shared")).groupBy("set_id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
         elif step == "firsts":
