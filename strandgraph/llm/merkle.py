@@ -15,6 +15,7 @@ group begins. So no task sees a whole group.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,29 +84,35 @@ def _chunks(nodes: DataFrame, arity: int, depth: int) -> DataFrame:
     return cut(nodes.drop("chunk", "parent"))
 
 
-def _tree(nodes: DataFrame, most: int, arity: int) -> tuple[DataFrame, DataFrame]:
-    """Of nodes (tree, at, of, digest, own): (tree, own, path) with the steps from each to its tree's root, and (tree, digest)
-    of the roots. ``most`` is the most nodes of a tree."""
+def _rounds(nodes: DataFrame, most: int, arity: int) -> list[DataFrame]:
+    """The chunks (``_chunks``) of nodes (tree, at, of, digest, own), then those of the chunks' tops, and so on until each tree
+    has come down to its root, the one row with ``of = 1`` in one of the rounds. ``most`` is the most nodes of a tree."""
     at_most = max(1, int(math.log(CHUNK, arity) + 1e-9))
-    tops, roots, left = [], None, nodes
+    tops = []
     while True:
         depth = next((d for d in range(at_most) if arity**d >= most), at_most)
-        top = _chunks(left, arity, depth)
-        tops.append(top)
-        done = top.where("of = 1").select("tree", "digest")
-        roots = done if roots is None else roots.union(done)
+        tops.append(_chunks(nodes, arity, depth))
         most = -(-most // arity**depth)
         if most <= 1:
-            break
-        left = top.where("of > 1").select("tree", "at", "of", "digest", F.struct("at").alias("own"))
-    found = None
+            return tops
+        nodes = tops[-1].where("of > 1").select("tree", "at", "of", "digest", F.struct("at").alias("own"))
+
+
+def _roots(tops: list[DataFrame]) -> DataFrame:
+    """(tree, digest) of the trees' roots."""
+    return reduce(DataFrame.union, (top.where("of = 1").select("tree", "digest") for top in tops))
+
+
+def _leaves(tops: list[DataFrame], over: DataFrame) -> DataFrame:
+    """(tree, own, path, told): the steps from each leaf to its root, then those of ``over`` (tree, path, told), which has a row a
+    tree. What is above a chunk joins it as one row, so a large tree's leaves aren't dealt by the tree alone."""
+    later = None
     for top in reversed(tops):
-        leaves = top.select("tree", "at", F.explode("below").alias("leaf")).select("tree", "at", "leaf.own", "leaf.path")
-        if found is not None:
-            further = found.select("tree", F.col("own.at").alias("at"), F.col("path").alias("further"))
-            leaves = leaves.join(further, ["tree", "at"], "left").withColumn("path", F.concat("path", F.coalesce("further", F.array().cast(STEPS))))
-        found = leaves.select("tree", "own", "path")
-    return found, roots
+        ended = over.join(top.where("of = 1").select("tree"), "tree", "left_semi").select("tree", F.lit(0).cast("long").alias("at"), F.col("path").alias("further"), "told")
+        above = ended if later is None else ended.union(later.select("tree", "own.at", F.col("path").alias("further"), "told"))
+        chunks = top.join(above, ["tree", "at"]).select("tree", "further", "told", F.explode("below").alias("leaf"))
+        later = chunks.select("tree", "leaf.own", F.concat("leaf.path", "further").alias("path"), "told")
+    return later
 
 
 def manifest(df: DataFrame, group: Column, order: Column, leaf: Column, arity: int = 2, **carried: Column) -> DataFrame:
@@ -124,13 +131,14 @@ def manifest(df: DataFrame, group: Column, order: Column, leaf: Column, arity: i
     own = F.struct(*(c.alias(name) for name, c in carried.items()))
     rows = cut(df.select(named, order.alias("order"), leaf.alias("digest"), own.alias("carried")))
     rows, most = numbered(rows.withColumn("row", F.monotonically_increasing_id()), "tree", "order", "digest", "row")
-    leaves, subroots = _tree(rows.select("tree", "at", "of", "digest", F.struct("carried", "digest").alias("own")), most, arity)
-    groups, n_groups = numbered(subroots.withColumnRenamed("tree", "name").withColumn("tree", F.lit("")), "tree", "name")
-    tops, root = _tree(groups.select("tree", "at", "of", "digest", F.struct("name", "digest").alias("own")), n_groups, arity)
-    tops = tops.select(F.col("own.name").alias("tree"), F.col("own.digest").alias("subroot"), F.col("path").alias("high"))
-    # The root is one row.
-    told = leaves.join(tops, "tree").join(F.broadcast(root.select(F.col("digest").alias("root"))))
-    return told.select("own.carried.*", F.col("own.digest").alias("leaf"), "subroot", "root", F.concat("path", "high").alias("path"))
+    low = _rounds(rows.select("tree", "at", "of", "digest", F.struct("carried", "digest").alias("own")), most, arity)
+    groups, n_groups = numbered(_roots(low).withColumnRenamed("tree", "name").withColumn("tree", F.lit("")), "tree", "name")
+    high = _rounds(groups.select("tree", "at", "of", "digest", F.struct("name", "digest").alias("own")), n_groups, arity)
+    # The root is one row, and so is the tree of subroots.
+    over = _leaves(high, _roots(high).select("tree", F.array().cast(STEPS).alias("path"), F.struct("digest").alias("told")))
+    over = over.select(F.col("own.name").alias("tree"), "path", F.struct(F.col("own.digest").alias("subroot"), F.col("told.digest").alias("root")).alias("told"))
+    told = _leaves(low, over)
+    return told.select("own.carried.*", F.col("own.digest").alias("leaf"), "told.subroot", "told.root", "path")
 
 
 def proof_text(path: Column | str) -> Column:
