@@ -1,69 +1,54 @@
 """Clusters of functions: which belong together in a module of their own.
 
-Functions (module, name, exported), calls (module, src, dst). Clustering is greedy, one function after the other, so a
-module's functions are clustered in one task; a module is a source file, so its functions are few. Clusters are disjoint
-and never larger than ``most``.
+Functions (module, name, exported), calls (module, src, dst). Each function goes to the best-ranked start that leads to it
+by calls within its module, which is what growing one cluster after the other, from the best start on, comes to: where a
+better start leads to a function on the way, it leads to what comes after it, too. What a start owns is cut into pieces of at
+most ``most`` functions, nearest first. Both steps are joins and sorts over all modules at once, so neither a module nor a
+start's functions are ever in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import text
 
 from .graph import cohesion
-
-SCHEMA = "module string, cluster string, seed string, place int, name string"
+from .ranking import best_starts, numbered
 
 
 def _ranked(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Functions with how often they are called and what they call; importance is 100 for exported ones plus the calls."""
+    """Functions with how often they are called; importance is 100 for exported ones plus the calls."""
     often = calls.groupBy("module", F.col("dst").alias("name")).agg(F.count("*").alias("called"))
-    out = calls.groupBy("module", F.col("src").alias("name")).agg(F.array_sort(F.collect_set("dst")).alias("callees"))
-    f = functions.select("module", "name", "exported").distinct().join(often, ["module", "name"], "left").join(out, ["module", "name"], "left")
-    return f.select("module", "name", "exported", F.coalesce("called", F.lit(0)).alias("called"), (F.col("exported").cast("int") * 100 + F.coalesce("called", F.lit(0))).alias("importance"), F.coalesce("callees", F.array().cast("array<string>")).alias("callees"))
-
-
-def _grow(rows: pd.DataFrame, seeds: list[str], most: int) -> pd.DataFrame:
-    callees = dict(zip(rows["name"], rows["callees"], strict=True))
-    owned: set[str] = set()
-    out = []
-    for seed in seeds:
-        if seed in owned:
-            continue
-        members, at = [seed], 0
-        owned.add(seed)
-        while at < len(members) and len(members) < most:
-            for other in callees[members[at]]:
-                if other in callees and other not in owned and len(members) < most:
-                    owned.add(other)
-                    members.append(other)
-            at += 1
-        out += [(rows["module"].iloc[0], seed, seed, k, m) for k, m in enumerate(members)]
-    return pd.DataFrame(out, columns=["module", "cluster", "seed", "place", "name"])
+    f = functions.groupBy("module", "name").agg(F.bool_or("exported").alias("exported")).join(often, ["module", "name"], "left")
+    called = F.coalesce("called", F.lit(0))
+    return f.select("module", "name", F.struct("module", "name").alias("node"), "exported", called.alias("called"), (F.col("exported").cast("int") * 100 + called).alias("importance"))
 
 
-def by_importance(functions: DataFrame, calls: DataFrame, most: int = 10) -> DataFrame:
-    """``module, cluster, seed, place, name``: clusters grow breadth first from the most important functions on; ties go by
-    name. Every function is in one cluster."""
+def _grown(ranked: DataFrame, starts: DataFrame, calls: DataFrame, most: int) -> DataFrame:
+    node = lambda name: F.struct("module", F.col(name).alias("name"))
+    edges = calls.select(node("src").alias("src"), node("dst").alias("dst"))
+    known = ranked.select("node")
+    edges = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    owned = numbered(best_starts(starts, edges), "start", "distance", "node")
+    owned = owned.select("start", "node", F.expr(f"at div {most}").alias("piece"), (F.col("at") % most).cast("int").alias("place"))
+    heads = owned.where("place = 0").select("start", "piece", F.col("node.name").alias("cluster"))
+    return owned.join(heads, ["start", "piece"]).select("node.module", "cluster", F.col("start.name").alias("seed"), "place", "node.name")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["importance", "name"], ascending=[False, True])
-        return _grow(rows, rows["name"].tolist(), most)
 
-    return _ranked(functions, calls).groupBy("module").applyInPandas(run, SCHEMA)
+def by_importance(functions: DataFrame, calls: DataFrame, most: int = 10) -> DataFrame:
+    """``module, cluster, seed, place, name``: every function with the most important one that leads to it (``seed``; ties by
+    name, itself if none is more important), in pieces named by their first function."""
+    ranked = _ranked(functions, calls)
+    return _grown(ranked, ranked.select("node", F.struct((-F.col("importance")).alias("i"), "name").alias("rank")), calls, most)
 
 
 def by_entry_points(functions: DataFrame, calls: DataFrame, most: int = 10) -> DataFrame:
-    """The same from functions that nobody calls, then exported ones, then names; what no entry reaches is left over."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["exported", "name"], ascending=[False, True])
-        return _grow(rows, rows.loc[rows["called"] == 0, "name"].tolist(), most)
-
-    return _ranked(functions, calls).groupBy("module").applyInPandas(run, SCHEMA)
+    """The same from functions that nobody calls only, exported ones first, then by name; what none of them reaches is left
+    over."""
+    ranked = _ranked(functions, calls)
+    return _grown(ranked, ranked.where("called = 0").select("node", F.struct((~F.col("exported")).alias("i"), "name").alias("rank")), calls, most)
 
 
 def described(clusters: DataFrame, functions: DataFrame, calls: DataFrame, wanted: int = 3, most: int = 10) -> DataFrame:

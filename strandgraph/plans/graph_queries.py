@@ -462,19 +462,40 @@ def _brand_functions(spark, sf_dir):
     return functions, calls.select("module", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
 
 
-@query(None)
+_CLUSTERS = f"""{G_PART}, f AS (SELECT p_brand AS module, p_partkey::VARCHAR AS name, p_partkey % 3 = 0 AS exported FROM part),
+c AS (SELECT a.module, a.name AS src, b.name AS dst FROM e JOIN f a ON a.name = e.src::VARCHAR JOIN f b ON b.name = e.dst::VARCHAR WHERE a.module = b.module),
+k AS (SELECT module, dst AS name, count(*) AS called FROM c GROUP BY ALL),
+i AS (SELECT f.*, coalesce(called, 0) AS called, exported::INT * 100 + coalesce(called, 0) AS importance FROM f LEFT JOIN k USING (module, name)),
+st AS ({{starts}}),
+r(module, seed, name, d) AS (SELECT module, name, name, 0 FROM st UNION SELECT r.module, r.seed, c.dst, r.d + 1 FROM r JOIN c ON c.module = r.module AND c.src = r.name WHERE r.d < 60),
+o AS (SELECT r.module, seed, r.name, d FROM r JOIN st ON st.module = r.module AND st.name = r.seed QUALIFY row_number() OVER (PARTITION BY r.module, r.name ORDER BY rank, d) = 1),
+pl AS (SELECT *, row_number() OVER (PARTITION BY module, seed ORDER BY d, name) - 1 AS nth FROM o),
+g AS (SELECT module, first_value(name) OVER (PARTITION BY module, seed, nth // 10 ORDER BY nth) AS cluster, seed, (nth % 10)::INT AS place, name FROM pl)"""
+_BY_IMPORTANCE = _CLUSTERS.format(starts="SELECT module, name, row_number() OVER (ORDER BY importance DESC, name) AS rank FROM i")
+_BY_ENTRIES = _CLUSTERS.format(starts="SELECT module, name, row_number() OVER (ORDER BY exported DESC, name) AS rank FROM i WHERE called = 0")
+_DESCRIBED = """s AS (SELECT module, cluster, count(*) AS size, bool_or(exported) AS exported FROM g JOIN f USING (module, name) GROUP BY ALL),
+ie AS (SELECT x.module, x.cluster, count(*) AS total, count(*) FILTER (x.cluster = y.cluster) AS inside FROM (SELECT DISTINCT * FROM c WHERE src <> dst) t JOIN g x ON x.module = t.module AND x.name = t.src LEFT JOIN g y ON y.module = t.module AND y.name = t.dst GROUP BY ALL),
+dc AS (SELECT s.module, s.cluster, s.size, exported, CASE WHEN size <= 1 THEN 0.0 ELSE round(coalesce(inside, 0)::DOUBLE / (size * (size - 1)) * 100, 4) END::DOUBLE AS density, CASE WHEN size <= 1 THEN 100 WHEN coalesce(total, 0) = 0 THEN 0 ELSE round(inside::DOUBLE / total * 100, 0) END::DOUBLE AS share FROM s LEFT JOIN ie USING (module, cluster))"""
+
+
+@query(f"WITH RECURSIVE {_BY_IMPORTANCE} SELECT module, cluster, seed, place, name FROM g")
 def greedy_clusters(spark, sf_dir):
     return clusters.by_importance(*_brand_functions(spark, sf_dir))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {_BY_ENTRIES} SELECT module, cluster, seed, place, name FROM g")
+def clusters_of_entries(spark, sf_dir):
+    return clusters.by_entry_points(*_brand_functions(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_BY_ENTRIES}, {_DESCRIBED} SELECT module || '#' || cluster AS cluster, size, CASE WHEN exported THEN 'core' ELSE 'helper' END AS kind, density, share FROM dc")
 def entry_clusters(spark, sf_dir):
     functions, calls = _brand_functions(spark, sf_dir)
-    return clusters.described(clusters.by_entry_points(functions, calls), functions, calls)
+    return clusters.described(clusters.by_entry_points(functions, calls), functions, calls).select("cluster", "size", "kind", "density", "share")
 
 
-@query(None)
+@query(f"WITH RECURSIVE {_BY_IMPORTANCE}, {_DESCRIBED}, b AS (SELECT * FROM dc ORDER BY density DESC, size DESC, module || '#' || cluster LIMIT 5) SELECT b.module || '#' || b.cluster AS cluster, string_agg(g.name, ', ' ORDER BY place) FILTER (place < 3) AS functions FROM b JOIN g USING (module, cluster) GROUP BY ALL")
 def suggested_layout(spark, sf_dir):
     functions, calls = _brand_functions(spark, sf_dir)
     found = clusters.by_importance(functions, calls)
-    return clusters.layout(clusters.described(found, functions, calls), found)
+    return clusters.layout(clusters.described(found, functions, calls), found).select("cluster", "functions")
