@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import CodeGraph
+from .lineage import cut
 
 ENTRY, EXIT = "entry", "exit"
 
@@ -103,3 +104,51 @@ def variable_stats(defs: DataFrame, uses: DataFrame) -> DataFrame:
 def reassigned(defs: DataFrame) -> DataFrame:
     """``scope, name, times``: constants that are defined more than once."""
     return defs.where("is_const").groupBy("scope", "name").agg(F.count("*").alias("times")).where("times > 1")
+
+
+# --- data flow along the control flow: statements as above, defs and uses (fn, pos, name) ---
+
+
+def definitions_at_blocks(statements: DataFrame, defs: DataFrame) -> DataFrame:
+    """``fn, block, name, def_pos``: definitions that reach the beginning of a block on some way, blocks as in ``cfg``.
+
+    The fixpoint of the sets that blocks generate and let pass, as rows: a round moves what a block newly has at its end over
+    its edges, leaves out what was there before, and goes on with what the block doesn't define anew. A row is moved once,
+    and ways that meet add nothing, so the rounds are as many as the longest way of a definition that is still news.
+    """
+    inside = cut(blocks(statements).select("fn", "pos", "block").join(defs.select("fn", "pos", "name").distinct(), ["fn", "pos"]))
+    label = F.concat_ws(":", F.col("fn").cast("string"), F.col("block").cast("string"))
+    last = cut(inside.groupBy("fn", label.alias("block"), "name").agg(F.max("pos").alias("def_pos")))
+    edges = cut(cfg(statements).select("fn", "src", "dst"))
+    kills = last.select("block", "name")
+    front = last.select("fn", "block", "name", "def_pos")
+    seen = None
+    while True:
+        step = front.withColumnRenamed("block", "src").join(edges, ["fn", "src"]).select("fn", F.col("dst").alias("block"), "name", "def_pos").distinct()
+        news = step if seen is None else step.join(seen, ["fn", "block", "name", "def_pos"], "left_anti")
+        news = cut(news)
+        if news.isEmpty():
+            return seen if seen is not None else news
+        seen = news if seen is None else cut(seen.union(news))
+        front = news.join(kills, ["block", "name"], "left_anti").select("fn", "block", "name", "def_pos")
+
+
+def flow_def_use(statements: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
+    """``fn, name, def_pos, use_pos``: each use with every definition that may be the last one before it on some way; a use
+    that none reaches has a null. A definition in the same statement is no definition of what the statement uses."""
+    at = blocks(statements).select("fn", "pos", F.concat_ws(":", F.col("fn").cast("string"), F.col("block").cast("string")).alias("block"))
+    d = defs.select("fn", "pos", "name").distinct().join(at, ["fn", "pos"]).withColumn("is_def", F.lit(True))
+    u = uses.select("fn", "pos", "name").distinct().join(at, ["fn", "pos"]).withColumn("is_def", F.lit(False))
+    order = Window.partitionBy("fn", "block", "name").orderBy("pos", "is_def").rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.max(F.when(F.col("is_def"), F.col("pos"))).over(order)
+    here = cut(d.union(u).withColumn("def_pos", inner).where("NOT is_def").select("fn", "block", "name", "def_pos", F.col("pos").alias("use_pos")))
+    before = definitions_at_blocks(statements, defs)
+    there = here.where("def_pos IS NULL").drop("def_pos").join(before, ["fn", "block", "name"], "left")
+    columns = ["fn", "name", "def_pos", "use_pos"]
+    return here.where("def_pos IS NOT NULL").select(*columns).union(there.select(*columns))
+
+
+def dependencies(links: DataFrame) -> CodeGraph:
+    """The graph of what flows where, of ``flow_def_use``: a node is a statement, written ``fn:pos``."""
+    name = lambda pos: F.concat_ws(":", F.col("fn").cast("string"), F.col(pos).cast("string"))
+    return CodeGraph(links.where("def_pos IS NOT NULL").select(name("def_pos").alias("src"), name("use_pos").alias("dst")))

@@ -283,6 +283,52 @@ def data_dependencies(spark, sf_dir):
     return g.reach(g.written().agg(F.min("src").alias("node")))
 
 
+# A statement uses the variable of its event's type; every third one sets that of another type before it goes on.
+_TYPES = ("view", "click", "purchase", "signup", "error")
+_SETS = "CASE event_id % 5 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TYPES)) + " END"
+_FLOW = f"""{STATEMENTS},
+at AS (SELECT user_id AS fn, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos, event_type AS used, CASE WHEN event_id % 3 = 0 THEN {_SETS} END AS def FROM events),
+df AS (SELECT at.fn, bl.block, at.pos, def AS name FROM at JOIN bl ON bl.fn = at.fn AND bl.pos = at.pos WHERE def IS NOT NULL),
+us AS (SELECT at.fn, bl.block, at.pos, used AS name FROM at JOIN bl ON bl.fn = at.fn AND bl.pos = at.pos),
+gn AS (SELECT fn, block, fn || ':' || block AS src, name, max(pos) AS def_pos FROM df GROUP BY ALL),
+rd(fn, blk, name, def_pos) AS (SELECT gn.fn, cf.dst, name, def_pos FROM gn JOIN cf ON cf.src = gn.src
+  UNION SELECT rd.fn, cf.dst, rd.name, rd.def_pos FROM rd JOIN cf ON cf.src = rd.blk WHERE NOT EXISTS (SELECT 1 FROM gn WHERE gn.src = rd.blk AND gn.name = rd.name)),
+lk AS (SELECT us.fn, us.name, coalesce((SELECT max(df.pos) FROM df WHERE df.fn = us.fn AND df.block = us.block AND df.name = us.name AND df.pos < us.pos), rd.def_pos) AS def_pos, us.pos AS use_pos
+  FROM us LEFT JOIN rd ON rd.blk = us.fn || ':' || us.block AND rd.name = us.name),
+du AS (SELECT DISTINCT fn, name, def_pos, use_pos FROM lk)""".replace("at AS (SELECT user_id", "am AS (SELECT user_id").replace("at.", "am.").replace("FROM at ", "FROM am ")
+
+
+def _flow_links(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    sets = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("fn"), place.alias("pos"), "event_type", F.when(F.col("event_id") % 3 == 0, sets).alias("name"))
+    defs, uses = rows.where("name IS NOT NULL").select("fn", "pos", "name"), rows.select("fn", "pos", F.col("event_type").alias("name"))
+    return statements(spark, sf_dir), defs, uses
+
+
+@query(f"WITH RECURSIVE {_FLOW} SELECT fn, blk AS block, name, def_pos FROM rd")
+def definitions_at_blocks(spark, sf_dir):
+    """What reaches each basic block, over branches, jumps and loops."""
+    st, defs, _ = _flow_links(spark, sf_dir)
+    return flow.definitions_at_blocks(st, defs)
+
+
+@query(f"WITH RECURSIVE {_FLOW} SELECT fn, name, def_pos, use_pos FROM du")
+def flow_def_use(spark, sf_dir):
+    return flow.flow_def_use(*_flow_links(spark, sf_dir))
+
+
+_LINKS = f"{_FLOW}, e AS (SELECT DISTINCT fn || ':' || def_pos AS src, fn || ':' || use_pos AS dst FROM du WHERE def_pos IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {_LINKS}, b AS (SELECT dst AS src, src AS dst FROM e), {distances('SELECT fn || chr(58) || max(use_pos), 0 FROM du WHERE def_pos IS NOT NULL GROUP BY fn', 'b')} SELECT node, min(distance)::INT AS distance FROM r GROUP BY node")
+def flow_dependencies(spark, sf_dir):
+    """All that the last statement of each function that uses something depends on, through any number of statements."""
+    links = flow.flow_def_use(*_flow_links(spark, sf_dir)).where("def_pos IS NOT NULL")
+    last = links.groupBy("fn").agg(F.max("use_pos").alias("pos")).select(F.concat_ws(":", F.col("fn").cast("string"), F.col("pos").cast("string")).alias("node"))
+    return flow.dependencies(links).reversed().reach(last)
+
+
 # --- resolution ---
 
 _ID = "replace(p_name, ' ', '_') || '_' || p_partkey"
