@@ -1,50 +1,93 @@
-"""Comparing syntax: nodes of two versions of a file, matched by where they stand in the tree.
+"""Comparing trees: nodes of two versions, matched by where they stand.
 
-Nodes (file, node_id, parent_id, ord, kind, name, attrs) get a path of (place among siblings) from the root; a difference is a path
-that one side lacks or where kind, name or flags differ. The first difference in reading order is what a comparison
-reports; its confidence falls with what differs.
+Nodes (tree, node, parent, ord, kind, name, flags); a root's parent is null. Every subtree gets a hash, from the leaves up: a
+node's own values and, of each child, its place among the siblings and its hash, combined by an aggregate that needs no list
+of children. Two versions are then compared from the roots down, and only below pairs whose hashes differ; trees may be of any
+depth. A difference is a place that one side lacks or where kind, name or flags differ; a place below one that a side lacks
+is no difference of its own. The first one in reading order is what a comparison reports; its confidence falls with what differs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions import text
 
 from .lineage import cut
+from .ranking import numbered
 
 #: How sure a verdict of "different" is, by what differs. Fixed values.
 CONFIDENCE = {"missing": 0.5, "kind": 0.5, "name": 0.7, "flags": 0.8, "count": 0.9}
 FLAGS = ("is_async", "is_exported", "is_generator", "return_type", "params", "extends")
+NODE = ("kind", "name", "flags")
 
 
-def with_paths(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """``file, path, kind, name, flags`` of nodes up to ``depth`` levels down; positions in the text don't matter."""
+def syntax_trees(nodes: DataFrame) -> DataFrame:
+    """Nodes of syntax (file, node_id, parent_id, ord, kind, name, attrs) as trees; positions in the text don't matter."""
     flags = F.concat_ws("\x1f", *(F.coalesce(F.get(F.array(F.try_element_at("attrs", F.lit(f))), F.lit(0)), F.lit("")) for f in FLAGS))
-    place = F.row_number().over(Window.partitionBy("file", "parent_id").orderBy("ord")) - 1
-    rows = cut(nodes.where("kind NOT IN ('identifier', 'error')").select("file", "node_id", "parent_id", "kind", F.when(F.col("kind") == "program", "").otherwise(F.col("name")).alias("name"), flags.alias("flags"), place.alias("place")))
-    layer = rows.where("parent_id = -1").withColumn("path", F.array(F.lit(0)))
-    out = layer
-    for _ in range(depth):
-        up = layer.select("file", F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        layer = cut(rows.join(up, ["file", "parent_id"]).withColumn("path", F.concat("above", F.array("place"))).drop("above"))
-        if layer.isEmpty():
+    rows = nodes.where("kind NOT IN ('identifier', 'error')")
+    parent = F.when(F.col("parent_id") >= 0, F.col("parent_id"))
+    return rows.select(F.col("file").alias("tree"), F.col("node_id").alias("node"), parent.alias("parent"), "ord", "kind", F.when(F.col("kind") == "program", "").otherwise(F.col("name")).alias("name"), flags.alias("flags"))
+
+
+def hashed(nodes: DataFrame) -> DataFrame:
+    """``tree, node, parent, place, kind, name, flags, hash``: each node that hangs on a root with its place from 0 among its
+    siblings and the hash (two 64-bit halves) of all that is below and of itself."""
+    rows = numbered(nodes.withColumn("family", F.struct("tree", "parent")), "family", "ord", "node")
+    rows = cut(rows.select("tree", "node", "parent", F.col("at").alias("place"), *NODE))
+    levels = [rows.where("parent IS NULL")]
+    inner = rows.where("parent IS NOT NULL")
+    while True:
+        up = levels[-1].select("tree", F.col("node").alias("parent"))
+        level = cut(inner.join(up, ["tree", "parent"]).select(*rows.columns))
+        if level.isEmpty():
             break
-        out = out.unionByName(layer)
-    return out.select("file", "path", "kind", "name", "flags")
+        levels.append(level)
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in NODE]
+    half = lambda seed, *of: F.xxhash64(F.lit(seed), *of)
+    done, below = None, None
+    for level in reversed(levels):
+        if below is None:
+            level = level.withColumns({"one": F.lit(0).cast("long"), "two": F.lit(0).cast("long"), "n": F.lit(0).cast("long")})
+        else:
+            child = lambda seed: F.bit_xor(half(seed, "place", "hash.one", "hash.two"))
+            sums = below.groupBy("tree", F.col("parent").alias("node")).agg(child(1).alias("one"), child(2).alias("two"), F.count("*").alias("n"))
+            level = level.join(sums, ["tree", "node"], "left")
+        inside = [F.coalesce(c, F.lit(0)) for c in ("one", "two", "n")]
+        below = cut(level.select(*rows.columns, F.struct(half(3, *own, *inside).alias("one"), half(4, *own, *inside).alias("two")).alias("hash")))
+        done = below if done is None else done.union(below)
+    return done
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``file, path, what, original, modified, impact``: all places that differ, of files with the same name."""
-    x, y = with_paths(a), with_paths(b)
-    both = x.alias("a").join(y.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.path") == F.col("b.path")), "full_outer")
-    lone = F.col("a.kind").isNull() | F.col("b.kind").isNull()
-    what = F.when(lone, "missing").when(F.col("a.kind") != F.col("b.kind"), "kind").when(F.col("a.name") != F.col("b.name"), "name").when(F.col("a.flags") != F.col("b.flags"), "flags")
-    shown = lambda s: F.when(F.col(f"{s}.kind").isNotNull(), F.concat_ws(" ", F.col(f"{s}.kind"), F.col(f"{s}.name")))
-    impact = F.when(F.col("what").isin("missing", "kind"), "high").otherwise(text.change_impact(F.when(F.col("what") == "flags", "isAsync").otherwise("name")))
-    found = both.select(F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.path", "b.path").alias("path"), what.alias("what"), shown("a").alias("original"), shown("b").alias("modified")).where("what IS NOT NULL")
-    return found.withColumn("impact", impact)
+def tree_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``tree, path, what, original, modified``: all places that differ in trees of the same name; a path is the places on the
+    way from the root. A tree that only one side has differs at its root."""
+    x, y = hashed(a), hashed(b)
+    side = lambda t, parent, s: t.select(F.col("tree").alias("t"), F.col("parent").alias(parent), F.col("place").alias("p"), F.col("node").alias(f"{s}_node"), F.struct(*NODE).alias(s), F.col("hash").alias(f"{s}_hash"))
+    x, y = side(x, "a", "x"), side(y, "b", "y")
+    nothing = F.array().cast("array<long>")
+    tops = x.where("a IS NULL").drop("a").join(y.where("b IS NULL").drop("b"), ["t", "p"], "full_outer")
+    level = tops.select("t", F.concat(nothing, F.array("p")).alias("path"), "x", "y", "x_node", "y_node", "x_hash", "y_hash")
+    found = None
+    while True:
+        level = cut(level.where("NOT x_hash <=> y_hash"))
+        if level.isEmpty():
+            break
+        lone = F.col("x").isNull() | F.col("y").isNull()
+        what = F.when(lone, "missing")
+        for c in NODE:
+            what = what.when(~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), c)
+        shown = lambda s: F.when(F.col(s).isNotNull(), F.concat_ws(" ", f"{s}.kind", f"{s}.name"))
+        told = level.select(F.col("t").alias("tree"), "path", what.alias("what"), shown("x").alias("original"), shown("y").alias("modified")).where("what IS NOT NULL")
+        found = told if found is None else found.union(told)
+        pairs = level.where("x IS NOT NULL AND y IS NOT NULL").select("t", F.col("x_node").alias("a"), F.col("y_node").alias("b"), "path")
+        one, two = pairs.join(x, ["t", "a"]), pairs.join(y, ["t", "b"]).withColumnRenamed("path", "other_path")
+        both = one.join(two, ["t", "a", "b", "p"], "full_outer")
+        level = both.select("t", F.concat(F.coalesce("path", "other_path"), F.array("p")).alias("path"), "x", "y", "x_node", "y_node", "x_hash", "y_hash")
+    if found is None:
+        return level.select(F.col("t").alias("tree"), "path", F.lit("").alias("what"), F.lit("").alias("original"), F.lit("").alias("modified"))
+    return found
 
 
 def _confidence(what: Column) -> Column:
@@ -54,8 +97,19 @@ def _confidence(what: Column) -> Column:
     return out
 
 
+def tree_verdicts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``tree, equivalent, confidence, what, original, modified``: each tree's first difference in reading order, if any."""
+    first = tree_differences(a, b).groupBy("tree").agg(F.min_by(F.struct("what", "original", "modified"), "path").alias("d"))
+    names = a.select("tree").union(b.select("tree")).distinct()
+    return names.join(first, "tree", "left").select("tree", F.col("d").isNull().alias("equivalent"), _confidence(F.col("d.what")).alias("confidence"), "d.what", "d.original", "d.modified")
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``file, path, what, original, modified, impact``: all places that differ, of files of syntax with the same name."""
+    impact = F.when(F.col("what").isin("missing", "kind"), "high").otherwise(text.change_impact(F.when(F.col("what") == "flags", "isAsync").otherwise("name")))
+    return tree_differences(syntax_trees(a), syntax_trees(b)).withColumnRenamed("tree", "file").withColumn("impact", impact)
+
+
 def verdicts(a: DataFrame, b: DataFrame) -> DataFrame:
     """``file, equivalent, confidence, what, original, modified``: each file's first difference in reading order, if any."""
-    first = differences(a, b).groupBy("file").agg(F.min_by(F.struct("what", "original", "modified"), "path").alias("d"))
-    files = a.select("file").union(b.select("file")).distinct()
-    return files.join(first, "file", "left").select("file", F.col("d").isNull().alias("equivalent"), _confidence(F.col("d.what")).alias("confidence"), "d.what", "d.original", "d.modified")
+    return tree_verdicts(syntax_trees(a), syntax_trees(b)).withColumnRenamed("tree", "file")

@@ -207,6 +207,51 @@ def syntax_verdicts(spark, sf_dir):
     return syntax_diff.verdicts(side(1), side(2))
 
 
+# Trees of places: a region's nations, their customers, and these ones' orders; the later version has changes in each level.
+_LATER = {"nation": "n_nationkey <> 13", "customer": "c_custkey % 409 <> 5"}
+_PLACES = """t{v} AS (SELECT r_regionkey AS tree, ['0'] AS path, 'region' AS kind, r_name AS name, '' AS flags, 'r' || r_regionkey AS id FROM region),
+n{v} AS (SELECT t.tree, list_append(t.path, lpad((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::VARCHAR, 9, '0')) AS path, 'nation' AS kind, {nation} AS name, '' AS flags, n_nationkey AS id FROM nation JOIN t{v} t ON t.tree = n_regionkey WHERE {keep_nation}),
+c{v} AS (SELECT n.tree, list_append(n.path, lpad((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::VARCHAR, 9, '0')) AS path, 'customer' AS kind, c_name AS name, c_mktsegment AS flags, c_custkey AS id FROM customer JOIN n{v} n ON n.id = c_nationkey WHERE {keep_customer}),
+o{v} AS (SELECT c.tree, list_append(c.path, lpad((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::VARCHAR, 9, '0')) AS path, 'order' AS kind, o_orderkey::VARCHAR AS name, {status} AS flags, o_orderkey AS id FROM orders JOIN c{v} c ON c.id = o_custkey),
+a{v} AS (SELECT tree, path, kind, name, flags FROM t{v} UNION ALL SELECT tree, path, kind, name, flags FROM n{v} UNION ALL SELECT tree, path, kind, name, flags FROM c{v} UNION ALL SELECT tree, path, kind, name, flags FROM o{v})"""
+_DIFFERENT = f"""{_PLACES.format(v=1, nation="n_name", keep_nation="true", keep_customer="true", status="o_orderstatus")},
+{_PLACES.format(v=2, nation="CASE WHEN n_nationkey = 7 THEN lower(n_name) ELSE n_name END", keep_nation=_LATER["nation"], keep_customer=_LATER["customer"], status="CASE WHEN o_orderkey % 1999 = 1 THEN o_orderpriority ELSE o_orderstatus END")},
+j AS (SELECT coalesce(x.tree, y.tree) AS tree, coalesce(x.path, y.path) AS path, CASE WHEN x.path IS NULL OR y.path IS NULL THEN 'missing' WHEN x.name <> y.name THEN 'name' WHEN x.flags <> y.flags THEN 'flags' END AS what, x.kind || ' ' || x.name AS original, y.kind || ' ' || y.name AS modified FROM a1 x FULL JOIN a2 y ON x.tree = y.tree AND x.path = y.path),
+d AS (SELECT * FROM j WHERE what IS NOT NULL AND (what <> 'missing' OR (EXISTS (SELECT 1 FROM a1 WHERE a1.tree = j.tree AND a1.path = j.path[:len(j.path) - 1]) AND EXISTS (SELECT 1 FROM a2 WHERE a2.tree = j.tree AND a2.path = j.path[:len(j.path) - 1]))))"""
+
+
+def _place_trees(spark, sf_dir, later: bool):
+    region, nation, customer, orders = (read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    status, n_name = F.col("o_orderstatus"), F.col("n_name")
+    if later:
+        nation, customer = nation.where(_LATER["nation"]), customer.where(_LATER["customer"])
+        status = F.when(F.col("o_orderkey") % 1999 == 1, F.col("o_orderpriority")).otherwise(status)
+        n_name = F.when(F.col("n_nationkey") == 7, F.lower("n_name")).otherwise(n_name)
+    home = customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    row = lambda df, tree, node, parent, order, kind, named, flags: df.select(F.col(tree).alias("tree"), node.alias("node"), parent.alias("parent"), F.col(order).cast("long").alias("ord"), F.lit(kind).alias("kind"), named.alias("name"), flags.alias("flags"))
+    parts = [
+        row(region, "r_regionkey", name("r", "r_regionkey"), F.lit(None).cast("string"), "r_regionkey", "region", F.col("r_name"), F.lit("")),
+        row(nation, "n_regionkey", name("n", "n_nationkey"), name("r", "n_regionkey"), "n_nationkey", "nation", n_name, F.lit("")),
+        row(customer.join(home.drop("n_nationkey"), "c_custkey"), "n_regionkey", name("c", "c_custkey"), name("n", "c_nationkey"), "c_custkey", "customer", F.col("c_name"), F.col("c_mktsegment")),
+        row(orders.join(home.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey"), "n_regionkey", name("o", "o_orderkey"), name("c", "o_custkey"), "o_orderkey", "order", F.col("o_orderkey").cast("string"), status),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {_DIFFERENT} SELECT tree, array_to_string(list_transform(path, lambda p: p::BIGINT::VARCHAR), '/') AS path, what, original, modified FROM d")
+def tree_differences(spark, sf_dir):
+    """All places in which two versions of the trees differ."""
+    found = syntax_diff.tree_differences(_place_trees(spark, sf_dir, False), _place_trees(spark, sf_dir, True))
+    return found.withColumn("path", F.array_join(F.transform("path", lambda p: p.cast("string")), "/"))
+
+
+@query(f"WITH {_DIFFERENT}, f AS (SELECT tree, arg_min({{'what': what, 'original': original, 'modified': modified}}, path) AS d FROM d GROUP BY tree) SELECT r_regionkey AS tree, d IS NULL AS equivalent, CASE d.what WHEN 'missing' THEN 0.5 WHEN 'name' THEN 0.7 WHEN 'flags' THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence, d.what AS what, d.original AS original, d.modified AS modified FROM region LEFT JOIN f ON f.tree = r_regionkey")
+def tree_verdicts(spark, sf_dir):
+    """Each tree's first difference in reading order, and how sure it is that the versions differ."""
+    return syntax_diff.tree_verdicts(_place_trees(spark, sf_dir, False), _place_trees(spark, sf_dir, True))
+
+
 @query(f"WITH u AS (SELECT conv_id, turn, text, strlen(text) AS n FROM conversations WHERE text IS NOT NULL), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS total FROM u) SELECT conv_id, count(*) AS turns, sum(n)::BIGINT AS bytes FROM s WHERE total <= 4000 GROUP BY conv_id")
 def context_pack(spark, sf_dir):
     """The last turns of each conversation that fit into a context of 4000 bytes."""
