@@ -63,31 +63,30 @@ def hashed(nodes: DataFrame) -> DataFrame:
 def tree_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """``tree, path, what, original, modified``: all places that differ in trees of the same name; a path is the places on the
     way from the root. A tree that only one side has differs at its root."""
-    x, y = hashed(a), hashed(b)
-    side = lambda t, parent, s: t.select(F.col("tree").alias("t"), F.col("parent").alias(parent), F.col("place").alias("p"), F.col("node").alias(f"{s}_node"), F.struct(*NODE).alias(s), F.col("hash").alias(f"{s}_hash"))
-    x, y = side(x, "a", "x"), side(y, "b", "y")
-    nothing = F.array().cast("array<long>")
-    tops = x.where("a IS NULL").drop("a").join(y.where("b IS NULL").drop("b"), ["t", "p"], "full_outer")
-    level = tops.select("t", F.concat(nothing, F.array("p")).alias("path"), "x", "y", "x_node", "y_node", "x_hash", "y_hash")
-    found = None
+    sides = [hashed(t).select(F.col("tree").alias("t"), "parent", F.col("place").alias("p"), F.struct("node", F.struct(*NODE).alias("own"), "hash").alias("side")) for t in (a, b)]
+    none = F.lit(None).cast(sides[0].schema["side"].dataType)
+
+    def matched(x: DataFrame, y: DataFrame) -> DataFrame:
+        """What stands at the same place of a pair, of either side; grouped, as each side has one row a place at most."""
+        every = x.withColumnsRenamed({"side": "x"}).withColumn("y", none).unionByName(y.withColumnRenamed("side", "y").withColumn("x", none))
+        both = every.groupBy("t", "path", "p").agg(F.first("x", ignorenulls=True).alias("x"), F.first("y", ignorenulls=True).alias("y"))
+        return both.where("NOT x.hash <=> y.hash").select("t", F.concat("path", F.array("p")).alias("path"), "x", "y")
+
+    tops = (s.where("parent IS NULL").select("t", F.array().cast("array<long>").alias("path"), "p", "side") for s in sides)
+    level, found = matched(*tops), None
     while True:
-        level = cut(level.where("NOT x_hash <=> y_hash"))
-        if level.isEmpty():
-            break
-        lone = F.col("x").isNull() | F.col("y").isNull()
-        what = F.when(lone, "missing")
+        level = cut(level)
+        if found is not None and level.isEmpty():
+            return found
+        what = F.when(F.col("x").isNull() | F.col("y").isNull(), "missing")
         for c in NODE:
-            what = what.when(~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), c)
-        shown = lambda s: F.when(F.col(s).isNotNull(), F.concat_ws(" ", f"{s}.kind", f"{s}.name"))
+            what = what.when(~F.col(f"x.own.{c}").eqNullSafe(F.col(f"y.own.{c}")), c)
+        shown = lambda s: F.when(F.col(s).isNotNull(), F.concat_ws(" ", f"{s}.own.kind", f"{s}.own.name"))
         told = level.select(F.col("t").alias("tree"), "path", what.alias("what"), shown("x").alias("original"), shown("y").alias("modified")).where("what IS NOT NULL")
         found = told if found is None else found.union(told)
-        pairs = level.where("x IS NOT NULL AND y IS NOT NULL").select("t", F.col("x_node").alias("a"), F.col("y_node").alias("b"), "path")
-        one, two = pairs.join(x, ["t", "a"]), pairs.join(y, ["t", "b"]).withColumnRenamed("path", "other_path")
-        both = one.join(two, ["t", "a", "b", "p"], "full_outer")
-        level = both.select("t", F.concat(F.coalesce("path", "other_path"), F.array("p")).alias("path"), "x", "y", "x_node", "y_node", "x_hash", "y_hash")
-    if found is None:
-        return level.select(F.col("t").alias("tree"), "path", F.lit("").alias("what"), F.lit("").alias("original"), F.lit("").alias("modified"))
-    return found
+        pairs = level.where("x IS NOT NULL AND y IS NOT NULL")
+        below = (pairs.select("t", "path", F.col(f"{n}.node").alias("parent")).join(s, ["t", "parent"]).select("t", "path", "p", "side") for n, s in zip("xy", sides, strict=True))
+        level = matched(*below)
 
 
 def _confidence(what: Column) -> Column:

@@ -1,5 +1,5 @@
 """All registered queries and their SQL."""
 
-from . import catalogue, code_queries, graph_queries, metric_queries, signature_queries, text_queries  # noqa: F401
+from . import catalogue, code_queries, graph_queries, metric_queries, signature_queries, stream_queries, text_queries  # noqa: F401
 
 QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES

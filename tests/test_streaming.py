@@ -59,3 +59,33 @@ def test_windowed_counts(spark, tmp_path, events):
     q = counted.writeStream.outputMode("update").format("memory").queryName("windowed").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(r["n"] for r in spark.table("windowed").groupBy("event_type").agg(F.max("n").alias("n")).collect()) == 5
+
+
+def event_files(spark, folder, parts):
+    for k, rows in parts:
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def hour(h, minute=0):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h, minutes=minute)
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """Three runs over a growing folder give what one run over all of it gives; nothing is told twice."""
+    from strandgraph.streaming import events
+
+    parts = [
+        [(1, hour(0), 7, "click"), (2, hour(1), 7, "purchase"), (3, hour(1), 8, "click"), (4, None, 8, "view"), (5, hour(2), None, "view")],
+        [(6, hour(4), 7, "view"), (7, hour(9), 8, "purchase"), (8, hour(9), 7, "click")],
+        [(9, hour(30), 7, "purchase"), (10, hour(31), 9, "view")],
+    ]
+    src, out = str(tmp_path / "in"), tmp_path / "out"
+    for k in range(3):
+        event_files(spark, src, [(k, parts[k])])
+        found = {}
+        for name, make in (("edges", events.session_edges), ("days", events.closed_windows), ("answers", lambda s: events.answers(s, "click", "purchase"))):
+            found[name] = events.run_to_end(make(events.event_stream(spark, src)), str(out / name))
+    rows = lambda name: sorted(map(tuple, found[name].collect()), key=repr)
+    assert rows("edges") == sorted([(7, "click", "purchase"), (7, "purchase", "view"), (7, "view", "click"), (7, "click", "end"), (8, "click", "end"), (8, "purchase", "end")], key=repr)
+    assert rows("answers") == [(1, 2)]
+    assert {(r["start"].day, r["event_type"], r["n"]) for r in found["days"].collect()} == {(1, "click", 3), (1, "purchase", 2), (1, "view", 2)}
