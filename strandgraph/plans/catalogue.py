@@ -42,18 +42,25 @@ def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Checks on a small project of texts, with the rows that must come out. They read no table, so they aren't registered.
+FIXTURES: dict = {}
+FIXTURE_ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None):
+def query(sql: str | None, queries: dict = QUERIES, oracles: dict[str, str] = ORACLES):
     def add(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            oracles[f.__name__] = sql
         return f
 
     return add
 
 
+def fixture(sql: str | None):
+    return query(sql, FIXTURES, FIXTURE_ORACLES)
+
+
 def distances(start: str, edges: str = "e", far: int = 80) -> str:
     return f"r(node, distance) AS ({start} UNION SELECT {edges}.dst, r.distance + 1 FROM r JOIN {edges} ON r.node = {edges}.src WHERE r.distance < {far})"
 

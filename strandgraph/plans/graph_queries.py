@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.operators import clusters, flow, graph, resolve, search, vectors
 
-from .catalogue import CLOSURE, ENT, ENTRY, G_EVENT, G_PART, distances, event_graph, part_edges, part_entities, part_graph, query, read
+from .catalogue import CLOSURE, ENT, ENTRY, G_EVENT, G_PART, distances, event_graph, fixture, part_edges, part_entities, part_graph, query, read
 
 FROM_ENTRIES = f"{distances(ENTRY)}, far AS (SELECT node, min(distance) AS d FROM r GROUP BY node)"
 DEEPEST = "last AS (SELECT node, d FROM far ORDER BY d DESC, node LIMIT 1)"
@@ -176,7 +176,7 @@ def merged_entry_points(spark, sf_dir):
     return graph.CodeGraph(graph.merge(part_edges(spark, sf_dir, "A"), part_edges(spark, sf_dir, "N"))).entry_points()
 
 
-@query("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges")
+@fixture("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges")
 def empty_graph(spark, sf_dir):
     g = graph.empty(spark)
     return g.nodes.agg(F.count("*").alias("nodes")).join(g.edges.agg(F.count("*").alias("edges")))  # one row each

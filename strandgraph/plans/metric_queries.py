@@ -10,7 +10,7 @@ from strandgraph.operators import graph, report, syntax_diff, vectors
 from strandgraph.sources import code, json_io
 
 from . import project
-from .catalogue import ENT, ENTRY, G_EVENT, G_PART, distances, event_graph, part_edges, part_entities, part_graph, query, read
+from .catalogue import ENT, ENTRY, G_EVENT, G_PART, distances, event_graph, fixture, part_edges, part_entities, part_graph, query, read
 from .graph_queries import definitions
 from .project import literal
 
@@ -171,34 +171,34 @@ def _documents(spark, *texts):
     return spark.createDataFrame([(t,) for t in texts], "text string")
 
 
-@query(literal("id, type, module, line, is_async", [("a#f", "function", "a", 3, "true"), ("b#g", "class", "b", None, None)]))
+@fixture(literal("id, type, module, line, is_async", [("a#f", "function", "a", 3, "true"), ("b#g", "class", "b", None, None)]))
 def imported_index(spark, sf_dir):
     entities, _ = json_io.index(_documents(spark, _INDEX, "{broken"))
     return entities.select("id", "type", "module", "line", F.try_element_at("metadata", F.lit("isAsync")).alias("is_async"))
 
 
-@query(literal("src, dst, type, weight", [("a#f", "b#g", "function_call", 1)]))
+@fixture(literal("src, dst, type, weight", [("a#f", "b#g", "function_call", 1)]))
 def imported_edges(spark, sf_dir):
     _, edges = json_io.index(_documents(spark, _INDEX))
     return edges.select("src", "dst", "type", F.col("weight").cast("int").alias("weight"))
 
 
-@query(literal("name, params, return_type, is_async", [("f", "a", "void", True), ("h", "", "any", False)]))
+@fixture(literal("name, params, return_type, is_async", [("f", "a", "void", True), ("h", "", "any", False)]))
 def imported_signatures(spark, sf_dir):
     return json_io.signatures(_documents(spark, _SIGNATURES)).select("name", F.array_join("params", ",").alias("params"), "return_type", "is_async")
 
 
-@query(literal("node, is_entry", [("x", True), ("y", False)]))
+@fixture(literal("node, is_entry", [("x", True), ("y", False)]))
 def imported_call_graph(spark, sf_dir):
     return json_io.call_graph(_documents(spark, _CALLS))[0]
 
 
-@query(literal("module, kind, name, line, is_exported", [("a.ts", "functions", "f", 3, True), ("a.ts", "functions", "g", None, False), ("a.ts", "classes", "C", None, False)]))
+@fixture(literal("module, kind, name, line, is_exported", [("a.ts", "functions", "f", 3, True), ("a.ts", "functions", "g", None, False), ("a.ts", "classes", "C", None, False)]))
 def report_entities(spark, sf_dir):
     return json_io.report(_documents(spark, _REPORT)).drop("attrs")
 
 
-@query(literal("file, equivalent, confidence, what, original, modified", [("same.ts", True, 1.0, None, None, None), ("name.ts", False, 0.7, "name", "function f", "function g"), ("flag.ts", False, 0.8, "flags", "function f", "function f"), ("gone.ts", False, 0.5, "missing", "variable f.y", None)]).replace("1.0,", "1.0::DOUBLE,"))
+@fixture(literal("file, equivalent, confidence, what, original, modified", [("same.ts", True, 1.0, None, None, None), ("name.ts", False, 0.7, "name", "function f", "function g"), ("flag.ts", False, 0.8, "flags", "function f", "function f"), ("gone.ts", False, 0.5, "missing", "variable f.y", None)]).replace("1.0,", "1.0::DOUBLE,"))
 def syntax_verdicts(spark, sf_dir):
     """Two versions of files: the first difference of each."""
     old = "function f(a) { return h(a); }"
@@ -309,7 +309,7 @@ def exported_of_kind(spark, sf_dir):
     return part_entities(spark, sf_dir).where("id % 3 = 0 AND type IN ('PROMO', 'SMALL')").select("id", "name", "type")
 
 
-@query(literal("file, type", [("src/api.ts", "any types")]))
+@fixture(literal("file, type", [("src/api.ts", "any types")]))
 def untyped_files(spark, sf_dir):
     """Files with more than three declared ``any``."""
     from strandgraph.functions import rules
@@ -318,7 +318,7 @@ def untyped_files(spark, sf_dir):
     return more.where(F.size(rules.type_issues(F.col("content"))) > 0).select("file", F.lit("any types").alias("type"))
 
 
-@query(literal("name, recursive", [("helper", False), ("main", False), ("loop", True)]))
+@fixture(literal("name, recursive", [("helper", False), ("main", False), ("loop", True)]))
 def recursive_functions(spark, sf_dir):
     from strandgraph.functions import rules
 

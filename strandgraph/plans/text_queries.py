@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions import paths, rules, text
 
-from .catalogue import ENT, part_entities, query, read
+from .catalogue import ENT, fixture, part_entities, query, read
 
 _STRIPPED = r"regexp_replace(lower(text), '[^a-zа-яё0-9_]+', ' ', 'g')"
 
@@ -243,7 +243,7 @@ def equivalence_verdicts(spark, sf_dir):
 _KINDS = [*text.ENTITY_COLOURS, "other"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{text.ENTITY_COLOURS.get(k, text.OTHER_COLOUR)}', '{text.ENTITY_ICONS.get(k, text.OTHER_ICON)}')" for k in _KINDS) + ") t(kind, colour, icon)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{text.ENTITY_COLOURS.get(k, text.OTHER_COLOUR)}', '{text.ENTITY_ICONS.get(k, text.OTHER_ICON)}')" for k in _KINDS) + ") t(kind, colour, icon)")
 def entity_styles(spark, sf_dir):
     kind = F.col("kind")
     return spark.createDataFrame([(k,) for k in _KINDS], "kind string").select(kind, text.entity_colour(kind).alias("colour"), text.entity_icon(kind).alias("icon"))
@@ -254,7 +254,7 @@ _EXPRESSIONS = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"""('{e.replace("'", "''")}', '{v}', '{t}')""" for e, (v, t) in _EXPRESSIONS.items()) + ") t(expression, variables, type)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"""('{e.replace("'", "''")}', '{v}', '{t}')""" for e, (v, t) in _EXPRESSIONS.items()) + ") t(expression, variables, type)")
 def expression_facts(spark, sf_dir):
     e = F.col("expression")
     return spark.createDataFrame([(x,) for x in _EXPRESSIONS], "expression string").select(e, F.array_join(text.expression_variables(e), " ").alias("variables"), text.expression_type(e).alias("type"))
@@ -263,7 +263,7 @@ def expression_facts(spark, sf_dir):
 _HANDLERS = [("addEventListener", "click", False, True, "click"), ("onClick", None, True, True, "click"), ("emit", "update", False, True, "update"), ("render", "x", False, False, "x"), ("class", None, True, False, None)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(h).lower()}, {'NULL' if e is None else repr(e)})" for n, _, _, h, e in _HANDLERS) + ") t(name, handler, event)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(h).lower()}, {'NULL' if e is None else repr(e)})" for n, _, _, h, e in _HANDLERS) + ") t(name, handler, event)")
 def event_handlers(spark, sf_dir):
     rows = spark.createDataFrame([h[:3] for h in _HANDLERS], "name string, argument string, attribute boolean")
     n, a = F.col("name"), F.col("attribute")
@@ -273,7 +273,7 @@ def event_handlers(spark, sf_dir):
 _CONTRACTS = {"number": "int", "boolean": "bool", "string[]": "string", "Foo": "int", "bigint": "int"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{t}')" for d, t in _CONTRACTS.items()) + ") t(declared, sort)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{t}')" for d, t in _CONTRACTS.items()) + ") t(declared, sort)")
 def contract_types(spark, sf_dir):
     return spark.createDataFrame([(d,) for d in _CONTRACTS], "declared string").select("declared", text.contract_type(F.col("declared")).alias("sort"))
 
@@ -281,7 +281,7 @@ def contract_types(spark, sf_dir):
 _CHANGES = {"name": "high", "operator": "high", "leftKind": "medium", "methodCount": "medium", "text": "low"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{t}')" for d, t in _CHANGES.items()) + ") t(field, impact)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{t}')" for d, t in _CHANGES.items()) + ") t(field, impact)")
 def change_impacts(spark, sf_dir):
     return spark.createDataFrame([(d,) for d in _CHANGES], "field string").select("field", text.change_impact(F.col("field")).alias("impact"))
 
@@ -289,7 +289,7 @@ def change_impacts(spark, sf_dir):
 _GUARDS = {"if (a !== null) { a": True, "if (b && b.c) { b": True, "if (b && d.c) { b": False, "x?.y + ": True, "return z": False}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', {str(t).lower()})" for d, t in _GUARDS.items()) + ") t(before, checked)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"('{d}', {str(t).lower()})" for d, t in _GUARDS.items()) + ") t(before, checked)")
 def null_checks(spark, sf_dir):
     return spark.createDataFrame([(d,) for d in _GUARDS], "before string").select("before", text.null_checked(F.col("before")).alias("checked"))
 
@@ -297,7 +297,7 @@ def null_checks(spark, sf_dir):
 _VALUES = [("MAX_SIZE", "other", [], True), ("appConfig", "other", [], False), ("APP_CONFIG", "other", [], True), ("pageContext", "other", [], True), ("limit", "literal", [], True), ("word", "regex", [], True), ("list", "array", ["#main", "b"], True), ("list", "array", ["a", "b"], False), ("make", "other", [], False)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {str(k).lower()})" for i, (n, _, _, k) in enumerate(_VALUES)) + ") t(id, name, kept)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {str(k).lower()})" for i, (n, _, _, k) in enumerate(_VALUES)) + ") t(id, name, kept)")
 def preserved_values(spark, sf_dir):
     rows = spark.createDataFrame([(i, *v[:3]) for i, v in enumerate(_VALUES)], "id int, name string, kind string, elements array<string>")
     return rows.select("id", "name", rules.keeps_value(F.col("name"), F.col("kind"), F.col("elements")).alias("kept"))

@@ -29,13 +29,13 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(everything.ORACLES))
+@pytest.mark.parametrize("name", sorted(everything.ORACLES | everything.FIXTURE_ORACLES))
 def test_query_equals_its_sql(spark, con, name):
-    want = con.execute(everything.ORACLES[name])
+    want = con.execute((everything.ORACLES | everything.FIXTURE_ORACLES)[name])
     columns = sorted(d[0] for d in want.description)
     order = [[d[0] for d in want.description].index(c) for c in columns]
     rows = [tuple(plain(r[k]) for k in order) for r in want.fetchall()]
-    df = everything.QUERIES[name](spark, str(TABLES))
+    df = (everything.QUERIES | everything.FIXTURES)[name](spark, str(TABLES))
     assert sorted(df.columns) == columns
     got = [tuple(map(plain, r)) for r in df.select(*(f"`{c}`" for c in columns)).collect()]
     assert sorted(got, key=repr) == sorted(rows, key=repr)
