@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,68 @@ def by_vector(vectors: DataFrame, query: list[float], limit: int = 10, threshold
     """``id, score`` of the vectors (id, vector) nearest by cosine."""
     score = F.round(cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])), 6)
     return _top(vectors.select("id", score.alias("score")).where(F.col("score") >= threshold), limit)
+
+
+# --- many queries at once: each joins the names by keys that what it finds must share, so no query scans them all ---
+
+
+def _shortened(texts: DataFrame, column: str, edits: int) -> DataFrame:
+    """``texts`` with ``key``: one row for each text that is left when up to ``edits`` characters of it are deleted. Two texts
+    within that many edits have one of these in common."""
+    every = F.array(F.lower(column))
+    layer = every
+    for _ in range(edits):
+        cut_one = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t))))
+        layer = F.array_distinct(F.flatten(F.transform(layer, cut_one)))
+        every = F.array_union(every, layer)
+    return texts.withColumn("key", F.explode(F.transform(every, lambda t: F.xxhash64(t))))
+
+
+def _best_of_each(found: DataFrame, limit: int, *order) -> DataFrame:
+    """The first ``limit`` rows of each query; partitions send no more than that many of one on."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    return found.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+
+
+def exact_many(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query, id, name, score``: entities (id, name) called like a query (query), or so in small letters."""
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    keys = entities.select("id", "name", F.explode(F.array_distinct(F.array("name", F.lower("name")))).alias("query"))
+    return keys.join(asked, "query").select("query", "id", "name", F.lit(1.0).alias("score"))
+
+
+def prefix_many(entities: DataFrame, queries: DataFrame, limit: int | None = 10) -> DataFrame:
+    """``query, id, name, score``: the best ``limit`` names of each query that begin with it. The names' prefixes are joined, as
+    long as a name each."""
+    asked = queries.select("query", F.lower("query").alias("key")).where("query <> ''").distinct()
+    low = F.lower("name")
+    keys = entities.where("name <> ''").select("id", "name", F.explode(F.transform(F.sequence(F.lit(1), F.length(low)), lambda n: F.substring(low, F.lit(1), n))).alias("key"))
+    found = keys.join(asked, "key").select("query", "id", "name", F.round(F.length("query") / F.length("name"), 6).alias("score"))
+    return _best_of_each(found, limit, F.desc("score"), "id") if limit else found
+
+
+def fuzzy_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: int | None = 10) -> DataFrame:
+    """``query, id, name, score``: the best ``limit`` names of each query that are within ``edits`` edits of it, letters' case
+    apart, by 1 - edits / longer length. Distinct names and queries meet by the deletions they share and are then compared
+    exactly; keys grow with the length to the power of ``edits``, so this is for few edits."""
+    names = entities.select("name").where("name IS NOT NULL").distinct()
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    pairs = _shortened(names, "name", edits).join(_shortened(asked, "query", edits), "key").select("name", "query").distinct()
+    apart = F.levenshtein(F.lower("name"), F.lower("query"), edits)
+    score = F.when(F.greatest(F.length("name"), F.length("query")) == 0, 1.0).otherwise(1 - F.col("apart") / F.greatest(F.length("name"), F.length("query")))
+    close = pairs.withColumn("apart", apart).where("apart >= 0").select("name", "query", F.round(score, 6).alias("score"))
+    found = entities.select("id", "name").join(close, "name").select("query", "id", "name", "score")
+    return _best_of_each(found, limit, F.desc("score"), "id") if limit else found
+
+
+def smart_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: int = 10) -> DataFrame:
+    """``query, id, name, score, stage``: for each query exact names (1), names that begin with it (2), names within
+    ``edits`` edits (3), each later stage only where those before found fewer than two; an entity counts with its first stage."""
+    stages = [exact_many(entities, queries), prefix_many(entities, queries), fuzzy_many(entities, queries, edits)]
+    every = stages[0].withColumn("stage", F.lit(1)).unionByName(stages[1].withColumn("stage", F.lit(2))).unionByName(stages[2].withColumn("stage", F.lit(3)))
+    # A stage brings a query a few rows at most, but for exact names; these are counted before they are shuffled.
+    counts = every.groupBy("query").agg(F.count_if(F.col("stage") == 1).alias("n1"), F.count_if(F.col("stage") <= 2).alias("n2"))
+    on = (F.col("stage") == 1) | ((F.col("stage") == 2) & (F.col("n1") < 2)) | ((F.col("stage") == 3) & (F.col("n2") < 2))
+    kept = every.join(counts, "query").where(on)
+    best = kept.groupBy("query", "id").agg(F.min(F.struct("stage", "name", "score")).alias("b")).select("query", "id", "b.name", "b.score", "b.stage")
+    return _best_of_each(best, limit, "stage", F.desc("score"), "id")

@@ -458,6 +458,39 @@ def smart_search(spark, sf_dir):
     return search.smart(part_entities(spark, sf_dir).select("id", "name"), "blue bolts")
 
 
+# Searches as a user would type them: names with a letter left out, doubled or cut off at the end, or as they are.
+_ASKED = "qs AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name[1:p_partkey % length(p_name)] || p_name[p_partkey % length(p_name) + 2:] WHEN 2 THEN p_name[1:p_partkey % length(p_name) + 1] || p_name[p_partkey % length(p_name) + 1:] WHEN 3 THEN p_name[1:length(p_name) - 3] ELSE upper(p_name) || 'x' END AS query FROM part)"
+
+
+def _asked(spark, sf_dir):
+    name, n = F.col("p_name"), F.length("p_name")
+    at = (F.col("p_partkey") % n).cast("int")
+    rest = lambda k: F.substring(name, k, n)
+    kind = F.col("p_partkey") % 5
+    text = F.when(kind == 0, name).when(kind == 1, F.concat(F.substring(name, F.lit(1), at), rest(at + 2))).when(kind == 2, F.concat(F.substring(name, F.lit(1), at + 1), rest(at + 1))).when(kind == 3, F.substring(name, F.lit(1), n - 3)).otherwise(F.concat(F.upper(name), F.lit("x")))
+    return read(spark, sf_dir, "part").select(text.alias("query")).distinct()
+
+
+_FUZZY = f"fz AS (SELECT query, id, name, round(1 - levenshtein(lower(name), lower(query))::DOUBLE / greatest(length(name), length(query)), 6) AS score FROM qs JOIN {ENT} t ON levenshtein(lower(name), lower(query)) <= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10)"
+_PREFIX = f"px AS (SELECT query, id, name, round(length(query)::DOUBLE / length(name), 6) AS score FROM qs JOIN {ENT} t ON starts_with(lower(name), lower(query)) AND query <> '' QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10)"
+
+
+@query(f"WITH {_ASKED}, {_PREFIX} SELECT query, id, name, score FROM px")
+def prefix_search_many(spark, sf_dir):
+    return search.prefix_many(part_entities(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"WITH {_ASKED}, {_FUZZY} SELECT query, id, name, score FROM fz")
+def fuzzy_search_many(spark, sf_dir):
+    return search.fuzzy_many(part_entities(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"WITH {_ASKED}, {_PREFIX}, {_FUZZY}, a AS (SELECT query, id, name, 1.0::DOUBLE AS score, 1 AS stage FROM qs JOIN {ENT} t ON name = query OR lower(name) = query UNION ALL SELECT *, 2 FROM px UNION ALL SELECT *, 3 FROM fz), c AS (SELECT query, count(*) FILTER (stage = 1) AS n1, count(*) FILTER (stage <= 2) AS n2 FROM a GROUP BY query), b AS (SELECT a.* FROM a JOIN c USING (query) WHERE stage = 1 OR (stage = 2 AND n1 < 2) OR (stage = 3 AND n2 < 2) QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY stage) = 1) SELECT query, id, name, score, stage::INT AS stage FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY stage, score DESC, id) <= 10")
+def smart_search_many(spark, sf_dir):
+    """Exact, prefix and fuzzy search for a table of queries at once."""
+    return search.smart_many(part_entities(spark, sf_dir), _asked(spark, sf_dir))
+
+
 @query(f"WITH {G_PART}, x AS (SELECT id, name FROM {ENT} WHERE name = (SELECT min(p_name) FROM part)), n AS (SELECT src AS node, 'imports' AS direction, dst AS neighbour FROM e UNION ALL SELECT dst, 'imported_by', src FROM e) SELECT id, name, direction, neighbour FROM x LEFT JOIN n ON n.node = x.id")
 def exact_search_with_context(spark, sf_dir):
     ents = part_entities(spark, sf_dir).select("id", "name")
