@@ -117,7 +117,7 @@ class CodeGraph:
             seen = seen.union(front)
         return seen
 
-    def shortest_path(self, start: DataFrame, end: DataFrame, depth: int = 50) -> DataFrame:
+    def shortest_path(self, start: DataFrame, end: DataFrame, depth: int | None = None) -> DataFrame:
         """``step, node``: the shortest path from one node to another, the first in order where there are several; no rows
         without a way. What is kept on the way back is one row a distance, not a path for each node reached."""
         end = end.select("node")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine over the shorter length; 0 for an empty or zero vector."""
@@ -120,3 +126,65 @@ def smart_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: i
     kept = every.join(counts, "query").where(on)
     best = kept.groupBy("query", "id").agg(F.min(F.struct("stage", "name", "score")).alias("b")).select("query", "id", "b.name", "b.score", "b.stage")
     return _best_of_each(best, limit, "stage", F.desc("score"), "id")
+
+
+def _in_blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """(ids, dims, body): up to ``size`` vectors of one length a row, each scaled to length one; what can't be is left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, tuple[list, list]] = {}
+
+        def row(dim: int) -> pa.RecordBatch:
+            ids, rows = waiting.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([dim], pa.int32()), pa.array([np.stack(rows).tobytes()], pa.binary())], names=["ids", "dims", "body"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = np.asarray(v.values, np.float64) if v.is_valid else np.empty(0)
+                norm = np.linalg.norm(v)
+                if not (np.isfinite(norm) and norm > 0):
+                    continue
+                ids, rows = waiting.setdefault(len(v), ([], []))
+                ids.append(i)
+                rows.append(v / norm)
+                if len(ids) >= size:
+                    yield row(len(v))
+        for dim in list(waiting):
+            yield row(dim)
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", F.col("vector").cast("array<double>")).mapInArrow(pack, f"ids array<{kind}>, dims int, body binary")
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = -1.0, block: int = 4096, query_block: int = 512) -> DataFrame:
+    """``query, id, score``: for each query (id, vector) the ``limit`` vectors of at least ``threshold`` by cosine, rounded to six
+    places, ties to the smaller id; its own id is left out. Vectors of other lengths, zero ones and those with null or infinite entries
+    take no part.
+
+    Queries meet the vectors in blocks: a product of two matrices gives a pair of blocks its scores, and only each query's
+    best of a block leave the task. What is shuffled are ``limit`` rows a query and block, however many vectors a block has.
+    """
+    x = cut(_in_blocks(vectors, block)).select(*(F.col(c).alias(f"v_{c}") for c in ("ids", "dims", "body")))
+    q = cut(_in_blocks(queries, query_block))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(0).type.value_type, batch.column(3).type.value_type
+            for asked, dim, qs, ids, xs in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
+                asked, ids = np.array(asked), np.array(ids)
+                score = np.round(np.frombuffer(qs).reshape(-1, dim) @ np.frombuffer(xs).reshape(-1, dim).T, 6)
+                score[asked[:, None] == ids[None, :]] = -np.inf
+                rows, columns = [], []
+                for r, s in enumerate(score):
+                    least = max(threshold, np.partition(s, len(s) - limit)[len(s) - limit] if len(s) > limit else -1.0)
+                    good = np.flatnonzero(s >= least)
+                    good = good[np.lexsort((ids[good], -s[good]))][:limit]
+                    rows.append(np.full(len(good), r))
+                    columns.append(good)
+                r, c = np.concatenate(rows), np.concatenate(columns)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[r], kinds[0]), pa.array(ids[c], kinds[1]), pa.array(score[r, c])], names=["query", "id", "score"])
+
+    kinds = [queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()]
+    met = q.join(x, F.col("dims") == F.col("v_dims"), "cross").select("ids", "dims", "body", "v_ids", "v_dims", "v_body").repartition("ids", "v_ids")
+    return _best_of_each(met.mapInArrow(meet, f"query {kinds[0]}, id {kinds[1]}, score double"), limit, F.desc("score"), "id")

@@ -458,6 +458,16 @@ def smart_search(spark, sf_dir):
     return search.smart(part_entities(spark, sf_dir).select("id", "name"), "blue bolts")
 
 
+_COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+
+
+@query(f"SELECT q.vec_id AS query, e.vec_id AS id, {_COSINE} AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) <= 10")
+def vector_topk_many(spark, sf_dir):
+    """The ten nearest by cosine of every twentieth vector, among all others."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.nearest_many(vectors, vectors.where("id % 20 = 0"))
+
+
 # Searches as a user would type them: names with a letter left out, doubled or cut off at the end, or as they are.
 _ASKED = "qs AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name[1:p_partkey % length(p_name)] || p_name[p_partkey % length(p_name) + 2:] WHEN 2 THEN p_name[1:p_partkey % length(p_name) + 1] || p_name[p_partkey % length(p_name) + 1:] WHEN 3 THEN p_name[1:length(p_name) - 3] ELSE upper(p_name) || 'x' END AS query FROM part)"
 
