@@ -236,6 +236,29 @@ class CodeGraph:
         """``scc, size, members``: each strongly connected component with an edge inside; members in order, as text."""
         return self.components().groupBy("scc").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda n: n.cast("string")), ",").alias("members"))
 
+    def cycle_paths(self, length: int) -> DataFrame:
+        """``scc, length, path``: every cycle of at most ``length`` edges without a repeated node, as its nodes in order from
+        the smallest one on, joined by ``>``; a self-loop is one node.
+
+        Only edges inside strongly connected components are walked, each way from its smallest node over larger ones, so a
+        cycle is found once. The number of cycles may grow exponentially with their length, which is why that is asked for.
+        """
+        edges = cut(self.cyclic_edges())
+        way = edges.where("dst >= src").select("scc", F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("path"))
+        found = None
+        for k in range(1, length + 1):
+            way = cut(way)
+            closed = way.where("at = start").select("scc", F.lit(k).alias("length"), F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
+            found = closed if found is None else found.union(closed)
+            if k == length:
+                break
+            further = way.where("at > start").join(edges.select("src", "dst"), F.col("at") == F.col("src"))
+            further = further.where((F.col("dst") >= F.col("start")) & ((F.col("dst") == F.col("start")) | ((F.col("dst") != F.col("at")) & ~F.array_contains("path", F.col("dst")))))
+            way = further.select("scc", "start", F.col("dst").alias("at"), F.concat("path", F.array("at")).alias("path"))
+            if way.isEmpty():
+                break
+        return found
+
     def cyclic_edges(self) -> DataFrame:
         """``src, dst, scc``: edges whose ends are in one strongly connected component, self-loops included."""
         scc = cut(self.components())

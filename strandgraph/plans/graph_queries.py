@@ -182,6 +182,22 @@ def empty_graph(spark, sf_dir):
     return g.nodes.agg(F.count("*").alias("nodes")).join(g.edges.agg(F.count("*").alias("edges")))  # one row each
 
 
+
+def _rings(edges: str, length: int) -> str:
+    return f"w(start, here, path) AS (SELECT src, dst, [src] FROM {edges} UNION ALL SELECT start, {edges}.dst, list_append(path, here) FROM w JOIN {edges} ON w.here = {edges}.src WHERE here <> start AND here > start AND NOT list_contains(path, here) AND len(path) < {length}), ri AS (SELECT DISTINCT len(path)::INT AS length, array_to_string(path, '>') AS path FROM w WHERE here = start AND start = list_min(path) AND len(list_distinct(path)) = len(path))"
+
+
+@query(f"WITH RECURSIVE {G_EVENT}, {_rings('e', 5)} SELECT length, path FROM ri")
+def event_cycles(spark, sf_dir):
+    """All ways in which types of events follow each other round to where they began."""
+    return event_graph(spark, sf_dir).cycle_paths(5).select("length", "path")
+
+
+@query(f"WITH RECURSIVE {G_PART}, {CLOSURE}, ce AS (SELECT e.src, e.dst FROM e WHERE e.src = e.dst OR EXISTS (SELECT 1 FROM r WHERE r.a = e.dst AND r.b = e.src)), {_rings('ce', 12)} SELECT length, path FROM ri")
+def part_cycles(spark, sf_dir):
+    return part_graph(spark, sf_dir).cycle_paths(12).select("length", "path")
+
+
 # --- control and data flow: a user's events are a function's statements ---
 
 STATEMENTS = """st AS (SELECT user_id AS fn, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos, CASE event_type WHEN 'error' THEN 'return' WHEN 'purchase' THEN 'jump' WHEN 'click' THEN 'branch' ELSE 'plain' END AS kind, CASE WHEN event_type IN ('purchase', 'click') THEN (event_id % 90)::INT END AS target FROM events WHERE user_id % 5 = 0 OR true),

@@ -90,3 +90,17 @@ def test_diff_merge_and_cohesion(spark):
     assert merge(old, new).count() == 3
     members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "node string, cluster int")
     assert rows(cohesion(old, members)) == {(1, 2, 1, 2, 50.0, 50.0), (2, 1, 0, 0, 0.0, 100.0)}
+
+
+def test_cycles_against_walking(spark):
+    rng = np.random.default_rng(4)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 9, (26, 2))} | {(20, 20), (30, 31), (31, 30), (31, 40)}
+    want, ways = set(), [(a, (a,)) for a in {a for a, _ in edges}]
+    for _ in range(6):
+        ways = [(b, (*p, b)) for at, p in ways for a, b in edges if a == at and (b == p[0] or b not in p) and (len(p) == 1 or at != p[0])]
+        want |= {p[:-1] for at, p in ways if at == p[0] and p[0] == min(p)}
+    g = CodeGraph(spark.createDataFrame(sorted(edges), "src long, dst long"))
+    for length in (6, 2):
+        got = {tuple(map(int, r["path"].split(">"))) for r in g.cycle_paths(length).collect()}
+        assert got == {p for p in want if len(p) <= length} and g.cycle_paths(length).count() == len(got)
+    assert CodeGraph(frame(spark, DAG)).cycle_paths(4).count() == 0
