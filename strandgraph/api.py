@@ -58,8 +58,9 @@ class Project:
         return flow.cfg(statements(self.files))
 
     def dominators(self) -> DataFrame:
-        g, entry = flow.cfg_graph(statements(self.files))
-        return dominators(g.written(), entry)
+        rows = statements(self.files)
+        g, entry = flow.cfg_graph(rows)
+        return dominators(g.written(), entry, flow.scopes(rows))
 
     def data_flow(self) -> DataFrame:
         """``scope, name, def_pos, use_pos``: declarations of a scope with their uses in it."""

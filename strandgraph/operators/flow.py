@@ -52,6 +52,12 @@ def cfg_graph(statements: DataFrame) -> tuple[CodeGraph, DataFrame]:
     return CodeGraph(edges), edges.select("fn").distinct().select(F.concat_ws(":", F.col("fn").cast("string"), F.lit(ENTRY)).alias("node"))
 
 
+def scopes(statements: DataFrame) -> DataFrame:
+    """``node, scope``: the function that each block, entry and exit of the flow graph belongs to."""
+    edges = cfg(statements)
+    return edges.select(F.col("src").alias("node"), F.col("fn").alias("scope")).union(edges.select("dst", "fn")).distinct()
+
+
 def complexity(statements: DataFrame) -> DataFrame:
     """``fn, edges, nodes, complexity``: the graph's E - N + 2, 1 at least; entry and exit are nodes."""
     edges = cfg(statements)

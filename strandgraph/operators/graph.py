@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import small
 from .lineage import cut
 
-#: Layers of a breadth-first loop that are kept apart before they are written as one.
+#: Steps along the edges that are planned as one job. More steps make fewer jobs, but walk further into what is known.
+STEPS = 4
+#: Written layers of a walk that are kept apart before they are written as one.
 LAYERS = 6
 
 
@@ -16,13 +20,12 @@ class CodeGraph:
     """Edges ``(src, dst)`` and, optionally, nodes ``(node)``; each method plans a DataFrame.
 
     Edges with a null end are left out, repeated edges count once. Without nodes, these are the ends of the edges.
-    Traversals of at most ``limit`` edges, which are counted first, are finished in one task; others go by rounds.
+    Walks go by jobs of ``steps`` steps each, whatever the size of the graph.
     """
 
-    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, limit: int = small.LIMIT) -> None:
-        self.limit = limit
+    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, steps: int = STEPS) -> None:
+        self.steps = steps
         self._written: DataFrame | None = None
-        self._count: int | None = None
         self.edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
         own = self.edges.select(F.col("src").alias("node")).union(self.edges.select("dst"))
         self.nodes = (own if nodes is None else own.union(nodes.select("node").where("node IS NOT NULL"))).distinct()
@@ -33,11 +36,6 @@ class CodeGraph:
             self._written = cut(self.edges)
         return self._written
 
-    def is_small(self) -> bool:
-        if self._count is None:
-            self._count = self.written().count()
-        return self._count <= self.limit
-
     # --- degrees and membership ---
 
     def degrees(self) -> DataFrame:
@@ -68,35 +66,16 @@ class CodeGraph:
         return side("src", "dst", "imports").join(side("dst", "src", "imported_by"), "node", "full_outer").select("node", F.coalesce("imports", F.lit("")).alias("imports"), F.coalesce("imported_by", F.lit("")).alias("imported_by"))
 
     def reversed(self) -> CodeGraph:
-        return CodeGraph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), limit=self.limit)
+        return CodeGraph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), steps=self.steps)
 
     def undirected(self) -> CodeGraph:
-        return CodeGraph(self.edges.union(self.edges.select("dst", "src")), limit=self.limit)
+        return CodeGraph(self.edges.union(self.edges.select("dst", "src")), steps=self.steps)
 
     # --- reach ---
 
     def reach(self, start: DataFrame, depth: int | None = None) -> DataFrame:
-        """``node, distance``: everything reachable from ``start`` (node), with the fewest edges; the start has 0.
-
-        A breadth-first loop: only the frontier is joined to the edges, what was seen before is left out by an
-        anti-join, and each frontier is cut from its lineage; every few rounds the layers become one written table. It ends
-        with the graph or at ``depth``.
-        """
-        if self.is_small():
-            return small.breadth_first(self.written(), start.select("node").where("node IS NOT NULL"), depth)
-        edges = self.written()
-        front = cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
-        seen, layers, d = front, 1, 0
-        while depth is None or d < depth:
-            d += 1
-            step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-            front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
-            if front.isEmpty():
-                break
-            seen, layers = seen.union(front), layers + 1
-            if layers >= LAYERS:
-                seen, layers = cut(seen), 1
-        return seen
+        """``node, distance``: everything reachable from ``start`` (node), with the fewest edges; the start has 0."""
+        return walk(self.written(), start.select("node").where("node IS NOT NULL"), depth, self.steps)
 
     def unreachable(self, start: DataFrame) -> DataFrame:
         """Nodes that nothing of ``start`` leads to."""
@@ -123,21 +102,17 @@ class CodeGraph:
         end = end.select("node")
         far = cut(self.reach(start, depth))
         into = self.written().join(far.select(F.col("node").alias("src"), F.col("distance").alias("before")), "src").join(far.withColumnRenamed("node", "dst"), "dst").where("distance = before + 1")
-        above = cut(into.groupBy(F.col("dst").alias("node"), "distance").agg(F.min("src").alias("above")))
-        at = far.join(end, "node", "left_semi").select("node", "distance")
-        length = at.first()  # one row
-        path = at
-        for d in range(length["distance"] if length else 0, 0, -1):
-            at = above.where(F.col("distance") == d).join(at.select("node"), "node", "left_semi").select(F.col("above").alias("node"), F.lit(d - 1).alias("distance"))
-            at = cut(at)
-            path = path.union(at)
-        return path.select(F.col("distance").alias("step"), "node")
+        above = cut(into.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("above")))
+        way = far.join(end, "node", "left_semi").select("node", "distance", F.array("node").alias("path"))  # one row
+        length = way.first()
+        for d in range(1, length["distance"] + 1 if length else 1):
+            way = above.join(F.broadcast(way), "node").select(F.col("above").alias("node"), "distance", F.concat(F.array("above"), "path").alias("path"))
+            if d % (2 * self.steps) == 0:
+                way = cut(way)
+        return way.select(F.posexplode("path").alias("step", "node"))
 
     def weak_components(self) -> DataFrame:
         """``node, component``: nodes that edges join in either direction, by their smallest member."""
-        lone = self.nodes.join(self.edges.select(F.col("src").alias("node")).union(self.edges.select("dst")), "node", "left_anti").select("node", F.col("node").alias("component"))
-        if self.is_small():
-            return small.components(self.written()).union(lone)
         labels = cut(self.nodes.select("node", F.col("node").alias("component")))
         both = cut(self.written().union(self.written().select("dst", "src")))
         while True:  # each takes the least label around it, then that label's own label
@@ -185,52 +160,34 @@ class CodeGraph:
 
     # --- cycles ---
 
-    def core(self) -> DataFrame:
-        """Edges left when nodes without an incoming or outgoing edge are taken away again and again, until nothing is left
-        to take or the rest is small enough for one task: all cycles and what lies between them."""
-        edges = self.written()
-        n = edges.count()
-        while n > self.limit:
-            inner = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-            edges = cut(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
-            was, n = n, edges.count()
-            if n == was:
-                break
-        return edges
-
     def components(self) -> DataFrame:
         """``node, scc``: the strongly connected components that have an edge inside, named by their largest node.
 
-        On the core only. While that is too large for one task: labels go forward until each node has the largest node
-        that reaches it; a node labelled by itself is a root, and what reaches a root backwards within its label is its
-        component; then the rest again, until it is small.
+        Nodes get random ranks. Each learns the best-ranked node that leads to it and the best-ranked one that it leads to.
+        If these are one node, this is a member of its component. An edge whose ends differ in either is inside no
+        component. Both take away a share of what is left, so the number of rounds grows with the logarithm of the nodes,
+        also on long chains; no component or chain is walked node by node, since labels follow labels (``spread``). Nodes that
+        nothing leads to, or that lead nowhere, are taken away before each round, as long as that takes many.
         """
-        edges = self.core()
-        found = edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
-        while edges.count() > self.limit:
-            labels = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", F.col("node")))
-            while True:
-                near = edges.join(labels, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("near"))
-                step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.greatest("label", F.coalesce("near", "label")).alias("label"))
-                # What reaches the node that labels this one reaches this one, too.
-                jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-                step = cut(step.join(jump, "label", "left").select("node", "was", F.greatest("label", F.coalesce("further", "label")).alias("label")))
-                labels = step.select("node", "label")
-                if step.where("was <> label").isEmpty():
-                    break
-            a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), labels.select(F.col("node").alias("dst"), F.col("label").alias("ld"))
-            inside = edges.join(a, "src").join(b, "dst").where("ls = ld")
-            back = CodeGraph(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), limit=self.limit)
-            reached = back.reach(labels.where("node = label").select("node")).select("node").join(labels, "node")
-            found = cut(found.union(reached.select("node", "label")))
-            done = found.select("node")
-            rest = edges.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-            edges = CodeGraph(rest, limit=self.limit).core()
+        edges = _trim(self.written())
+        found, turn = None, 0
+        while found is None or not edges.isEmpty():
+            arcs = edges.select(F.lit(True).alias("ahead"), "src", "dst").union(edges.select(F.lit(False), "dst", "src"))
+            ends = edges.select("src").union(edges.select("dst")).distinct().select(F.col("src").alias("node"))
+            rank = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("rank"), F.col("node").alias("top"))
+            marks = spread(arcs, ends.select("node", F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead"), rank.alias("label")), self.steps)
+            sides = cut(marks.groupBy("node").agg(F.max(F.when(F.col("ahead"), F.col("label.top"))).alias("above"), F.max(F.when(~F.col("ahead"), F.col("label.top"))).alias("below")))
+            members = sides.where("above = below").select("node", F.col("above").alias("top"))
+            found = members if found is None else found.union(members)
+            left = sides.where("above <> below")
+            a, b = left.select(F.col("node").alias("src"), "above", "below"), left.select(F.col("node").alias("dst"), "above", "below")
+            edges = _trim(edges.join(a, "src").join(b, ["dst", "above", "below"]).select("src", "dst"))
+            turn += 1
+        found = cut(found)
         # A lone node is a component with an edge inside only if it has a self-loop.
-        loops = self.written().where("src = dst").select(F.col("src").alias("node"))
-        several = found.groupBy("scc").count().where("count > 1").select("scc")
-        by_rounds = found.join(several, "scc", "left_semi").select("node", "scc").union(found.join(loops, "node", "left_semi").select("node", "scc")).distinct()
-        return by_rounds.union(small.strong_components(edges))
+        loops = self.written().where("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("loop"))
+        names = found.join(loops, "node", "left").groupBy("top").agg(F.max("node").alias("scc"), F.count("*").alias("size"), F.max("loop").alias("loop"))
+        return found.join(names.where("size > 1 OR loop = 1"), "top").select("node", "scc")
 
     def cycles(self) -> DataFrame:
         """``scc, size, members``: each strongly connected component with an edge inside; members in order, as text."""
@@ -278,34 +235,97 @@ class CodeGraph:
         every = {"imports": out, "imported_by": into, "both": out.union(into)}[which]
         return every.join(node.select("node").distinct(), "node", "left_semi")
 
-    def natural_loops(self, entry: DataFrame) -> DataFrame:
-        """``head, node``: for each edge u -> h whose head h dominates u, h and what reaches u without passing h."""
-        dom = cut(dominators(self.written(), entry, self.limit))
-        back = cut(self.written().join(dom.select(F.col("node").alias("src"), F.col("dom").alias("dst")), ["src", "dst"], "left_semi"))
-        into = self.written().select(F.col("dst").alias("node"), F.col("src").alias("before"))
-        found = cut(back.select(F.col("dst").alias("head"), F.col("src").alias("node")).union(back.select("dst", "dst")).distinct())
-        front = found.where("head <> node")
-        while not front.isEmpty():
-            step = front.join(into, "node").select("head", F.col("before").alias("node")).distinct()
-            front = cut(step.join(found, ["head", "node"], "left_anti"))
-            found = cut(found.union(front))
-        return found
+    def natural_loops(self, entry: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+        """``head, node``: for each edge u -> h whose head h dominates u, h and what reaches u without passing h. ``scope``
+        is passed on to the search for dominators."""
+        dom = dominators(self.written(), entry, scope)
+        back = cut(self.written().join(dom.select(F.col("node").alias("src"), F.col("dom").alias("dst")), ["src", "dst"], "left_semi").select("src", F.col("dst").alias("head")))
+        into = self.written().select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        start = back.select(F.col("src").alias("node"), "head").union(back.select("head", "head")).distinct()
+        return walk(into, start, None, self.steps, carry=("head",), on=F.col("node") != F.col("head")).select("head", "node")
 
-    def loop_depths(self, entry: DataFrame) -> DataFrame:
+    def loop_depths(self, entry: DataFrame, scope: DataFrame | None = None) -> DataFrame:
         """``node, loop_depth``: in how many natural loops a reachable node is."""
-        loops = self.natural_loops(entry).groupBy("node").agg(F.count("*").alias("loop_depth"))
+        loops = self.natural_loops(entry, scope).groupBy("node").agg(F.count("*").alias("loop_depth"))
         return self.reach(entry).select("node").join(loops, "node", "left").select("node", F.coalesce("loop_depth", F.lit(0)).alias("loop_depth"))
 
 
-def dominators(edges: DataFrame, entry: DataFrame, limit: int = small.LIMIT) -> DataFrame:
+def walk(edges: DataFrame, start: DataFrame, depth: int | None, steps: int, carry: tuple[str, ...] = (), on: Column | None = None) -> DataFrame:
+    """``node, *carry, distance``: a breadth-first search from ``start`` (node, *carry), for each value of ``carry`` its own.
+    A row goes on only if ``on`` holds, a condition on these columns.
+
+    Every node has an arc of no length to itself, by which it outlasts a step: so a step is one join and one aggregation, a
+    job takes ``steps`` of them, and both sides of the join may be split where a node has many edges. What a job reaches
+    is compared with what was seen before once, at its end; every few jobs the layers become one written table.
+    """
+    key = ["node", *carry]
+    go = F.lit(True) if on is None else on
+    front = cut(start.select(*key).distinct().withColumn("distance", F.lit(0)))
+    ends = edges.select("src").union(edges.select("dst")).distinct()
+    arcs = cut(edges.select("src", "dst", F.lit(1).alias("length")).union(ends.select("src", "src", F.lit(0))))
+    seen, layers, d = front, 1, 0
+    while depth is None or d < depth:
+        here = front
+        more = steps if depth is None else min(steps, depth - d)
+        for k in range(d, d + more):
+            step = here.join(arcs, F.col("node") == F.col("src")).where((F.col("length") == 0) | ((F.col("distance") == k) & go))
+            here = step.select(F.col("dst").alias("node"), *carry, (F.col("distance") + F.col("length")).alias("distance")).groupBy(*key).agg(F.min("distance").alias("distance"))
+        new = cut(here.where(F.col("distance") > d).join(seen.select(*key), key, "left_anti"))
+        d += more
+        front = new.where(F.col("distance") == d)
+        seen, layers = seen.union(new), layers + 1
+        if front.isEmpty():
+            break
+        if layers >= LAYERS:
+            seen, layers = cut(seen), 1
+    return seen
+
+
+def spread(arcs: DataFrame, labels: DataFrame, steps: int) -> DataFrame:
+    """``node, ahead, label``: the largest label (rank, top) that arcs (ahead, src, dst) bring to each row of ``labels``, whose
+    own label has the node as its ``top``; for each value of ``ahead`` apart.
+
+    A job takes labels ``steps`` arcs further and then to the label of each label's own node, which also leads here, so
+    the distances double from job to job.
+    """
+    key = ["node", "ahead"]
+    arcs = cut(arcs.union(labels.select("ahead", "node", "node")).distinct())
+    while True:
+        here = labels.withColumn("was", F.col("label"))
+        for _ in range(steps):
+            step = here.join(arcs.withColumnRenamed("src", "node"), key)
+            own = F.when(F.col("dst") == F.col("node"), F.col("was"))
+            here = step.select(F.col("dst").alias("node"), "ahead", "label", own.alias("was")).groupBy(*key).agg(F.max("label").alias("label"), F.max("was").alias("was"))
+        here = here.withColumn("top", F.col("label.top"))
+        further = here.select(F.col("node").alias("top"), "ahead", F.col("label").alias("beyond"))
+        here = cut(here.join(further, ["top", "ahead"]).select(*key, F.greatest("label", "beyond").alias("label"), "was"))
+        labels = here.select(*key, "label")
+        if here.where("label <> was").isEmpty():
+            return labels
+
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """The edges left when those from nodes that nothing leads to, and then those to nodes that lead nowhere, are taken away,
+    again as long as this takes at least a quarter of them."""
+    n = None
+    while True:
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        was, n = n, edges.count()
+        if n == 0 or was is not None and n > 0.75 * was:
+            return edges
+
+
+def dominators(edges: DataFrame, entry: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """``node, dom``: dom is on every way from an entry to the node; a node dominates itself.
 
-    Entries (node) may be many, as those of all functions of a project at once. Beyond ``limit`` edges the pairs come from
-    rounds of counting: d dominates n if it dominates as many of n's predecessors as n has among the nodes reached so far.
+    Entries (node) may be many, as those of all functions of a project at once. With ``scope`` (node, scope), where no edge
+    leaves its scope, as none leaves a function, each scope is a group of its own. Without, pairs come from rounds
+    of counting, at any size: d dominates n if it dominates as many of n's predecessors as n has among the nodes reached so far.
     """
-    graph = CodeGraph(edges, limit=limit)
-    if graph.is_small():
-        return small.all_dominators(graph.written(), entry.select("node"))
+    graph = CodeGraph(edges)
+    if scope is not None:
+        return _dominators_by_scope(graph.edges, entry.select("node").where("node IS NOT NULL").distinct(), scope.select("node", "scope"))
     reached = cut(graph.reach(entry).select("node"))
     edges = cut(graph.written().join(reached.withColumnRenamed("node", "src"), "src", "left_semi"))
     roots = entry.select("node").distinct()
@@ -322,6 +342,39 @@ def dominators(edges: DataFrame, entry: DataFrame, limit: int = small.LIMIT) ->
     return doms
 
 
+def _dominators_by_scope(edges: DataFrame, entry: DataFrame, scope: DataFrame) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+    lines = edges.join(scope.select(F.col("node").alias("src"), "scope"), "src").select("scope", "src", "dst", F.lit(False).alias("is_entry"))
+    rows = lines.union(entry.join(scope, "node").select("scope", "node", "node", F.lit(True)))
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        first, lines = group[group["is_entry"]], group[~group["is_entry"]]
+        pairs = list(_dominating([*lines["src"], *[None] * len(first)], [*lines["dst"], *first["dst"]]))
+        return pd.DataFrame(pairs, columns=["node", "dom"])
+
+    return rows.groupBy("scope").applyInPandas(one, f"node {kind}, dom {kind}")
+
+
+def _dominating(src: list, dst: list) -> Iterator[tuple]:
+    """(node, dominator) of one function; edges from None lead to its entries. A node's dominators are those that all its
+    known predecessors share, and itself; nodes are taken again when a predecessor's have changed."""
+    after: dict = {}
+    before: dict = {}
+    for a, b in zip(src, dst, strict=True):
+        after.setdefault(a, []).append(b)
+        before.setdefault(b, []).append(a)
+    doms: dict = {None: frozenset()}
+    queue = dict.fromkeys(after.get(None, ()))
+    while queue:
+        node = next(iter(queue))
+        del queue[node]
+        new = frozenset.intersection(*(doms[p] for p in before[node] if p in doms)) | {node}
+        if doms.get(node) != new:
+            doms[node] = new
+            queue |= dict.fromkeys(after.get(node, ()))
+    return ((node, d) for node, over in doms.items() if node is not None for d in over)
+
+
 def merge(*graphs: DataFrame) -> DataFrame:
     out = graphs[0].select("src", "dst")
     for g in graphs[1:]:

@@ -249,14 +249,16 @@ def unreachable_blocks(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {STATEMENTS}, {_DOM} SELECT node, dom FROM dm")
 def block_dominators(spark, sf_dir):
-    g, entry = flow.cfg_graph(statements(spark, sf_dir))
-    return graph.dominators(g.written(), entry)
+    st = statements(spark, sf_dir)
+    g, entry = flow.cfg_graph(st)
+    return graph.dominators(g.written(), entry, flow.scopes(st))
 
 
 @query(f"WITH RECURSIVE {STATEMENTS}, {_DOM}, bk AS (SELECT e.src, e.dst FROM e JOIN dm ON dm.node = e.src AND dm.dom = e.dst), lp(head, node) AS (SELECT dst, src FROM bk UNION SELECT lp.head, e.src FROM lp JOIN e ON e.dst = lp.node WHERE lp.node <> lp.head) SELECT DISTINCT head, node FROM (SELECT * FROM lp UNION SELECT dst, dst FROM bk)")
 def natural_loops(spark, sf_dir):
-    g, entry = flow.cfg_graph(statements(spark, sf_dir))
-    return g.natural_loops(entry)
+    st = statements(spark, sf_dir)
+    g, entry = flow.cfg_graph(st)
+    return g.natural_loops(entry, flow.scopes(st))
 
 
 _DEFS = "SELECT user_id AS scope, event_type AS name, event_id AS pos, value < 5 AS is_const FROM events WHERE event_id % 3 = 0"

@@ -1,4 +1,4 @@
-"""Graph operators: literal graphs, and random ones where rounds over the cluster must agree with the one-task path."""
+"""Graph operators: literal graphs, and random ones against plain searches."""
 
 import numpy as np
 import pytest
@@ -18,10 +18,12 @@ CYCLE3, CYCLE2, DAG = [("a", "b"), ("b", "c"), ("c", "a")], [("x", "y"), ("y", "
 CHORD = [*CYCLE3, ("a", "c")]
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-@pytest.mark.parametrize(("edges", "cyclic"), [(CYCLE3, 3), (CYCLE2, 2), (DAG, 0), ([("s", "s")], 1), (CHORD, 4), ([*CYCLE3, *DAG, ("c", "x"), *CYCLE2], 6)])
-def test_cyclic_edges(spark, edges, cyclic, limit):
-    assert CodeGraph(frame(spark, edges), limit=limit).cyclic_edges().count() == cyclic
+def test_cyclic_edges(spark):
+    """Several graphs beside each other in one, told apart by a number before their nodes."""
+    graphs = [(CYCLE3, 3), (CYCLE2, 2), (DAG, 0), ([("s", "s")], 1), (CHORD, 4), ([*CYCLE3, *DAG, ("c", "x"), *CYCLE2], 6)]
+    every = [(f"{k}{a}", f"{k}{b}") for k, (edges, _) in enumerate(graphs) for a, b in edges]
+    got = [r["src"][0] for r in CodeGraph(frame(spark, every)).cyclic_edges().collect()]
+    assert [got.count(str(k)) for k in range(len(graphs))] == [n for _, n in graphs]
 
 
 def test_ring_is_one_component(spark):
@@ -31,15 +33,42 @@ def test_ring_is_one_component(spark):
     assert len(got) == n and {r["scc"] for r in got} == {n - 1}
 
 
-def test_rounds_agree_with_one_task(spark):
-    rng = np.random.default_rng(2)
-    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (75, 2))], "src long, dst long")
-    start = spark.createDataFrame([(int(rng.integers(0, 60)),), (3,)], "node long")
-    one, many = CodeGraph(edges), CodeGraph(edges, limit=0)
-    assert rows(one.reach(start)) == rows(many.reach(start))
-    assert rows(one.components()) == rows(many.components())
-    assert rows(one.weak_components()) == rows(many.weak_components())
-    assert rows(dominators(edges, start)) == rows(dominators(edges, start, limit=0))
+def reached(edges, start):
+    far, front = dict.fromkeys(start, 0), list(start)
+    while front:
+        front = [b for b in sorted({b for a, b in edges if a in front}) if b not in far]
+        far |= dict.fromkeys(front, max(far.values()) + 1)
+    return far
+
+
+@pytest.mark.parametrize(("steps", "n"), [(1, 75), (4, 100)])
+def test_against_plain_searches(spark, steps, n):
+    """Reach, depth limits, components of both kinds and dominators; dominators also with each weak component as a scope."""
+    pairs = {(int(a), int(b)) for a, b in np.random.default_rng(n).integers(0, 60, (n, 2))}
+    nodes = {x for e in pairs for x in e}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    start = spark.createDataFrame([(min(nodes),), (3,), (None,), (77,)], "node long")
+    g = CodeGraph(edges, steps=steps)
+    far = reached(pairs, [min(nodes), 3, 77])
+    assert rows(g.reach(start)) == set(far.items())
+    assert rows(g.reach(start, 2)) == {(k, d) for k, d in far.items() if d <= 2}
+    to = {a: reached(pairs, [a]) for a in nodes}
+    inside = {a for a, b in pairs if a in to[b]}
+    assert rows(g.components()) == {(a, max(b for b in to[a] if a in to[b])) for a in inside}
+    both = pairs | {(b, a) for a, b in pairs}
+    weak = {(a, min(reached(both, [a]))) for a in nodes}
+    assert rows(g.weak_components()) == weak
+    want = {(k, d) for k in far for d in far if k == d or k not in reached({e for e in pairs if d not in e}, {min(nodes), 3, 77} - {d})}
+    assert rows(dominators(edges, start)) == want
+    scope = spark.createDataFrame([*weak, (77, 77)], "node long, scope long")
+    assert rows(dominators(edges, start, scope)) == want | ({(3, 3)} & want)
+
+
+def test_long_chain_and_ring(spark):
+    """A chain of 300 edges into a ring of 300: the rounds of components and of the weak kind don't follow the length."""
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n + i, n + (i + 1) % n) for i in range(n)], "src long, dst long")
+    assert rows(CodeGraph(edges).components()) == {(n + i, 2 * n - 1) for i in range(n)}
 
 
 def test_nulls_repeats_and_empty_graphs(spark):
@@ -69,11 +98,12 @@ def test_dominators_and_loops(spark):
     edges = frame(spark, [("entry", "h"), ("h", "x"), ("x", "y"), ("y", "h"), ("x", "x2"), ("x2", "x"), ("h", "exit"), ("dead", "exit")])
     entry = frame(spark, [("entry", "")]).selectExpr("src AS node")
     want = {"entry": "entry", "h": "entry h", "x": "entry h x", "y": "entry h x y", "x2": "entry h x x2", "exit": "entry h exit"}
-    for limit in (0, 1000):
-        assert rows(dominators(edges, entry, limit)) == {(n, d) for n, doms in want.items() for d in doms.split()}
-        g = CodeGraph(edges, limit=limit)
-        assert rows(g.natural_loops(entry)) == {("h", n) for n in ("h", "x", "y", "x2")} | {("x", "x"), ("x", "x2")}
-        assert rows(g.loop_depths(entry)) == {("entry", 0), ("h", 1), ("x", 2), ("y", 1), ("x2", 2), ("exit", 0)}
+    scope = edges.selectExpr("src AS node").union(edges.selectExpr("dst")).distinct().selectExpr("node", "1 AS scope")
+    for within in (None, scope):
+        assert rows(dominators(edges, entry, within)) == {(n, d) for n, doms in want.items() for d in doms.split()}
+        g = CodeGraph(edges)
+        assert rows(g.natural_loops(entry, within)) == {("h", n) for n in ("h", "x", "y", "x2")} | {("x", "x"), ("x", "x2")}
+        assert rows(g.loop_depths(entry, within)) == {("entry", 0), ("h", 1), ("x", 2), ("y", 1), ("x2", 2), ("exit", 0)}
 
 
 def test_isolated_functions(spark):
