@@ -320,15 +320,15 @@ def dominators(edges: DataFrame, entry: DataFrame, scope: DataFrame | None = Non
     """``node, dom``: dom is on every way from an entry to the node; a node dominates itself.
 
     Entries (node) may be many, as those of all functions of a project at once. With ``scope`` (node, scope), where no edge
-    leaves its scope, as none leaves a function, each scope is a group of its own. Without, pairs come from rounds
+    leaves its scope, as none leaves a function, each scope is a group of its own; entries without a scope are left out. Without, pairs come from rounds
     of counting, at any size: d dominates n if it dominates as many of n's predecessors as n has among the nodes reached so far.
     """
-    graph = CodeGraph(edges)
+    graph, entry = CodeGraph(edges), entry.select("node").where("node IS NOT NULL").distinct()
     if scope is not None:
-        return _dominators_by_scope(graph.edges, entry.select("node").where("node IS NOT NULL").distinct(), scope.select("node", "scope"))
+        return _dominators_by_scope(graph.edges, entry, scope.select("node", "scope"))
     reached = cut(graph.reach(entry).select("node"))
     edges = cut(graph.written().join(reached.withColumnRenamed("node", "src"), "src", "left_semi"))
-    roots = entry.select("node").distinct()
+    roots = cut(entry)
     doms = cut(roots.select("node", F.col("node").alias("dom")))
     was = -1
     while (n := doms.count()) != was or not doms.select("node").distinct().count() == reached.count():
