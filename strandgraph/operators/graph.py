@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import Rounds, cut
 
 #: Steps along the edges that are planned as one job. More steps make fewer jobs, but walk further into what is known.
 STEPS = 4
 #: Written layers of a walk that are kept apart before they are written as one.
 LAYERS = 6
+#: Random rankings in the first turn of the search for strongly connected components; twice as many in each of the next three.
+RANKINGS = 4
 
 
 class CodeGraph:
@@ -113,19 +115,20 @@ class CodeGraph:
 
     def weak_components(self) -> DataFrame:
         """``node, component``: nodes that edges join in either direction, by their smallest member."""
-        labels = cut(self.nodes.select("node", F.col("node").alias("component")))
+        rounds = Rounds()
+        labels = rounds.step(self.nodes.select("node", F.col("node").alias("component")))
         both = cut(self.written().union(self.written().select("dst", "src")))
         while True:  # each takes the least label around it, then that label's own label
             near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
             hooked = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
             # A root learns of the least label that its members saw.
             told = hooked.groupBy(F.col("was").alias("node")).agg(F.min("component").alias("told"))
-            hooked = cut(hooked.join(told, "node", "left").select("node", "was", F.least("component", F.coalesce("told", "component")).alias("component")))
+            hooked = rounds.step(hooked.join(told, "node", "left").select("node", "was", F.least("component", F.coalesce("told", "component")).alias("component")))
             jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
-            step = cut(hooked.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
+            step = rounds.step(hooked.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
             labels = step.select("node", "component")
             if step.where("was <> component").isEmpty():
-                return labels
+                return rounds.last(labels)
 
     def levels_from_roots(self) -> DataFrame:
         return self.reach(self.entry_points()).withColumnRenamed("distance", "level")
@@ -158,6 +161,34 @@ class CodeGraph:
             found = found.join(end.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
         return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).alias("length"))
 
+    def best_paths(self, pairs: DataFrame, k: int, length: int) -> DataFrame:
+        """``start, end, path, length``: for each pair (start, end) the ``k`` first of its paths of at most ``length`` edges
+        without a repeated node, by length, then by their nodes in order; the path as an array. Pairs with a null end, or of one
+        node, have none, repeated pairs count once.
+
+        How far nodes are from the ends is walked first. A path grows only where what is left of ``length`` still reaches its
+        end, and a pair that has its ``k`` paths grows no more: whatever comes later is longer.
+        """
+        edges = self.written()
+        asked = cut(pairs.select("start", "end").where("start <> end").distinct())
+        into = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        far = cut(walk(into, asked.select(F.col("end").alias("node"), "end"), length, self.steps, carry=("end",)))
+        layer = asked.join(far.select(F.col("node").alias("start"), "end"), ["start", "end"], "left_semi").select("start", "end", F.col("start").alias("at"), F.array("start").alias("path"))
+        near = far.select(F.col("node").alias("dst"), "end", "distance")
+        found = None
+        for d in range(1, length + 1):
+            step = layer.join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+            step = step.join(near, ["dst", "end"]).where(F.col("distance") <= length - d)
+            step = cut(step.select("start", "end", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
+            done = step.where(F.col("at") == F.col("end")).select("start", "end", "path", F.lit(d).alias("length"))
+            found = done if found is None else found.union(done)
+            full = found.groupBy("start", "end").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+            layer = step.where(F.col("at") != F.col("end")).join(full, ["start", "end"], "left_anti")
+            if layer.isEmpty():
+                break
+        place = F.row_number().over(Window.partitionBy("start", "end").orderBy("length", "path"))
+        return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
     # --- cycles ---
 
     def components(self) -> DataFrame:
@@ -165,23 +196,28 @@ class CodeGraph:
 
         Nodes get random ranks. Each learns the best-ranked node that leads to it and the best-ranked one that it leads to.
         If these are one node, this is a member of its component. An edge whose ends differ in either is inside no
-        component. Both take away a share of what is left, so the number of rounds grows with the logarithm of the nodes,
-        also on long chains; no component or chain is walked node by node, since labels follow labels (``spread``). Nodes that
-        nothing leads to, or that lead nowhere, are taken away before each round, as long as that takes many.
+        component. Several rankings at once, twice as many in each turn, cut what is left into many parts, so the number of
+        turns grows slower than the logarithm of the nodes, also on long chains; no component or chain is walked node by
+        node (``spread``). Nodes that nothing leads to, or that lead nowhere, are taken away
+        before each turn, as long as that takes many.
         """
         edges = _trim(self.written())
         found, turn = None, 0
         while found is None or not edges.isEmpty():
             arcs = edges.select(F.lit(True).alias("ahead"), "src", "dst").union(edges.select(F.lit(False), "dst", "src"))
             ends = edges.select("src").union(edges.select("dst")).distinct().select(F.col("src").alias("node"))
-            rank = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("rank"), F.col("node").alias("top"))
-            marks = spread(arcs, ends.select("node", F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead"), rank.alias("label")), self.steps)
-            sides = cut(marks.groupBy("node").agg(F.max(F.when(F.col("ahead"), F.col("label.top"))).alias("above"), F.max(F.when(~F.col("ahead"), F.col("label.top"))).alias("below")))
-            members = sides.where("above = below").select("node", F.col("above").alias("top"))
+            ends = ends.withColumn("ranking", F.explode(F.sequence(F.lit(0), F.lit(RANKINGS * 2 ** min(turn, 3) - 1))))
+            rank = F.struct(F.xxhash64(F.lit(turn), F.col("ranking"), F.col("node")).alias("rank"), F.col("node").alias("top"))
+            marks = spread(arcs, ends.select("node", "ranking", F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead"), rank.alias("label")), self.steps)
+            each = marks.groupBy("node", "ranking").agg(F.max(F.when(F.col("ahead"), F.col("label.top"))).alias("above"), F.max(F.when(~F.col("ahead"), F.col("label.top"))).alias("below"))
+            both = F.struct("ranking", "above", "below")
+            # The first ranking that names a component does so for all its nodes.
+            sides = cut(each.groupBy("node").agg(F.min(F.when(F.col("above") == F.col("below"), both)).alias("own"), F.array_sort(F.collect_list(both)).alias("sides")))
+            members = sides.where("own IS NOT NULL").select("node", F.col("own.above").alias("top"))
             found = members if found is None else found.union(members)
-            left = sides.where("above <> below")
-            a, b = left.select(F.col("node").alias("src"), "above", "below"), left.select(F.col("node").alias("dst"), "above", "below")
-            edges = _trim(edges.join(a, "src").join(b, ["dst", "above", "below"]).select("src", "dst"))
+            left = sides.where("own IS NULL")
+            a, b = left.select(F.col("node").alias("src"), "sides"), left.select(F.col("node").alias("dst"), "sides")
+            edges = _trim(edges.join(a, "src").join(b, ["dst", "sides"]).select("src", "dst"))
             turn += 1
         found = cut(found)
         # A lone node is a component with an edge inside only if it has a self-loop.
@@ -282,26 +318,30 @@ def walk(edges: DataFrame, start: DataFrame, depth: int | None, steps: int, carr
 
 
 def spread(arcs: DataFrame, labels: DataFrame, steps: int) -> DataFrame:
-    """``node, ahead, label``: the largest label (rank, top) that arcs (ahead, src, dst) bring to each row of ``labels``, whose
-    own label has the node as its ``top``; for each value of ``ahead`` apart.
+    """``node, ranking, ahead, label``: the largest label that arcs (ahead, src, dst) bring to each row of ``labels``, for
+    each ``ranking`` and value of ``ahead`` apart.
 
-    A job takes labels ``steps`` arcs further and then to the label of each label's own node, which also leads here, so
-    the distances double from job to job.
+    A job takes labels ``steps`` arcs further. Each node also knows one node that leads to it; from job to job this is the one
+    twice as far away, and each becomes a shortcut of its own, so along chains and rings labels get on by powers of two:
+    the number of jobs follows the logarithm of their length, for each place where ways meet that they pass.
     """
-    key = ["node", "ahead"]
-    arcs = cut(arcs.union(labels.select("ahead", "node", "node")).distinct())
+    key, rounds = ["node", "ranking", "ahead"], Rounds()
+    one = F.min_by("src", F.xxhash64("src", "dst")).alias("node")
+    far = rounds.step(arcs.where("src <> dst").groupBy("ahead", "dst").agg(one).select("ahead", "node", "dst"), keep=True)
+    arcs = rounds.step(arcs.union(labels.select("ahead", "node", "node")).distinct().withColumnRenamed("src", "node"), keep=True)
     while True:
         here = labels.withColumn("was", F.col("label"))
         for _ in range(steps):
-            step = here.join(arcs.withColumnRenamed("src", "node"), key)
+            step = here.join(arcs, ["node", "ahead"])
             own = F.when(F.col("dst") == F.col("node"), F.col("was"))
-            here = step.select(F.col("dst").alias("node"), "ahead", "label", own.alias("was")).groupBy(*key).agg(F.max("label").alias("label"), F.max("was").alias("was"))
-        here = here.withColumn("top", F.col("label.top"))
-        further = here.select(F.col("node").alias("top"), "ahead", F.col("label").alias("beyond"))
-        here = cut(here.join(further, ["top", "ahead"]).select(*key, F.greatest("label", "beyond").alias("label"), "was"))
+            here = step.select(F.col("dst").alias("node"), "ranking", "ahead", "label", own.alias("was")).groupBy(*key).agg(F.max("label").alias("label"), F.max("was").alias("was"))
+        here = rounds.step(here)
         labels = here.select(*key, "label")
         if here.where("label <> was").isEmpty():
-            return labels
+            return rounds.last(labels)
+        further = far.select("ahead", F.col("dst").alias("node"), F.col("node").alias("beyond"))
+        far = rounds.step(far.join(further, ["ahead", "node"]).select("ahead", F.col("beyond").alias("node"), "dst"), keep=True)
+        arcs = arcs.union(far.where("node <> dst"))
 
 
 def _trim(edges: DataFrame) -> DataFrame:

@@ -64,7 +64,6 @@ def test_against_plain_searches(spark, steps, n):
     assert rows(dominators(edges, start, scope)) == want
 
 
-@pytest.mark.skip(reason="ran over 90 s on local[4] without ending; has not been seen to pass")
 def test_long_chain_and_ring(spark):
     """A chain of 300 edges into a ring of 300: the rounds of components and of the weak kind don't follow the length."""
     n = 300
@@ -135,3 +134,26 @@ def test_cycles_against_walking(spark):
         got = {tuple(map(int, r["path"].split(">"))) for r in g.cycle_paths(length).collect()}
         assert got == {p for p in want if len(p) <= length} and g.cycle_paths(length).count() == len(got)
     assert CodeGraph(frame(spark, DAG)).cycle_paths(4).count() == 0
+
+
+def test_best_paths_of_pairs(spark):
+    """Every pair's first three paths, against all simple paths of a plain search."""
+    found = {(a, (a * 7 + s) % 12) for a in range(12) for s in (1, 3, 5)} | {(4, 4)}
+    after = {}
+    for a, b in found:
+        after.setdefault(a, []).append(b)
+
+    def ways(path, end):
+        if path[-1] == end:
+            yield path
+        elif len(path) <= 4:
+            for b in after.get(path[-1], ()):
+                if b not in path:
+                    yield from ways((*path, b), end)
+
+    asked = [(a, b) for a in range(12) for b in range(12)] + [(0, 1), (None, 1), (1, None), (3, 99), (99, 3)]
+    want = {(a, b, p, len(p) - 1) for a in range(12) for b in range(12) if a != b for p in sorted(ways((a,), b), key=lambda p: (len(p), p))[:3]}
+    g = CodeGraph(spark.createDataFrame(sorted(found), "src long, dst long"))
+    got = g.best_paths(spark.createDataFrame(asked, "start long, end long"), 3, 4).collect()
+    assert len(got) == len(want) and {(r["start"], r["end"], tuple(r["path"]), r["length"]) for r in got} == want
+    assert CodeGraph(frame(spark, [])).best_paths(frame(spark, []).selectExpr("src AS start", "dst AS end"), 3, 4).count() == 0
