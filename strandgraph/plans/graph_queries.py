@@ -105,14 +105,39 @@ def modules_at_level(spark, sf_dir):
     return geo_graph(spark, sf_dir).levels_from_roots().where("level = 1").select("node")
 
 
-@query(f"WITH RECURSIVE {GEO}, x AS (SELECT * FROM e UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_partkey < 3), p(here, path) AS (SELECT 'r0', ['r0'] UNION ALL SELECT x.dst, list_append(path, x.dst) FROM p JOIN x ON p.here = x.src WHERE len(path) <= 5 AND NOT list_contains(path, x.dst)) SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS length FROM p WHERE here LIKE 'p%' ORDER BY length, path LIMIT 10")
+_WAYS = "ways(start, fin, here, path) AS (SELECT start, fin, start, [start] FROM asked UNION ALL SELECT start, fin, x.dst, list_append(path, x.dst) FROM ways JOIN x ON ways.here = x.src WHERE ways.here <> fin AND len(path) <= {most} AND NOT list_contains(path, x.dst))"
+
+
+def _best(k: int, columns: str) -> str:
+    return f"SELECT {columns}, array_to_string(path, '>') AS path, (len(path) - 1)::INT AS length FROM ways WHERE here = fin AND start <> fin QUALIFY row_number() OVER (PARTITION BY start, fin ORDER BY len(path), path) <= {k}"
+
+
+def _as_text(paths):
+    return paths.withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), ">"))
+
+
+@query(f"WITH RECURSIVE {GEO}, x AS (SELECT * FROM e UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), asked AS (SELECT DISTINCT 'r0' AS start, 'p' || l_partkey AS fin FROM lineitem), w(here, path) AS (SELECT 'r0', ['r0'] UNION ALL SELECT x.dst, list_append(path, x.dst) FROM w JOIN x ON w.here = x.src WHERE len(path) <= 5 AND NOT list_contains(path, x.dst)), ways AS (SELECT 'r0' AS start, here AS fin, here, path FROM w WHERE here LIKE 'p%') {_best(10, 'fin AS part')}")
 def mixed_paths(spark, sf_dir):
-    """The first ten ways from a region to some parts in the union of three edge sets."""
-    supplied = read(spark, sf_dir, "lineitem").where("l_partkey < 3").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    """The first ten ways from a region to each part in the union of three edge sets."""
+    supplied = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
     mixed = graph.CodeGraph(graph.merge(geo_graph(spark, sf_dir).edges, supplied))
-    start = spark.createDataFrame([("r0",)], "node string")
-    end = supplied.select(F.col("dst").alias("node"))
-    return mixed.simple_paths(start, end, 5).orderBy("length", "path").limit(10)
+    pairs = supplied.select(F.lit("r0").alias("start"), F.col("dst").alias("end"))
+    return _as_text(mixed.best_paths(pairs, 10, 5)).select(F.col("end").alias("part"), "path", "length")
+
+
+@query(f"WITH RECURSIVE {G_PART}, x AS (SELECT * FROM e), asked AS (SELECT DISTINCT min(l_partkey) AS start, max(l_partkey) AS fin FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) <> max(l_partkey)), {_WAYS.format(most=4)} {_best(3, 'start AS first_part, fin AS last_part')}")
+def best_part_paths(spark, sf_dir):
+    """The three best paths of at most four edges from the smallest to the largest part of each order."""
+    orders = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("start"), F.max("l_partkey").alias("end"))
+    return _as_text(part_graph(spark, sf_dir).best_paths(orders, 3, 4)).select(F.col("start").alias("first_part"), F.col("end").alias("last_part"), "path", "length")
+
+
+@query(f"WITH RECURSIVE {G_EVENT}, x AS (SELECT * FROM e), asked AS (SELECT DISTINCT event_type AS start, lead(event_type, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fin FROM events), {_WAYS.format(most=4)} {_best(5, 'start AS first_event, fin AS last_event')}")
+def best_event_paths(spark, sf_dir):
+    """The five best ways from a type of event to what a user's third event after it is, where nearly every type follows every other."""
+    later = F.lead("event_type", 3).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    pairs = read(spark, sf_dir, "events").select(F.col("event_type").alias("start"), later.alias("end"))
+    return _as_text(event_graph(spark, sf_dir).best_paths(pairs, 5, 4)).select(F.col("start").alias("first_event"), F.col("end").alias("last_event"), "path", "length")
 
 
 @query(f"WITH RECURSIVE {G_PART}, {distances('SELECT min(src), 0 FROM e')} SELECT node FROM nd WHERE node NOT IN (SELECT node FROM r)")
