@@ -44,15 +44,22 @@ def fuzzy(entities: DataFrame, query: str, threshold: float = 0.7, limit: int |
 
 
 def smart(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Exact, then prefix, then fuzzy (0.6), each later stage only if those before found fewer than two."""
-    stages = [(1, exact(entities, query)), (2, prefix(entities, query)), (3, fuzzy(entities, query, 0.6))]
-    every = None
-    for k, s in stages:
-        s = s.withColumn("stage", F.lit(k))
-        every = s if every is None else every.unionByName(s)
-    counts = every.agg(F.count_if(F.col("stage") == 1).alias("n1"), F.count_if(F.col("stage") == 2).alias("n2"))
-    on = (F.col("stage") == 1) | ((F.col("stage") == 2) & (F.col("n1") < 2)) | ((F.col("stage") == 3) & (F.col("n1") < 2) & (F.col("n1") + F.col("n2") < 2))
-    kept = every.join(F.broadcast(counts), on).drop("n1", "n2")  # one row
+    """Exact, then prefix, then fuzzy (0.6), each later stage only if those before found fewer than two. One scan gives each
+    name its score in each stage; of a stage the best ``limit`` rows leave a task."""
+    q, name = F.lit(query.lower()), F.lower("name")
+    longest = F.greatest(F.length(name), F.length(q))
+    alike = F.when(F.abs(F.length(name) - F.length(q)) <= 0.4 * longest + 1e-9, F.round(1 - F.levenshtein(name, q) / longest, 6))
+    hit = lambda stage, on, score: F.when(on, F.struct(F.lit(stage).alias("stage"), score.alias("score")))
+    stages = F.array_compact(F.array(
+        hit(1, (F.col("name") == query) | (name == query), F.lit(1.0)),
+        hit(2, name.startswith(query.lower()), F.round(len(query) / F.length("name"), 6)),
+        hit(3, alike >= 0.6, alike),
+    ))
+    rows = entities.select("id", "name", F.explode(stages).alias("s")).select("id", "name", "s.stage", "s.score")
+    place = F.row_number().over(Window.partitionBy("stage").orderBy(F.desc("score"), "id"))
+    every = rows.withColumn("_place", place).where(F.col("_place") <= limit)  # limit rows a stage
+    found = every.withColumn("n1", F.count_if(F.col("stage") == 1).over(Window.partitionBy())).withColumn("n2", F.count_if(F.col("stage") <= 2).over(Window.partitionBy()))
+    kept = found.where((F.col("stage") == 1) | ((F.col("stage") == 2) & (F.col("n1") < 2)) | ((F.col("stage") == 3) & (F.col("n2") < 2)))
     best = kept.groupBy("id").agg(F.min_by(F.struct("name", "score", "stage"), F.struct("stage")).alias("b"))
     return best.select("id", "b.*").orderBy("stage", F.desc("score"), "id").limit(limit)
 

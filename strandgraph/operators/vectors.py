@@ -39,8 +39,9 @@ def embed(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) ->
     """``id, place, weight``: the sum of a word's idf over its occurrences, each document scaled to length one. Documents
     without a word of the vocabulary have no rows."""
     raw = words(docs, id_col, text_col).join(F.broadcast(vocabulary), "word").groupBy("id", "place").agg(F.sum("idf").alias("w"))  # dimension rows
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").where("norm > 0").select("id", "place", (F.col("w") / F.col("norm")).alias("weight"))
+    rows = raw.groupBy("id").agg(F.collect_list(F.struct("place", "w")).alias("row"))  # at most dimension values
+    norm = F.sqrt(F.aggregate("row", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return rows.withColumn("norm", norm).where("norm > 0").select("id", "norm", F.explode("row").alias("x")).select("id", "x.place", (F.col("x.w") / F.col("norm")).alias("weight"))
 
 
 def embed_with(entities: DataFrame, provider: Callable[[list[str]], list[list[float]]], text_col: str = "text") -> DataFrame:
