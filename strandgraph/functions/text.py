@@ -116,6 +116,11 @@ def without_comments(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"/\*[\s\S]*?\*/", ""), "//[^\n]*", ""))
 
 
+def shortened(text: Column) -> Column:
+    """The whole text without comments, each run of blanks as one space, none at the ends."""
+    return F.trim(F.regexp_replace(without_comments(text), r"[ \t\r\n]+", " "))
+
+
 def same_but_blanks(a: Column, b: Column) -> Column:
     strip = lambda t: F.regexp_replace(t, r"[ \t\r\n]", "")
     return strip(a) == strip(b)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandgraph.functions import paths
-from strandgraph.operators import graph, report, syntax_diff, vectors
+from strandgraph.operators import graph, ranking, report, syntax_diff, vectors
 from strandgraph.sources import code, json_io
 
 from . import project
@@ -133,11 +133,11 @@ def exported_first(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.row_number().over(order).alias("place"))
 
 
-@query(r"SELECT page_id, ext, row_number() OVER (ORDER BY ext, url, page_id)::INT AS place FROM (SELECT page_id, url, regexp_extract(string_split(url, '/')[-1], '[^.](\.[^.]*)$', 1) AS ext FROM pages) ORDER BY place LIMIT 100")
+@query(r"SELECT page_id, ext, row_number() OVER (ORDER BY ext NULLS FIRST, url NULLS FIRST, page_id) AS place FROM (SELECT page_id, url, regexp_extract(string_split(url, '/')[-1], '[^.](\.[^.]*)$', 1) AS ext FROM pages)")
 def files_in_order(spark, sf_dir):
-    """The first hundred files by extension, then path."""
-    first = read(spark, sf_dir, "pages").select("page_id", "url", paths.extension(F.col("url")).alias("ext")).orderBy("ext", "url", "page_id").limit(100)
-    return first.select("page_id", "ext", F.row_number().over(Window.orderBy("ext", "url", "page_id")).alias("place"))
+    """All files by extension, then path, numbered by a range sort."""
+    files = read(spark, sf_dir, "pages").select(F.lit(0).alias("all"), "page_id", "url", paths.extension(F.col("url")).alias("ext"))
+    return ranking.numbered(files, "all", "ext", "url", "page_id").select("page_id", "ext", (F.col("at") + 1).alias("place"))
 
 
 @query(f"WITH {G_PART} SELECT cluster, size, density, share FROM (SELECT c.cluster, size, round(coalesce(internal, 0)::DOUBLE / (size * (size - 1)) * 100, 4) AS density, CASE WHEN coalesce(total, 0) = 0 THEN 0.0::DOUBLE ELSE round(internal::DOUBLE / total * 100, 0) END AS share FROM (SELECT p_brand AS cluster, count(*) AS size FROM part GROUP BY 1) c LEFT JOIN (SELECT a.p_brand AS cluster, count(*) AS total, count(*) FILTER (a.p_brand = b.p_brand) AS internal FROM e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst WHERE src <> dst GROUP BY 1) l USING (cluster)) ORDER BY density DESC, size DESC, cluster LIMIT 5")
