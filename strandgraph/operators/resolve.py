@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions import paths
 
+from .lineage import cut
+
 #: What is tried after a path, in this order. Fixed values.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "")
 ALIAS_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".vue", ".mjs", ".cjs", "")
@@ -124,6 +126,30 @@ def impact(target_file: str, entity: str, imports: DataFrame, resolved: DataFram
     return enclosing(found, spans)
 
 
+def handed_on(exports: DataFrame, re_exports: DataFrame) -> DataFrame:
+    """``file, name, origin_file, origin_name, hops``: every file and name under which an export can be imported: its own (0
+    hops), and those that chains of re-exports of any length give it, each with the fewest hops.
+
+    ``exports`` (file, name); ``re_exports`` (file, name, from_file, imported): the file exports what is ``imported`` there as
+    ``name``; with ``*`` for both, all that the other file exports but ``default``. Rows with a null anywhere are left out.
+    Only what is new goes on in a round, so chains that close end there.
+    """
+    key = ["file", "name", "origin_file", "origin_name"]
+    lines = cut(re_exports.select("from_file", "imported", F.col("file").alias("to"), F.col("name").alias("as")).dropna().distinct())
+    by_name, whole = lines.where("imported <> '*'"), lines.where("imported = '*'").drop("imported", "as")
+    front = cut(exports.select("file", "name", F.col("file").alias("origin_file"), F.col("name").alias("origin_name")).dropna().distinct().withColumn("hops", F.lit(0)))
+    seen, hops = front, 0
+    while not front.isEmpty():
+        hops += 1
+        named = front.join(by_name, (F.col("file") == F.col("from_file")) & (F.col("name") == F.col("imported"))).select(F.col("to").alias("file"), F.col("as").alias("name"), "origin_file", "origin_name")
+        every = front.where("name <> 'default'").join(whole, F.col("file") == F.col("from_file")).select(F.col("to").alias("file"), "name", "origin_file", "origin_name")
+        front = cut(named.union(every).distinct().join(seen.select(*key), key, "left_anti").withColumn("hops", F.lit(hops)))
+        seen = seen.union(front)
+        if hops % 6 == 0:
+            seen = cut(seen)
+    return seen
+
+
 def first_of_name(entities: DataFrame, name: str = "name") -> DataFrame:
     """``name, module``: the module of the first entity of a name, by id."""
     return entities.groupBy(name).agg(F.min_by("module", "id").alias("module"))

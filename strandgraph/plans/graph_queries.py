@@ -544,6 +544,19 @@ def smart_search_many(spark, sf_dir):
     return search.smart_many(part_entities(spark, sf_dir), _asked(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {G_PART}, l AS (SELECT 'f' || src AS from_file, 'f' || dst AS file, CASE WHEN (src + dst) % 3 = 0 THEN '*' ELSE 'n' || src % 4 END AS imported, CASE WHEN (src + dst) % 3 = 0 THEN '*' ELSE 'n' || dst % 4 END AS name FROM e),
+h(file, name, origin_file, origin_name, hops) AS (SELECT 'f' || node, 'n' || node % 4, 'f' || node, 'n' || node % 4, 0 FROM nd UNION SELECT l.file, CASE WHEN imported = '*' THEN h.name ELSE l.name END, origin_file, origin_name, hops + 1 FROM h JOIN l ON l.from_file = h.file AND (imported = '*' OR imported = h.name) WHERE hops < 60)
+SELECT file, name, origin_file, origin_name, min(hops)::INT AS hops FROM h GROUP BY ALL""")
+def handed_on_names(spark, sf_dir):
+    """Where each part's export can be imported along chains of re-exports, renamed or whole, over the part graph."""
+    g = part_graph(spark, sf_dir)
+    named = lambda of: (F.concat(F.lit("f"), F.col(of).cast("string")), F.concat(F.lit("n"), (F.col(of) % 4).cast("string")))
+    (file, name), (from_file, imported), (own, called) = named("dst"), named("src"), named("node")
+    whole = (F.col("src") + F.col("dst")) % 3 == 0
+    lines = g.edges.select(file.alias("file"), F.when(whole, "*").otherwise(name).alias("name"), from_file.alias("from_file"), F.when(whole, "*").otherwise(imported).alias("imported"))
+    return resolve.handed_on(g.nodes.select(own.alias("file"), called.alias("name")), lines)
+
+
 @query(f"WITH {G_PART}, x AS (SELECT id, name FROM {ENT} WHERE name = (SELECT min(p_name) FROM part)), n AS (SELECT src AS node, 'imports' AS direction, dst AS neighbour FROM e UNION ALL SELECT dst, 'imported_by', src FROM e) SELECT id, name, direction, neighbour FROM x LEFT JOIN n ON n.node = x.id")
 def exact_search_with_context(spark, sf_dir):
     ents = part_entities(spark, sf_dir).select("id", "name")

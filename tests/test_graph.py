@@ -157,3 +157,14 @@ def test_best_paths_of_pairs(spark):
     got = g.best_paths(spark.createDataFrame(asked, "start long, end long"), 3, 4).collect()
     assert len(got) == len(want) and {(r["start"], r["end"], tuple(r["path"]), r["length"]) for r in got} == want
     assert CodeGraph(frame(spark, [])).best_paths(frame(spark, []).selectExpr("src AS start", "dst AS end"), 3, 4).count() == 0
+
+
+def test_names_handed_on_by_re_exports(spark):
+    """A rename, a chain that closes, whole files without their default, nulls and repeats."""
+    from strandgraph.operators.resolve import handed_on
+
+    exports = spark.createDataFrame([("a", "f"), ("a", "f"), ("a", "default"), (None, "x")], "file string, name string")
+    lines = [("b", "g", "a", "f"), ("c", "*", "b", "*"), ("b", "*", "c", "*"), ("d", "*", "a", "*"), ("e", "d", "a", "default"), ("e", None, "a", "f")]
+    got = handed_on(exports, spark.createDataFrame(lines, "file string, name string, from_file string, imported string"))
+    want = {("a", "f", "f", 0), ("a", "default", "default", 0), ("b", "g", "f", 1), ("c", "g", "f", 2), ("d", "f", "f", 1), ("e", "d", "default", 1)}
+    assert {(r["file"], r["name"], r["origin_name"], r["hops"]) for r in got.collect()} == want and got.count() == len(want)
