@@ -166,19 +166,21 @@ class CodeGraph:
         without a repeated node, by length, then by their nodes in order; the path as an array. Pairs with a null end, or of one
         node, have none, repeated pairs count once.
 
-        How far nodes are from the ends is walked first. A path grows only where what is left of ``length`` still reaches its
-        end, and a pair that has its ``k`` paths grows no more: whatever comes later is longer.
+        What the starts lead to is walked first, then, over the edges between that, how far nodes are from each end. The edges
+        that bring a path nearer to an end in time are written with this end, so a path meets no others, however many leave a
+        node that all paths pass. A pair that has its ``k`` paths grows no more: whatever comes later is longer.
         """
-        edges = self.written()
         asked = cut(pairs.select("start", "end").where("start <> end").distinct())
+        ahead = walk(self.written(), asked.select(F.col("start").alias("node")), length - 1, self.steps)
+        edges = cut(self.written().join(ahead.select(F.col("node").alias("src"), F.col("distance").alias("before")), "src"))
         into = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         far = cut(walk(into, asked.select(F.col("end").alias("node"), "end"), length, self.steps, carry=("end",)))
         layer = asked.join(far.select(F.col("node").alias("start"), "end"), ["start", "end"], "left_semi").select("start", "end", F.col("start").alias("at"), F.array("start").alias("path"))
         near = far.select(F.col("node").alias("dst"), "end", "distance")
+        lines = cut(near.join(edges, "dst").where(F.col("before") + F.col("distance") < length).select("end", F.col("src").alias("at"), "dst", "distance"))
         found = None
         for d in range(1, length + 1):
-            step = layer.join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-            step = step.join(near, ["dst", "end"]).where(F.col("distance") <= length - d)
+            step = layer.join(lines, ["at", "end"]).where((F.col("distance") <= length - d) & ~F.array_contains("path", F.col("dst")))
             step = cut(step.select("start", "end", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
             done = step.where(F.col("at") == F.col("end")).select("start", "end", "path", F.lit(d).alias("length"))
             found = done if found is None else found.union(done)
