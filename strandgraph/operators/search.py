@@ -85,27 +85,45 @@ def _shortened(texts: DataFrame, column: str, edits: int) -> DataFrame:
     return texts.withColumn("key", F.explode(F.transform(every, lambda t: F.xxhash64(t))))
 
 
-def _best_of_each(found: DataFrame, limit: int, *order) -> DataFrame:
+def _best_of_each(found: DataFrame, limit: int, *order, of: str = "query") -> DataFrame:
     """The first ``limit`` rows of each query; partitions send no more than that many of one on."""
-    place = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(of).orderBy(*order))
     return found.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
+def _entities_of(named: DataFrame, entities: DataFrame, limit: int | None) -> DataFrame:
+    """``query, id, name, score``: the best ``limit`` entities of each query, whose names (query, name, score) are found. However
+    many share a name, only its ``limit`` smallest ids meet the queries, and a query only takes ``limit`` names: entities of
+    one name have one score, so those that follow come after as many others. Joins are merged: the size that a plan is
+    thought to have knows nothing of keys, and a table sent to all tasks goes through the driver."""
+    rows = entities.select("id", "name").where("name IS NOT NULL")
+    if not limit:
+        return rows.join(named.hint("merge"), "name").select("query", "id", "name", "score")
+    ids = _best_of_each(rows, limit, "id", of="name").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("id"))).alias("ids"))
+    best = _best_of_each(named.join(ids.hint("merge"), "name"), limit, F.desc("score"), F.col("ids")[0])
+    return _best_of_each(best.select("query", F.explode("ids.id").alias("id"), "name", "score"), limit, F.desc("score"), "id")
+
+
+def _exact_keys(entities: DataFrame) -> DataFrame:
+    return entities.withColumn("query", F.explode(F.array_distinct(F.array("name", F.lower("name")))))
+
+
 def exact_many(entities: DataFrame, queries: DataFrame) -> DataFrame:
     """``query, id, name, score``: entities (id, name) called like a query (query), or so in small letters."""
     asked = queries.select("query").where("query IS NOT NULL").distinct()
-    keys = entities.select("id", "name", F.explode(F.array_distinct(F.array("name", F.lower("name")))).alias("query"))
-    return keys.join(asked, "query").select("query", "id", "name", F.lit(1.0).alias("score"))
+    keys = _exact_keys(entities.select("id", "name"))
+    return keys.join(asked.hint("merge"), "query").select("query", "id", "name", F.lit(1.0).alias("score"))
 
 
 def prefix_many(entities: DataFrame, queries: DataFrame, limit: int | None = 10) -> DataFrame:
-    """``query, id, name, score``: the best ``limit`` names of each query that begin with it. The names' prefixes are joined, as
-    long as a name each."""
+    """``query, id, name, score``: the best ``limit`` names of each query that begin with it. The prefixes of distinct names are
+    joined, as long as a name each."""
     asked = queries.select("query", F.lower("query").alias("key")).where("query <> ''").distinct()
     low = F.lower("name")
-    keys = entities.where("name <> ''").select("id", "name", F.explode(F.transform(F.sequence(F.lit(1), F.length(low)), lambda n: F.substring(low, F.lit(1), n))).alias("key"))
-    found = keys.join(asked, "key").select("query", "id", "name", F.round(F.length("query") / F.length("name"), 6).alias("score"))
-    return _best_of_each(found, limit, F.desc("score"), "id") if limit else found
+    names = entities.select("name").where("name <> ''").distinct()
+    keys = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length(low)), lambda n: F.substring(low, F.lit(1), n))).alias("key"))
+    named = keys.join(asked.hint("merge"), "key").select("query", "name", F.round(F.length("query") / F.length("name"), 6).alias("score"))
+    return _entities_of(named, entities, limit)
 
 
 def fuzzy_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: int | None = 10) -> DataFrame:
