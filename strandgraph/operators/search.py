@@ -143,12 +143,16 @@ def fuzzy_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: i
 def smart_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: int = 10) -> DataFrame:
     """``query, id, name, score, stage``: for each query exact names (1), names that begin with it (2), names within
     ``edits`` edits (3), each later stage only where those before found fewer than two; an entity counts with its first stage."""
-    stages = [exact_many(entities, queries), prefix_many(entities, queries), fuzzy_many(entities, queries, edits)]
-    every = stages[0].withColumn("stage", F.lit(1)).unionByName(stages[1].withColumn("stage", F.lit(2))).unionByName(stages[2].withColumn("stage", F.lit(3)))
-    # A stage brings a query a few rows at most, but for exact names; these are counted before they are shuffled.
-    counts = every.groupBy("query").agg(F.count_if(F.col("stage") == 1).alias("n1"), F.count_if(F.col("stage") <= 2).alias("n2"))
-    on = (F.col("stage") == 1) | ((F.col("stage") == 2) & (F.col("n1") < 2)) | ((F.col("stage") == 3) & (F.col("n2") < 2))
-    kept = every.join(counts, "query").where(on)
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    # Of an exact name the first ids are enough, with the number of rows each stands for: more than two are two.
+    first = _best_of_each(entities.where("name IS NOT NULL").groupBy("id", "name").agg(F.count("*").alias("n")), max(limit, 2), "id", of="name")
+    exact = _exact_keys(first).join(asked.hint("merge"), "query").select("query", "id", "name", F.lit(1.0).alias("score"), "n", F.lit(1).alias("stage"))
+    later = [f.withColumns({"n": F.lit(1).cast("long"), "stage": F.lit(k)}) for k, f in ((2, prefix_many(entities, queries)), (3, fuzzy_many(entities, queries, edits)))]
+    every = exact.unionByName(later[0]).unionByName(later[1])
+    # A stage brings a query a few rows at most, or a few a name.
+    upto = lambda k: F.sum(F.when(F.col("stage") <= k, F.col("n")).otherwise(0)).over(Window.partitionBy("query"))
+    counted = every.withColumns({"n1": upto(1), "n2": upto(2)})
+    kept = counted.where((F.col("stage") == 1) | ((F.col("stage") == 2) & (F.col("n1") < 2)) | ((F.col("stage") == 3) & (F.col("n2") < 2)))
     best = kept.groupBy("query", "id").agg(F.min(F.struct("stage", "name", "score")).alias("b")).select("query", "id", "b.name", "b.score", "b.stage")
     return _best_of_each(best, limit, "stage", F.desc("score"), "id")
 
