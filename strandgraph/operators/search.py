@@ -132,12 +132,11 @@ def fuzzy_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: i
     exactly; keys grow with the length to the power of ``edits``, so this is for few edits."""
     names = entities.select("name").where("name IS NOT NULL").distinct()
     asked = queries.select("query").where("query IS NOT NULL").distinct()
-    pairs = _shortened(names, "name", edits).join(_shortened(asked, "query", edits), "key").select("name", "query").distinct()
+    pairs = _shortened(names, "name", edits).join(_shortened(asked, "query", edits).hint("merge"), "key").select("name", "query").distinct()
     apart = F.levenshtein(F.lower("name"), F.lower("query"), edits)
     score = F.when(F.greatest(F.length("name"), F.length("query")) == 0, 1.0).otherwise(1 - F.col("apart") / F.greatest(F.length("name"), F.length("query")))
     close = pairs.withColumn("apart", apart).where("apart >= 0").select("name", "query", F.round(score, 6).alias("score"))
-    found = entities.select("id", "name").join(close, "name").select("query", "id", "name", "score")
-    return _best_of_each(found, limit, F.desc("score"), "id") if limit else found
+    return _entities_of(close, entities, limit)
 
 
 def smart_many(entities: DataFrame, queries: DataFrame, edits: int = 2, limit: int = 10) -> DataFrame:
