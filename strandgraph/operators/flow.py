@@ -6,6 +6,9 @@ Statements (fn, pos, kind, target): ``kind`` is ``plain``, ``branch`` (goes on o
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from .graph import CodeGraph
 from .lineage import cut
 
 ENTRY, EXIT = "entry", "exit"
+#: Statements up to which a function's definitions are followed in one row; those of longer functions go by rounds over tables.
+ONE_ROW = 2000
 
 
 def leaders(statements: DataFrame) -> DataFrame:
@@ -31,7 +36,10 @@ def blocks(statements: DataFrame) -> DataFrame:
 
 def cfg(statements: DataFrame) -> DataFrame:
     """``fn, src, dst``: edges between blocks, an entry and an exit in each function. A target outside of it is the exit."""
-    b = blocks(statements)
+    return _edges_between(blocks(statements))
+
+
+def _edges_between(b: DataFrame) -> DataFrame:
     last = b.groupBy("fn", "block").agg(F.max_by(F.struct("kind", "target"), "pos").alias("l"))
     name = lambda c: F.concat_ws(":", F.col("fn").cast("string"), c)
     following = F.lead("block").over(Window.partitionBy("fn").orderBy("block"))
@@ -115,18 +123,96 @@ def reassigned(defs: DataFrame) -> DataFrame:
 # --- data flow along the control flow: statements as above, defs and uses (fn, pos, name) ---
 
 
-def definitions_at_blocks(statements: DataFrame, defs: DataFrame) -> DataFrame:
+def definitions_at_blocks(statements: DataFrame, defs: DataFrame, one_row: int = ONE_ROW) -> DataFrame:
     """``fn, block, name, def_pos``: definitions that reach the beginning of a block on some way, blocks as in ``cfg``.
 
-    The fixpoint of the sets that blocks generate and let pass, as rows: a round moves what a block newly has at its end over
-    its edges, leaves out what was there before, and goes on with what the block doesn't define anew. A row is moved once,
-    and ways that meet add nothing, so the rounds are as many as the longest way of a definition that is still news.
+    The fixpoint of the sets that blocks generate and let pass. A function of up to ``one_row`` statements is a row, with the
+    edges and last definitions of its blocks as lists; longer ones go by rounds over tables, at any length.
     """
-    inside = cut(blocks(statements).select("fn", "pos", "block").join(defs.select("fn", "pos", "name").distinct(), ["fn", "pos"]))
+    return _definitions_at(cut(blocks(statements)), defs, one_row)
+
+
+def _definitions_at(b: DataFrame, defs: DataFrame, one_row: int) -> DataFrame:
+    inside = b.select("fn", "pos", "block").join(defs.select("fn", "pos", "name").distinct(), ["fn", "pos"])
     label = F.concat_ws(":", F.col("fn").cast("string"), F.col("block").cast("string"))
-    last = cut(inside.groupBy("fn", label.alias("block"), "name").agg(F.max("pos").alias("def_pos")))
-    edges = cut(cfg(statements).select("fn", "src", "dst"))
-    kills = last.select("block", "name")
+    last = inside.groupBy("fn", label.alias("block"), "name").agg(F.max("pos").alias("def_pos"))
+    edges = _edges_between(b).select("fn", "src", "dst")
+    long = cut(b.groupBy("fn").agg(F.count("*").alias("n")).where(F.col("n") > one_row).select("fn"))
+    if long.isEmpty():
+        return _by_function(last, edges)
+    some = _by_function(last.join(long, "fn", "left_anti"), edges.join(long, "fn", "left_anti"))
+    return some.union(_by_rounds(last.join(long, "fn", "left_semi"), edges.join(long, "fn", "left_semi")))
+
+
+def _by_function(last: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fn, block, name, def_pos`` of functions whose edges (fn, src, dst) and last definitions of blocks are a row each."""
+    line, definition = F.struct("src", "dst"), F.struct("block", "name", "def_pos")
+    none = lambda of: F.lit(None).cast(of.schema["x"].dataType)
+    lines, own = edges.select("fn", line.alias("x")), last.select("fn", definition.alias("x"))
+    rows = lines.select("fn", F.col("x").alias("line"), none(own).alias("own")).union(own.select("fn", none(lines), F.col("x")))
+    rows = rows.groupBy("fn").agg(F.collect_list("line").alias("lines"), F.collect_list("own").alias("own")).where(F.size("own") > 0)
+
+    kind = last.schema
+    kinds = lambda batch: [batch.column(0).type, *(f.type for f in batch.column(2).type.value_type)]
+    one = lambda fn, lines, own: ((fn, *r) for r in _reaching(lines, own))
+    return _many_of_each(rows, one, kinds, f"fn {kind['fn'].dataType.simpleString()}, block string, name {kind['name'].dataType.simpleString()}, def_pos {kind['def_pos'].dataType.simpleString()}", 4)
+
+
+def _many_of_each(rows: DataFrame, one: Callable, kinds: Callable, schema: str, width: int) -> DataFrame:
+    """The tuples that ``one`` makes of each row, of Arrow types ``kinds`` by the batch."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            pack = lambda rows, of=kinds(batch): pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], of[k]) for k in range(width)], names=names)
+            for row in zip(*batch.columns, strict=True):
+                out += one(*(v.as_py() for v in row))
+                if len(out) >= 50_000:
+                    yield pack(out)
+                    out = []
+            yield pack(out)
+
+    return rows.mapInArrow(each, schema)
+
+
+def _reaching(lines: list[dict], own: list[dict]) -> Iterator[tuple]:
+    """(block, name, position) of one function; a set of definitions is a number with a bit for each."""
+    after: dict = {}
+    for e in lines:
+        after.setdefault(e["src"], []).append(e["dst"])
+    of_name: dict = {}
+    for i, d in enumerate(own):
+        of_name[d["name"]] = of_name.get(d["name"], 0) | 1 << i
+    made: dict = {}
+    stopped: dict = {}
+    for i, d in enumerate(own):
+        made[d["block"]] = made.get(d["block"], 0) | 1 << i
+        stopped[d["block"]] = stopped.get(d["block"], 0) | of_name[d["name"]]
+    begin: dict = {}
+    queue = dict.fromkeys(made)
+    while queue:
+        block = next(iter(queue))
+        del queue[block]
+        end = made.get(block, 0) | begin.get(block, 0) & ~stopped.get(block, 0)
+        for to in after.get(block, ()):
+            was = begin.get(to, 0)
+            if end & ~was:
+                begin[to] = was | end
+                queue[to] = None
+    for block, left in begin.items():
+        while left:
+            d = own[(left & -left).bit_length() - 1]
+            yield block, d["name"], d["def_pos"]
+            left &= left - 1
+
+
+def _by_rounds(last: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same as rows: a round moves what a block newly has at its end over its edges, leaves out what was there before, and
+    goes on with what the block doesn't define anew. A row is moved once, and ways that meet add nothing, so the rounds are
+    as many as the longest way of a definition that is still news."""
+    last, edges = cut(last), cut(edges)
+    kills = last.select("fn", "block", "name")
     front = last.select("fn", "block", "name", "def_pos")
     seen = None
     while True:
@@ -136,7 +222,7 @@ def definitions_at_blocks(statements: DataFrame, defs: DataFrame) -> DataFrame:
         if news.isEmpty():
             return seen if seen is not None else news
         seen = news if seen is None else cut(seen.union(news))
-        front = news.join(kills, ["block", "name"], "left_anti").select("fn", "block", "name", "def_pos")
+        front = news.join(kills, ["fn", "block", "name"], "left_anti").select("fn", "block", "name", "def_pos")
 
 
 def flow_def_use(statements: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
