@@ -228,13 +228,14 @@ def _by_rounds(last: DataFrame, edges: DataFrame) -> DataFrame:
 def flow_def_use(statements: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
     """``fn, name, def_pos, use_pos``: each use with every definition that may be the last one before it on some way; a use
     that none reaches has a null. A definition in the same statement is no definition of what the statement uses."""
-    at = blocks(statements).select("fn", "pos", F.concat_ws(":", F.col("fn").cast("string"), F.col("block").cast("string")).alias("block"))
+    placed = cut(blocks(statements))
+    at = placed.select("fn", "pos", F.concat_ws(":", F.col("fn").cast("string"), F.col("block").cast("string")).alias("block"))
     d = defs.select("fn", "pos", "name").distinct().join(at, ["fn", "pos"]).withColumn("is_def", F.lit(True))
     u = uses.select("fn", "pos", "name").distinct().join(at, ["fn", "pos"]).withColumn("is_def", F.lit(False))
     order = Window.partitionBy("fn", "block", "name").orderBy("pos", "is_def").rowsBetween(Window.unboundedPreceding, -1)
     inner = F.max(F.when(F.col("is_def"), F.col("pos"))).over(order)
     here = cut(d.union(u).withColumn("def_pos", inner).where("NOT is_def").select("fn", "block", "name", "def_pos", F.col("pos").alias("use_pos")))
-    before = definitions_at_blocks(statements, defs)
+    before = _definitions_at(placed, defs, ONE_ROW)
     there = here.where("def_pos IS NULL").drop("def_pos").join(before, ["fn", "block", "name"], "left")
     columns = ["fn", "name", "def_pos", "use_pos"]
     return here.where("def_pos IS NOT NULL").select(*columns).union(there.select(*columns))
