@@ -245,3 +245,31 @@ def dependencies(links: DataFrame) -> CodeGraph:
     """The graph of what flows where, of ``flow_def_use``: a node is a statement, written ``fn:pos``."""
     name = lambda pos: F.concat_ws(":", F.col("fn").cast("string"), F.col(pos).cast("string"))
     return CodeGraph(links.where("def_pos IS NOT NULL").select(name("def_pos").alias("src"), name("use_pos").alias("dst")))
+
+
+def last_dependencies(links: DataFrame, one_row: int = 10 * ONE_ROW) -> DataFrame:
+    """``node, distance``: what the last statement of each function that uses something depends on, through any number of
+    statements, by ``flow_def_use``; nodes as in ``dependencies``. A function of up to ``one_row`` links is searched as one
+    row, the others together by a walk over tables."""
+    links = cut(links.where("def_pos IS NOT NULL AND fn IS NOT NULL").select("fn", "def_pos", "use_pos").distinct())
+    long = cut(links.groupBy("fn").agg(F.count("*").alias("n")).where(F.col("n") > one_row).select("fn"))
+    rows = links.join(long, "fn", "left_anti").groupBy(F.col("fn").cast("string").alias("fn")).agg(F.collect_list(F.struct("def_pos", "use_pos")).alias("links"))
+    found = _many_of_each(rows, _above_last, lambda batch: [pa.string(), pa.int32()], "node string, distance int", 2)
+    if long.isEmpty():
+        return found
+    left = links.join(long, "fn", "left_semi")
+    last = left.groupBy("fn").agg(F.max("use_pos").alias("pos")).select(F.concat_ws(":", F.col("fn").cast("string"), F.col("pos").cast("string")).alias("node"))
+    return found.union(dependencies(left).reversed().reach(last))
+
+
+def _above_last(fn: str, links: list[dict]) -> Iterator[tuple]:
+    above: dict = {}
+    for e in links:
+        above.setdefault(e["use_pos"], []).append(e["def_pos"])
+    seen = {max(above): 0}
+    front = list(seen)
+    while front:
+        step = {d for use in front for d in above.get(use, ()) if d not in seen}
+        seen |= dict.fromkeys(step, seen[front[0]] + 1)
+        front = list(step)
+    return ((f"{fn}:{pos}", distance) for pos, distance in seen.items())

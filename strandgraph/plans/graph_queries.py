@@ -367,9 +367,7 @@ _LINKS = f"{_FLOW}, e AS (SELECT DISTINCT fn || ':' || def_pos AS src, fn || ':'
 @query(f"WITH RECURSIVE {_LINKS}, b AS (SELECT dst AS src, src AS dst FROM e), {distances('SELECT fn || chr(58) || max(use_pos), 0 FROM du WHERE def_pos IS NOT NULL GROUP BY fn', 'b')} SELECT node, min(distance)::INT AS distance FROM r GROUP BY node")
 def flow_dependencies(spark, sf_dir):
     """All that the last statement of each function that uses something depends on, through any number of statements."""
-    links = flow.flow_def_use(*_flow_links(spark, sf_dir)).where("def_pos IS NOT NULL")
-    last = links.groupBy("fn").agg(F.max("use_pos").alias("pos")).select(F.concat_ws(":", F.col("fn").cast("string"), F.col("pos").cast("string")).alias("node"))
-    return flow.dependencies(links).reversed().reach(last)
+    return flow.last_dependencies(flow.flow_def_use(*_flow_links(spark, sf_dir)))
 
 
 # --- resolution ---
