@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -274,9 +274,11 @@ class CodeGraph:
         return every.join(node.select("node").distinct(), "node", "left_semi")
 
     def natural_loops(self, entry: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-        """``head, node``: for each edge u -> h whose head h dominates u, h and what reaches u without passing h. ``scope``
-        is passed on to the search for dominators."""
-        dom = dominators(self.written(), entry, scope)
+        """``head, node``: for each edge u -> h whose head h dominates u, h and what reaches u without passing h. With
+        ``scope``, as for ``dominators``, each scope's loops are found in the group that finds its dominators."""
+        if scope is not None:
+            return _loops_by_scope(self.edges, entry.select("node").where("node IS NOT NULL").distinct(), scope.select("node", "scope"))
+        dom = dominators(self.written(), entry)
         back = cut(self.written().join(dom.select(F.col("node").alias("src"), F.col("dom").alias("dst")), ["src", "dst"], "left_semi").select("src", F.col("dst").alias("head")))
         into = self.written().select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         start = back.select(F.col("src").alias("node"), "head").union(back.select("head", "head")).distinct()
@@ -384,17 +386,47 @@ def dominators(edges: DataFrame, entry: DataFrame, scope: DataFrame | None = Non
     return doms
 
 
-def _dominators_by_scope(edges: DataFrame, entry: DataFrame, scope: DataFrame) -> DataFrame:
-    kind = edges.schema["src"].dataType.simpleString()
+def _scoped(edges: DataFrame, entry: DataFrame, scope: DataFrame) -> DataFrame:
     lines = edges.join(scope.select(F.col("node").alias("src"), "scope"), "src").select("scope", "src", "dst", F.lit(False).alias("is_entry"))
-    rows = lines.union(entry.join(scope, "node").select("scope", "node", "node", F.lit(True)))
+    return lines.union(entry.join(scope, "node").select("scope", "node", "node", F.lit(True)))
+
 
+def _by_scope(rows: DataFrame, found: Callable[[list, list], Iterable[tuple]], names: tuple[str, str]) -> DataFrame:
     def one(group: pd.DataFrame) -> pd.DataFrame:
         first, lines = group[group["is_entry"]], group[~group["is_entry"]]
-        pairs = list(_dominating([*lines["src"], *[None] * len(first)], [*lines["dst"], *first["dst"]]))
-        return pd.DataFrame(pairs, columns=["node", "dom"])
+        pairs = list(found([*lines["src"], *[None] * len(first)], [*lines["dst"], *first["dst"]]))
+        return pd.DataFrame(pairs, columns=list(names))
+
+    kind = rows.schema["src"].dataType.simpleString()
+    return rows.groupBy("scope").applyInPandas(one, ", ".join(f"{n} {kind}" for n in names))
+
+
+def _dominators_by_scope(edges: DataFrame, entry: DataFrame, scope: DataFrame) -> DataFrame:
+    return _by_scope(_scoped(edges, entry, scope), _dominating, ("node", "dom"))
 
-    return rows.groupBy("scope").applyInPandas(one, f"node {kind}, dom {kind}")
+
+def _loops_by_scope(edges: DataFrame, entry: DataFrame, scope: DataFrame) -> DataFrame:
+    return _by_scope(_scoped(edges, entry, scope), _looping, ("head", "node"))
+
+
+def _looping(src: list, dst: list) -> Iterator[tuple]:
+    """(head, node) of the natural loops of one function, edges as for ``_dominating``."""
+    doms = set(_dominating(src, dst))
+    before: dict = {}
+    loops: dict = {}
+    for a, b in zip(src, dst, strict=True):
+        if a is not None:
+            before.setdefault(b, []).append(a)
+            if (a, b) in doms:
+                loops.setdefault(b, {b}).add(a)
+    for head, body in loops.items():
+        queue = [n for n in body if n != head]
+        while queue:
+            for n in before.get(queue.pop(), ()):
+                if n not in body:
+                    body.add(n)
+                    queue.append(n)
+        yield from ((head, n) for n in body)
 
 
 def _dominating(src: list, dst: list) -> Iterator[tuple]:
