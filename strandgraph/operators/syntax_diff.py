@@ -32,31 +32,36 @@ def syntax_trees(nodes: DataFrame) -> DataFrame:
 
 
 def hashed(nodes: DataFrame) -> DataFrame:
-    """``tree, node, parent, place, kind, name, flags, hash``: each node that hangs on a root with its place from 0 among its
-    siblings and the hash (two 64-bit halves) of all that is below and of itself."""
+    """``tree, node, parent, place, kind, name, flags, hash``: each node with its place from 0 among its siblings and the hash
+    (two 64-bit halves) of all that is below and of itself; inner nodes that hang on no root are left out.
+
+    Leaves, which most nodes are, are hashed at once and summed up by parent; only inner nodes go by levels."""
     rows = numbered(nodes.withColumn("family", F.struct("tree", "parent")), "family", "ord", "node")
     rows = cut(rows.select("tree", "node", "parent", F.col("at").alias("place"), *NODE))
-    levels = [rows.where("parent IS NULL")]
-    inner = rows.where("parent IS NOT NULL")
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in NODE]
+    half = lambda seed, *of: F.xxhash64(F.lit(seed), *of)
+    child = lambda seed: F.bit_xor(half(seed, "place", "hash.one", "hash.two"))
+    whole = lambda *inside: F.struct(half(3, *own, *inside).alias("one"), half(4, *own, *inside).alias("two")).alias("hash")
+    below = lambda of: of.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(child(1).alias("one"), child(2).alias("two"), F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    above = cut(rows.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct())
+    leaves = cut(rows.join(above, ["tree", "node"], "left_anti").select(*rows.columns, whole(none, none, none)))
+    sums = cut(below(leaves))
+    every = cut(rows.join(above, ["tree", "node"], "left_semi").select(*rows.columns))
+    levels = [every.where("parent IS NULL")]
+    inner = every.where("parent IS NOT NULL")
     while True:
         up = levels[-1].select("tree", F.col("node").alias("parent"))
         level = cut(inner.join(up, ["tree", "parent"]).select(*rows.columns))
         if level.isEmpty():
             break
         levels.append(level)
-    own = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in NODE]
-    half = lambda seed, *of: F.xxhash64(F.lit(seed), *of)
-    done, below = None, None
+    done, last = leaves, None
     for level in reversed(levels):
-        if below is None:
-            level = level.withColumns({"one": F.lit(0).cast("long"), "two": F.lit(0).cast("long"), "n": F.lit(0).cast("long")})
-        else:
-            child = lambda seed: F.bit_xor(half(seed, "place", "hash.one", "hash.two"))
-            sums = below.groupBy("tree", F.col("parent").alias("node")).agg(child(1).alias("one"), child(2).alias("two"), F.count("*").alias("n"))
-            level = level.join(sums, ["tree", "node"], "left")
-        inside = [F.coalesce(c, F.lit(0)) for c in ("one", "two", "n")]
-        below = cut(level.select(*rows.columns, F.struct(half(3, *own, *inside).alias("one"), half(4, *own, *inside).alias("two")).alias("hash")))
-        done = below if done is None else done.union(below)
+        inside = sums if last is None else sums.union(below(last)).groupBy("tree", "node").agg(F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"), F.sum("n").alias("n"))
+        level = level.join(inside, ["tree", "node"], "left")
+        last = cut(level.select(*rows.columns, whole(*(F.coalesce(c, none) for c in ("one", "two", "n")))))
+        done = done.union(last)
     return done
 
 
